@@ -39,19 +39,26 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
                   bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
                   idx: str | None = "seq_idx", prev_ts: str | None = "prev_ts",
                   running_max: str | None = None, running_max_out: str = "running_max",
-                  ) -> DataFrame:
+                  running_sum: str | None = None, running_sum_out: str = "sum_before",
+                  bucket_col=None) -> DataFrame:
     """Add 0-based position, previous ``ts`` and optional running max per key.
 
     Order inside a key is ``(ts, tiebreak)``; ``tiebreak`` must make it
-    total.  ``prev_ts`` is NULL on the first row of a key.
+    total.  ``prev_ts`` is NULL on the first row of a key; ``running_sum``
+    gives the sum of that column over all *earlier* rows of the key.  The
+    bucket is ``floor(ts / bucket_seconds)`` unless ``bucket_col`` (any
+    column monotone in the order, e.g. ``floor(id / 100000)``) is given.
     """
     keys = _keys(key)
     width = F.lit(bucket_seconds * 1_000_000)
-    d = df.withColumn("_bkt", F.floor(micros(ts) / width).cast("bigint"))
+    bkt = bucket_col if bucket_col is not None else F.floor(micros(ts) / width)
+    d = df.withColumn("_bkt", bkt.cast("bigint"))
 
     aggs = [F.count(F.lit(1)).alias("_n"), F.max(F.col(ts)).alias("_last_ts")]
     if running_max is not None:
         aggs.append(F.max(F.col(running_max)).alias("_bmax"))
+    if running_sum is not None:
+        aggs.append(F.sum(F.col(running_sum)).alias("_bsum"))
     summary = d.groupBy(*keys, "_bkt").agg(*aggs)
     ws = Window.partitionBy(*keys).orderBy("_bkt")
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,6 +67,8 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
             F.lag("_last_ts").over(ws).alias("_prev_bkt_ts")]
     if running_max is not None:
         cols.append(F.max("_bmax").over(before).alias("_prev_bkt_max"))
+    if running_sum is not None:
+        cols.append(F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_prev_bkt_sum"))
     summary = summary.select(*cols)
 
     wl = Window.partitionBy(*keys, "_bkt").orderBy(F.col(ts), F.col(tiebreak))
@@ -69,6 +78,10 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
     if running_max is not None:
         local = local.withColumn(
             "_lmax", F.max(running_max).over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+    if running_sum is not None:
+        local = local.withColumn(
+            "_lsum", F.coalesce(F.sum(running_sum).over(wl.rowsBetween(Window.unboundedPreceding, -1)),
+                                F.lit(0)))
 
     out = local.join(summary, on=[*keys, "_bkt"], how="inner")
     if idx is not None:
@@ -78,7 +91,10 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
     if running_max is not None:
         out = out.withColumn(running_max_out,
                              F.greatest(F.col("_lmax"), F.col("_prev_bkt_max")))
-    drop = ["_bkt", "_rn", "_offset", "_prev_bkt_ts", "_lag_ts", "_lmax", "_prev_bkt_max"]
+    if running_sum is not None:
+        out = out.withColumn(running_sum_out, F.col("_prev_bkt_sum") + F.col("_lsum"))
+    drop = ["_bkt", "_rn", "_offset", "_prev_bkt_ts", "_lag_ts", "_lmax", "_prev_bkt_max",
+            "_lsum", "_prev_bkt_sum"]
     return out.drop(*[c for c in drop if c in out.columns])
 
 

@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenlake.operators import evaluate as evl
+from tokenlake.operators import invoices as inv
 from tokenlake.operators import telemetry as tel
-from tokenlake.plans import oracle_telemetry
+from tokenlake.plans import oracle_invoices, oracle_telemetry
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +40,28 @@ QUERIES: dict[str, QueryFn] = {
     "s11_gpu_csv_scan": tel.gpu_csv_scan,
     "a15_warm_mean_latency": tel.warm_mean_latency,
     "s14_prompt_table": tel.prompt_table,
+    # family II: invoice corpus
+    "g1_invoice_truth": inv.invoice_truth_query,
+    "g2_invoice_render": inv.invoice_render,
+    "g7_case_examples": inv.case_examples,
+    "p9_label_valid": inv.label_valid,
+    "a9_case_counts": inv.case_counts,
+    "g11_prompt_completion": inv.prompt_completion,
+    "v1_sft_contract": inv.sft_contract,
+    "v2_arith_invariant": inv.arith_invariant,
+    "o1_dataset_shuffle": inv.dataset_shuffle,
+    "g8_hard_case": inv.hard_case,
+    # family III: evaluation
+    "a10_eval_case_report": evl.eval_case_report,
+    "a11_eval_field_report": evl.eval_field_report,
+    "w6_first_failures": evl.first_failures,
+    "a12_json_exact_rate": evl.json_exact_rate,
+    "u1_rule_predictor": evl.rule_predictor_report,
 }
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_telemetry.SQL)
+ORACLE.update(oracle_invoices.SQL)
 
 
 def queries() -> dict[str, QueryFn]:
