@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokenlake.operators import evaluate as evl
 from tokenlake.operators import invoices as inv
+from tokenlake.operators import sqlshapes
 from tokenlake.operators import telemetry as tel
 from tokenlake.plans import oracle_invoices, oracle_telemetry
 
@@ -58,10 +59,13 @@ QUERIES: dict[str, QueryFn] = {
     "a12_json_exact_rate": evl.json_exact_rate,
     "u1_rule_predictor": evl.rule_predictor_report,
 }
+# SQL shapes carried as data
+QUERIES.update(sqlshapes.QUERIES)
 
 ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_telemetry.SQL)
 ORACLE.update(oracle_invoices.SQL)
+ORACLE.update(sqlshapes.SQL)
 
 
 def queries() -> dict[str, QueryFn]:
