@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenlake.operators import chat
 from tokenlake.operators import evaluate as evl
 from tokenlake.operators import invoices as inv
 from tokenlake.operators import sqlshapes
 from tokenlake.operators import telemetry as tel
-from tokenlake.plans import oracle_invoices, oracle_telemetry
+from tokenlake.plans import oracle_chat, oracle_invoices, oracle_telemetry
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +59,13 @@ QUERIES: dict[str, QueryFn] = {
     "w6_first_failures": evl.first_failures,
     "a12_json_exact_rate": evl.json_exact_rate,
     "u1_rule_predictor": evl.rule_predictor_report,
+    # chat formatting on dialogs
+    "g13_chatml_render": chat.chatml_render,
+    "g14_chatml_template": chat.chatml_template,
+    "g16_assistant_spans": chat.assistant_spans,
+    "a13_length_stats": chat.length_stats,
+    "g17_completion_labels": chat.completion_labels,
+    "g12_tool_pairs": chat.tool_pairs,
 }
 # SQL shapes carried as data
 QUERIES.update(sqlshapes.QUERIES)
@@ -66,6 +74,7 @@ ORACLE: dict[str, str] = {}
 ORACLE.update(oracle_telemetry.SQL)
 ORACLE.update(oracle_invoices.SQL)
 ORACLE.update(sqlshapes.SQL)
+ORACLE.update(oracle_chat.SQL)
 
 
 def queries() -> dict[str, QueryFn]:
