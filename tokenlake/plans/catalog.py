@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenlake.operators import chat
 from tokenlake.operators import evaluate as evl
 from tokenlake.operators import invoices as inv
+from tokenlake.operators import sse, tokens
 from tokenlake.operators import sqlshapes
 from tokenlake.operators import telemetry as tel
-from tokenlake.plans import oracle_chat, oracle_invoices, oracle_telemetry
+from tokenlake.plans import oracle_chat, oracle_invoices, oracle_telemetry, oracle_tokens
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +67,16 @@ QUERIES: dict[str, QueryFn] = {
     "a13_length_stats": chat.length_stats,
     "g17_completion_labels": chat.completion_labels,
     "g12_tool_pairs": chat.tool_pairs,
+    # stream lines and token arrays
+    "s1_sse_profile": sse.sse_profile,
+    "s6_token_csv_scan": tokens.token_csv_scan,
+    "s7_token_matrix_scan": tokens.token_matrix_scan,
+    "g21_virtual_prefix": tokens.virtual_prefix,
+    "g22_g23_request_ids": tokens.request_ids,
+    "g20_generation_flatten": tokens.generation_flatten,
+    "j3_positional_zip": tokens.positional_zip,
+    "p8_nonblank_lines": tokens.nonblank_lines,
+    "w7_stop_cut": tokens.stop_cut,
 }
 # SQL shapes carried as data
 QUERIES.update(sqlshapes.QUERIES)
@@ -75,6 +86,7 @@ ORACLE.update(oracle_telemetry.SQL)
 ORACLE.update(oracle_invoices.SQL)
 ORACLE.update(sqlshapes.SQL)
 ORACLE.update(oracle_chat.SQL)
+ORACLE.update(oracle_tokens.SQL)
 
 
 def queries() -> dict[str, QueryFn]:
