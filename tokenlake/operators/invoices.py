@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.draws import draw, draw_mod, draw_unit
 from tokenlake.operators.ordered import sequence_scan
-from tokenlake.sources.tables import table
+from tokenlake.sources.tables import spread, table
 
 # ---- fixed values (must equal the reference's for equal results) ----------
 FIELDS = ["invoice_number", "invoice_date", "due_date", "subtotal", "tax", "total"]
@@ -110,7 +110,8 @@ def cents_text(cents: Column) -> Column:
 
 def invoices_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice per order (truth derived from the order row)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"),
+               "o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     pct = F.lit(5) + F.pmod(k, F.lit(16))
@@ -155,29 +156,34 @@ def invoice_truth(keys: DataFrame, key: str = "id", seed: int = 42) -> DataFrame
 
 # ------------------------------------------------------------------ labels
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform``): keeps an array computed once instead of once per use
+    inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def corrupt_label(label: Column, k: int, key: Column, salt: str) -> Column:
     """G4 + O6 + J8: replace ``k`` distinct positions by a *different*
     alphanumeric, retried until the result is not a valid label.
 
-    Attempts are an array of CORRUPT_ATTEMPTS candidates (the attempt number
-    salts the draws); the first one outside the vocabulary wins.  If every
-    attempt lands in the vocabulary a final candidate replaces the same
-    positions by digits -- no label contains a digit, so it is always
-    accepted and the rejection loop is exact, never capped.
+    Attempt ``a`` salts the draws; attempts are evaluated lazily, one after
+    the other, until one falls outside the vocabulary.  After
+    CORRUPT_ATTEMPTS misses a final candidate replaces the same positions
+    by digits -- no label contains a digit, so it is always accepted and
+    the rejection loop is exact, never capped.
     """
     n = F.length(label)
     vocab = _arr(label_vocab_lower())
     pool = F.lit(CORRUPTION_POOL)
+    idx = F.sequence(F.lit(0), n - 1)
 
     def positions(a):
-        idx = F.sequence(F.lit(0), n - 1)
         ranked = F.array_sort(F.transform(idx, lambda i: F.struct(
             draw(f"{salt}:pos", key, F.lit(a), i).alias("h"), i.alias("i"))))
         return F.transform(F.slice(ranked, 1, F.least(F.lit(k), n)), lambda s: s["i"])
 
     def candidate(a, digits_only=False):
-        pos = positions(a)
-
         def repl(i):
             ch = F.substring(label, i + 1, 1)
             if digits_only:
@@ -188,14 +194,15 @@ def corrupt_label(label: Column, k: int, key: Column, salt: str) -> Column:
             j = F.when((ci >= 0) & (j >= ci), j + 1).otherwise(j)
             return F.substring(pool, (j + 1).cast("int"), 1)
 
-        chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(
-            F.array_contains(pos, i), repl(i)).otherwise(F.substring(label, i + 1, 1)))
-        return F.array_join(chars, "")
+        return let(positions(a), lambda pos: F.array_join(F.transform(idx, lambda i: F.when(
+            F.array_contains(pos, i), repl(i)).otherwise(F.substring(label, i + 1, 1))), ""))
+
+    def choose(a):
+        if a > CORRUPT_ATTEMPTS:
+            return candidate(a, digits_only=True)
+        return let(candidate(a), lambda c: F.when(~F.array_contains(vocab, F.lower(c)), c).otherwise(choose(a + 1)))
 
-    cands = F.array(*[candidate(a) for a in range(1, CORRUPT_ATTEMPTS + 1)],
-                    candidate(CORRUPT_ATTEMPTS + 1, digits_only=True))
-    ok = F.filter(cands, lambda c: ~F.array_contains(vocab, F.lower(c)))
-    return F.element_at(ok, 1)
+    return choose(1)
 
 
 # ------------------------------------------------------------------ cases
@@ -344,7 +351,7 @@ def invoice_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoice_truth_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 over the order keys as row ids (seed 42)."""
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    keys = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id")
     t = invoice_truth(keys, "id", 42)
     return t.select("invoice_id", "vendor_name", "invoice_number",
                     F.date_format("invoice_date", ISO_DATE_FORMAT).alias("invoice_date"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.operators.chat import words
-from tokenlake.sources.tables import table
+from tokenlake.sources.tables import spread, table
 
 LINE_MS = 20          # logged time step between two stream lines
 DONE = "[DONE]"
@@ -33,7 +33,8 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank line after every 5th word, a broken JSON line after every 7th,
     a keep-alive comment after every 11th, two usage chunks (the last
     wins), ``[DONE]`` and one chunk after it that must be ignored."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    c = spread(table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+               .select("conv_id", "turn", "text"), "conv_id")
     w = words(F.col("text"))
     role_line = F.lit(PREFIX + '{"choices":[{"index":0,"delta":{"role":"assistant"}}]}')
 

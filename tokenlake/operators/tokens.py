@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.common import array_tail
 from tokenlake.operators.chat import VOCAB_SIZE, token_ids, words
-from tokenlake.sources.tables import table
+from tokenlake.sources.tables import spread, table
 
 PAD_ID = 0
 PAD_TO = 64
@@ -24,7 +24,7 @@ STOP_WORD = "the"           # W7
 
 
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     return d.withColumn("ids", token_ids(F.col("text")))
 
 
@@ -111,7 +111,7 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that are not blank."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = F.split(F.col("text"), "\n")
     return d.select("doc_id", F.size(lines).alias("n_lines"),
                     F.size(F.filter(lines, lambda l: F.length(F.trim(l)) > 0)).alias("n_nonblank"))
@@ -121,7 +121,8 @@ def stop_cut(spark: SparkSession, sf_dir: str, stop_word: str = STOP_WORD) -> Da
     """W7 + U4: the first word is the last prompt token; generation stops
     at the first token whose pair (previous token + token, lower-cased)
     contains the stop word; the stopping token is kept."""
-    d = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id") \
+        .select("doc_id", words(F.col("text")).alias("w"))
     n = F.size("w")
     hits = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.contains(
         F.lower(F.concat(F.try_element_at("w", i - 1), F.try_element_at("w", i))), F.lit(stop_word)))
