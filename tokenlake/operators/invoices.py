@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.draws import draw, draw_mod, draw_unit
 from tokenlake.operators.ordered import sequence_scan
+from tokenlake.session import shared_plan
 from tokenlake.sources.tables import spread, table
 
 # ---- fixed values (must equal the reference's for equal results) ----------
@@ -108,6 +109,7 @@ def cents_text(cents: Column) -> Column:
 
 # ------------------------------------------------------------------ truth
 
+@shared_plan
 def invoices_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One invoice per order (truth derived from the order row)."""
     o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"),
@@ -163,15 +165,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def corrupt_label(label: Column, k: int, key: Column, salt: str) -> Column:
+def corrupt_label(label: Column, k: Column, key: Column, salt: Column) -> Column:
     """G4 + O6 + J8: replace ``k`` distinct positions by a *different*
     alphanumeric, retried until the result is not a valid label.
 
-    Attempt ``a`` salts the draws; attempts are evaluated lazily, one after
-    the other, until one falls outside the vocabulary.  After
-    CORRUPT_ATTEMPTS misses a final candidate replaces the same positions
-    by digits -- no label contains a digit, so it is always accepted and
-    the rejection loop is exact, never capped.
+    The attempts are an array of CORRUPT_ATTEMPTS candidates (the attempt
+    number salts the draws) and the first one outside the vocabulary wins.
+    Only if every attempt lands in the vocabulary is a last candidate built
+    (``coalesce`` evaluates it lazily) that replaces the positions by digits
+    -- no label contains a digit, so it is always accepted and the
+    rejection loop is exact, never capped.
     """
     n = F.length(label)
     vocab = _arr(label_vocab_lower())
@@ -180,29 +183,27 @@ def corrupt_label(label: Column, k: int, key: Column, salt: str) -> Column:
 
     def positions(a):
         ranked = F.array_sort(F.transform(idx, lambda i: F.struct(
-            draw(f"{salt}:pos", key, F.lit(a), i).alias("h"), i.alias("i"))))
-        return F.transform(F.slice(ranked, 1, F.least(F.lit(k), n)), lambda s: s["i"])
+            draw("corrupt:pos", key, salt, a, i).alias("h"), i.alias("i"))))
+        return F.transform(F.slice(ranked, 1, F.least(k, n)), lambda s: s["i"])
+
+    def repl(a, i, digits_only):
+        if digits_only:
+            return F.substring(F.lit("0123456789"), draw_mod(10, "corrupt:dig", key, salt, i) + 1, 1)
+        ch = F.substring(label, i + 1, 1)
+        ci = F.instr(pool, ch) - 1                      # -1 when not alphanumeric
+        size = F.when(ci >= 0, F.lit(61)).otherwise(F.lit(62))
+        j = F.pmod(draw("corrupt:chr", key, salt, a, i), size)
+        j = F.when((ci >= 0) & (j >= ci), j + 1).otherwise(j)
+        return F.substring(pool, (j + 1).cast("int"), 1)
 
     def candidate(a, digits_only=False):
-        def repl(i):
-            ch = F.substring(label, i + 1, 1)
-            if digits_only:
-                return F.substring(F.lit("0123456789"), (draw_mod(10, f"{salt}:dig", key, i) + 1), 1)
-            ci = F.instr(pool, ch) - 1                  # -1 when not alphanumeric
-            size = F.when(ci >= 0, F.lit(61)).otherwise(F.lit(62))
-            j = F.pmod(draw(f"{salt}:chr", key, F.lit(a), i), size)
-            j = F.when((ci >= 0) & (j >= ci), j + 1).otherwise(j)
-            return F.substring(pool, (j + 1).cast("int"), 1)
-
         return let(positions(a), lambda pos: F.array_join(F.transform(idx, lambda i: F.when(
-            F.array_contains(pos, i), repl(i)).otherwise(F.substring(label, i + 1, 1))), ""))
-
-    def choose(a):
-        if a > CORRUPT_ATTEMPTS:
-            return candidate(a, digits_only=True)
-        return let(candidate(a), lambda c: F.when(~F.array_contains(vocab, F.lower(c)), c).otherwise(choose(a + 1)))
+            F.array_contains(pos, i), repl(a, i, digits_only)).otherwise(F.substring(label, i + 1, 1))), ""))
 
-    return choose(1)
+    attempts = F.transform(F.sequence(F.lit(1), F.lit(CORRUPT_ATTEMPTS)), lambda a: candidate(a))
+    accepted = F.filter(attempts, lambda c: ~F.array_contains(vocab, F.lower(c)))
+    return F.coalesce(F.try_element_at(accepted, F.lit(1)),
+                      candidate(F.lit(CORRUPT_ATTEMPTS + 1), digits_only=True))
 
 
 # ------------------------------------------------------------------ cases
@@ -236,10 +237,12 @@ def plan_cases(inv: DataFrame, case: Column) -> DataFrame:
     unlabeled = F.when((c == "rejected_corrupted_or_unlabeled") & unlab, F.col("field"))
     label_field = (F.when(c.isin("label_format_variation", "accepted_corrupted_label"), F.col("field"))
                    .when((c == "rejected_corrupted_or_unlabeled") & ~unlab, F.col("field")))
+    accepted = c == "accepted_corrupted_label"
+    corrupted = accepted | ((c == "rejected_corrupted_or_unlabeled") & ~unlab)
+    n_chars = F.when(accepted, F.lit(1)).otherwise(F.lit(3))         # 1- vs 3-character rule
+    salt = F.when(accepted, F.lit("c1")).otherwise(F.lit("c3"))
     label_text = (F.when(c == "label_format_variation", alias)
-                  .when(c == "accepted_corrupted_label", corrupt_label(base_label, 1, k, "c1"))
-                  .when((c == "rejected_corrupted_or_unlabeled") & ~unlab,
-                        corrupt_label(base_label, 3, k, "c3")))
+                  .when(corrupted, corrupt_label(base_label, n_chars, k, salt)))
     hidden = F.when(c == "missing_value", miss).when(c == "rejected_corrupted_or_unlabeled", F.col("field"))
     return d.select("*", miss.alias("miss_field"), unlabeled.alias("unlabeled_field"),
                     label_field.alias("label_field"), label_text.alias("label_text"),
@@ -312,6 +315,7 @@ def shuffle_lines(text: Column, key: Column, salt: str = "lines") -> Column:
     return F.concat(F.array_join(F.transform(F.array_sort(keyed), lambda s: s["l"]), "\n"), F.lit("\n"))
 
 
+@shared_plan
 def examples(spark: SparkSession, sf_dir: str, date_format: str = DATE_FORMAT) -> DataFrame:
     """One example per order with case, text and target columns."""
     inv = invoices_from_orders(spark, sf_dir)
@@ -433,6 +437,7 @@ def dataset_shuffle(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFra
              .orderBy("split", "shuffle_key", "example_id")
 
 
+@shared_plan
 def eval_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation examples -- the five cases plus the hard case
     (clean invoices with odd ids, non-blank lines shuffled)."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenlake.functions.common import micros, truncate_label
 from tokenlake.operators.joins import interval_join
 from tokenlake.operators.ordered import first_k, sequence_scan
+from tokenlake.session import shared_plan
 from tokenlake.sources import fixtures as fx
 
 US = 1_000_000.0
@@ -38,6 +39,7 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("text"))
 
 
+@shared_plan
 def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per request: start (prompt phase), first and second token time, end,
     row count and response characters -- two map-side-combined aggregates

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.common import array_tail
 from tokenlake.operators.chat import VOCAB_SIZE, token_ids, words
+from tokenlake.session import shared_plan
 from tokenlake.sources.tables import spread, table
 
 PAD_ID = 0
@@ -23,6 +24,7 @@ SOP_ID = VOCAB_SIZE + 1     # special id appended by G22
 STOP_WORD = "the"           # W7
 
 
+@shared_plan
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     return d.withColumn("ids", token_ids(F.col("text")))

@@ -100,32 +100,31 @@ def vocab() -> str:
     return lst(inv.label_vocab_lower())
 
 
-def corrupt(label: str, k: int, key: str, salt: str) -> str:
+def corrupt(label: str, k: str, key: str, salt: str) -> str:
     n = f"length({label})"
     pool = q(inv.CORRUPTION_POOL)
 
     def positions(a):
         ranked = (f"list_sort(list_transform(range(0, {n}), lambda i: "
-                  f"{{'h': {duck_draw(f'{salt}:pos', key, str(a), 'i')}, 'i': i}}))")
+                  f"{{'h': {duck_draw('corrupt:pos', key, salt, a, 'i')}, 'i': i}}))")
         return f"list_transform(list_slice({ranked}, 1, least({k}, {n})), lambda s: s.i)"
 
     def candidate(a, digits=False):
-        pos = positions(a)
         ch = f"substr({label}, CAST(i + 1 AS BIGINT), 1)"
         if digits:
-            repl = f"substr('0123456789', CAST({duck_draw(f'{salt}:dig', key, 'i')} % 10 + 1 AS BIGINT), 1)"
+            repl = f"substr('0123456789', CAST({duck_draw('corrupt:dig', key, salt, 'i')} % 10 + 1 AS BIGINT), 1)"
         else:
             ci = f"(instr({pool}, {ch}) - 1)"
             size = f"(CASE WHEN {ci} >= 0 THEN 61 ELSE 62 END)"
-            j = f"({duck_draw(f'{salt}:chr', key, str(a), 'i')} % {size})"
+            j = f"({duck_draw('corrupt:chr', key, salt, a, 'i')} % {size})"
             j2 = f"(CASE WHEN {ci} >= 0 AND {j} >= {ci} THEN {j} + 1 ELSE {j} END)"
             repl = f"substr({pool}, CAST({j2} + 1 AS BIGINT), 1)"
-        return (f"array_to_string(list_transform(range(0, {n}), lambda i: "
-                f"CASE WHEN list_contains({pos}, i) THEN {repl} ELSE {ch} END), '')")
+        return (f"list_transform([{positions(a)}], lambda pos: array_to_string(list_transform(range(0, {n}), "
+                f"lambda i: CASE WHEN list_contains(pos, i) THEN {repl} ELSE {ch} END), ''))[1]")
 
-    cands = [candidate(a) for a in range(1, inv.CORRUPT_ATTEMPTS + 1)]
-    cands.append(candidate(inv.CORRUPT_ATTEMPTS + 1, digits=True))
-    return (f"(list_filter([{', '.join(cands)}], lambda c: NOT list_contains({vocab()}, lower(c))))[1]")
+    attempts = f"list_transform(range(1, {inv.CORRUPT_ATTEMPTS + 1}), lambda a: {candidate('a')})"
+    ok = f"list_filter({attempts}, lambda c: NOT list_contains({vocab()}, lower(c)))"
+    return f"coalesce(({ok})[1], {candidate(str(inv.CORRUPT_ATTEMPTS + 1), digits=True)})"
 
 
 def case_of_key(k: str) -> str:
@@ -161,9 +160,10 @@ pl AS (
     CASE WHEN "case" IN ('label_format_variation', 'accepted_corrupted_label') THEN field
          WHEN "case" = 'rejected_corrupted_or_unlabeled' AND NOT unlab THEN field END AS label_field,
     CASE WHEN "case" = 'label_format_variation' THEN {alias_case()}
-         WHEN "case" = 'accepted_corrupted_label' THEN {corrupt('base_label', 1, 'invoice_id', 'c1')}
-         WHEN "case" = 'rejected_corrupted_or_unlabeled' AND NOT unlab
-              THEN {corrupt('base_label', 3, 'invoice_id', 'c3')} END AS label_text,
+         WHEN "case" = 'accepted_corrupted_label' OR ("case" = 'rejected_corrupted_or_unlabeled' AND NOT unlab)
+              THEN {corrupt('base_label', "CASE WHEN \"case\" = 'accepted_corrupted_label' THEN 1 ELSE 3 END",
+                            'invoice_id', "CASE WHEN \"case\" = 'accepted_corrupted_label' THEN 'c1' ELSE 'c3' END")}
+         END AS label_text,
     CASE WHEN "case" = 'missing_value' AND vmiss THEN 'vendor_name'
          WHEN "case" = 'missing_value' THEN field
          WHEN "case" = 'rejected_corrupted_or_unlabeled' THEN field END AS hidden_field
