@@ -10,6 +10,7 @@ context).  Counts and spans never need the assembled text.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,14 @@ IM_END = "<|im_end|>"
 DEFAULT_SYSTEM = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
 TOOL_RESPONSE_OPEN = "<tool_response>"
 TOOL_RESPONSE_CLOSE = "</tool_response>"
+# System-block text the template adds when tools are declared.
+TOOLS_HEADER = ("\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\n"
+                "You are provided with function signatures within <tools></tools> XML tags:\n<tools>")
+TOOLS_FOOTER = ("\n</tools>\n\nFor each function call, return a json object with function name and "
+                "arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n"
+                '{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>')
+TOOL_CALL_OPEN = "<tool_call>"
+TOOL_CALL_CLOSE = "</tool_call>"
 MASK_ID = -100
 MAX_TOKENS = 512
 VOCAB_SIZE = 32000
@@ -75,35 +84,74 @@ def chatml_render(spark: SparkSession, sf_dir: str, add_generation_prompt: bool
     return out
 
 
-def chatml_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Go chat template on dialogs: system block (the dialog's
-    system message or the default system prompt), user / assistant / tool
-    turns, no end tag after a final assistant turn, and a generation
-    prompt after a final non-assistant turn."""
-    d = dialogs(spark, sf_dir)
-    conv = d.groupBy("conv_id").agg(
-        F.max_by(F.when(F.col("role") == "system", F.col("content")),
-                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
-        F.max(F.when(F.col("role") != "system", F.col("turn"))).alias("last_turn"))
-    m = d.filter(F.col("role") != "system").join(conv, "conv_id")
+def system_block(system: Column, tools: list[str] | None = None) -> Column:
+    """G14 system block: system prompt, then the tool signatures if any."""
+    body = F.concat(F.lit(f"{IM_START}system\n"), system)
+    if tools:
+        sig = "".join('\n{"type": "function", "function": ' + t + "}" for t in tools)
+        body = F.concat(body, F.lit(TOOLS_HEADER + sig + TOOLS_FOOTER))
+    return F.concat(body, F.lit(f"{IM_END}\n"))
+
+
+def template_pieces(m: DataFrame) -> DataFrame:
+    """G14 per-turn pieces of the non-system messages; ``m`` carries conv_id,
+    turn, role, content, optional tool_calls (array<struct<name,
+    arguments>>) and last_turn.  Quirks kept: an assistant turn shows its
+    content *or* its tool calls, and a final assistant turn gets no end
+    tag; a final non-assistant turn is followed by the generation prompt."""
     last = F.col("turn") == F.col("last_turn")
     role, c = F.col("role"), F.col("content")
+    if "tool_calls" in m.columns:
+        calls = F.concat(F.lit(f"{TOOL_CALL_OPEN}\n"), F.array_join(F.transform("tool_calls", lambda t: F.concat(
+            F.lit('{"name": "'), t["name"], F.lit('", "arguments": '), t["arguments"], F.lit("}\n"))), ""),
+            F.lit(TOOL_CALL_CLOSE))
+        shown = F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c) \
+                 .when(F.size(F.coalesce("tool_calls", F.array())) > 0, calls).otherwise(F.lit(""))
+    else:
+        shown = F.coalesce(c, F.lit(""))
     piece = (F.when(role == "user", F.concat(F.lit(f"{IM_START}user\n"), c, F.lit(f"{IM_END}\n")))
-             .when(role == "assistant", F.concat(F.lit(f"{IM_START}assistant\n"), F.coalesce(c, F.lit("")),
+             .when(role == "assistant", F.concat(F.lit(f"{IM_START}assistant\n"), shown,
                                                  F.when(last, F.lit("")).otherwise(F.lit(f"{IM_END}\n"))))
              .when(role == "tool", F.concat(F.lit(f"{IM_START}user\n{TOOL_RESPONSE_OPEN}\n"), c,
                                             F.lit(f"\n{TOOL_RESPONSE_CLOSE}{IM_END}\n")))
              .otherwise(F.lit("")))
     piece = F.concat(piece, F.when(last & (role != "assistant"), F.lit(f"{IM_START}assistant\n")).otherwise(F.lit("")))
-    body = _assemble(m.select("conv_id", "turn", piece.alias("piece")))
-    sysblk = conv.select("conv_id", F.concat(F.lit(f"{IM_START}system\n"),
-                                             F.coalesce(F.col("system"), F.lit(DEFAULT_SYSTEM)),
-                                             F.lit(f"{IM_END}\n")).alias("sysblk"))
+    return m.select("conv_id", "turn", piece.alias("piece"))
+
+
+def render_template(d: DataFrame, tools: list[str] | None = None,
+                    default_system: str = DEFAULT_SYSTEM) -> DataFrame:
+    """G14 on any message table (conv_id, turn, role, content[, tool_calls])."""
+    conv = d.groupBy("conv_id").agg(
+        F.max_by(F.when(F.col("role") == "system", F.col("content")),
+                 F.when(F.col("role") == "system", F.col("turn"))).alias("system"),
+        F.max(F.when(F.col("role") != "system", F.col("turn"))).alias("last_turn"))
+    m = d.filter(F.col("role") != "system").join(conv, "conv_id")
+    body = _assemble(template_pieces(m))
+    sysblk = conv.select("conv_id", system_block(F.coalesce(F.col("system"), F.lit(default_system)), tools)
+                         .alias("sysblk"))
     j = sysblk.join(body, "conv_id", "left")
     return j.select("conv_id", F.coalesce("n_turns", F.lit(0)).alias("n_turns"),
                     F.concat("sysblk", F.coalesce("rendered", F.lit(""))).alias("rendered"))
 
 
+def render_prompt_response(system: Column, prompt: Column, response: Column) -> Column:
+    """G14 no-messages form: optional system and user blocks, the assistant
+    header, then the response with an end tag when there is one."""
+    sysb = F.when(F.length(F.coalesce(system, F.lit(""))) > 0,
+                  F.concat(F.lit(f"{IM_START}system\n"), system, F.lit(f"{IM_END}\n"))).otherwise(F.lit(""))
+    user = F.when(F.length(F.coalesce(prompt, F.lit(""))) > 0,
+                  F.concat(F.lit(f"{IM_START}user\n"), prompt, F.lit(f"{IM_END}\n"))).otherwise(F.lit(""))
+    resp = F.when(F.length(F.coalesce(response, F.lit(""))) > 0,
+                  F.concat(response, F.lit(IM_END))).otherwise(F.lit(""))
+    return F.concat(sysb, user, F.lit(f"{IM_START}assistant\n"), resp)
+
+
+def chatml_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G14 on the dialogs (roles only -- the table has no tool calls)."""
+    return render_template(dialogs(spark, sf_dir))
+
+
 def assistant_spans(spark: SparkSession, sf_dir: str, bucket_turns: int = 1024) -> DataFrame:
     """Character span [start, end) of each assistant content inside the
     G13 rendering, from a running sum of rendered turn lengths (bucketed
@@ -166,6 +214,27 @@ def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     v3.alias("mask_ok"))
 
 
+def token_count_udf(encode):
+    """A real tokenizer as an Arrow ``pandas_udf`` (batches of texts,
+    never one row at a time).  ``encode(str) -> list[int]`` is created by
+    the caller once per worker (e.g. a ``tokenizers`` / ``sentencepiece``
+    model loaded from a shared path)."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t)) if t is not None else 0).astype("int32")
+    return count
+
+
+def token_ids_udf(encode):
+    """Token ids of each text through a pluggable encoder (Arrow batches)."""
+
+    @F.pandas_udf("array<int>")
+    def ids(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(encode(t)) if t is not None else [])
+    return ids
+
+
 def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant turn right after it, as a
     ChatML prompt (ending in the assistant header) and completion."""

@@ -206,6 +206,34 @@ def corrupt_label(label: Column, k: Column, key: Column, salt: Column) -> Column
                       candidate(F.lit(CORRUPT_ATTEMPTS + 1), digits_only=True))
 
 
+def case_jitter(label: Column, key: Column, salt: str = "jitter") -> Column:
+    """G5 (+ F.17): swap the case of k letters, k uniform in 1..#letters,
+    at k distinct letter positions (kept, like the reference, for a future
+    case-variation transform; non-letters never change)."""
+    n = F.length(label)
+    idx = F.sequence(F.lit(0), n - 1)
+    letters = F.filter(idx, lambda i: F.substring(label, i + 1, 1).rlike("^[A-Za-z]$"))
+    k = F.lit(1) + F.pmod(draw(f"{salt}:k", key), F.greatest(F.size(letters), F.lit(1)))
+    ranked = F.array_sort(F.transform(letters, lambda i: F.struct(draw(f"{salt}:pos", key, i).alias("h"),
+                                                                   i.alias("i"))))
+    chosen = F.transform(F.slice(ranked, 1, k.cast("int")), lambda s: s["i"])
+
+    def flip(ch):
+        return F.when(F.upper(ch) == ch, F.lower(ch)).otherwise(F.upper(ch))
+
+    return F.when(F.size(letters) == 0, label).otherwise(let(chosen, lambda pos: F.array_join(F.transform(
+        idx, lambda i: F.when(F.array_contains(pos, i), flip(F.substring(label, i + 1, 1)))
+        .otherwise(F.substring(label, i + 1, 1))), "")))
+
+
+def label_case_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 query: the field label of every example with its case jittered."""
+    ex = examples(spark, sf_dir)
+    base = F.create_map(*[x for f, l in LABELS.items() for x in (F.lit(f), F.lit(l))])[F.col("field")]
+    return ex.select("example_id", base.alias("label"),
+                     case_jitter(base, F.col("example_id")).alias("jittered"))
+
+
 # ------------------------------------------------------------------ cases
 
 def case_of_key(key: Column) -> Column:

@@ -20,6 +20,13 @@ from tokenlake.sources import fixtures as fx
 
 US = 1_000_000.0
 
+# ---- fixed values ----------------------------------------------------------
+# Prompt template; ``{input_text}`` is replaced by the prompt text (F.16).
+PROMPT_TEMPLATE = "Answer the following request.\n\n{input_text}\n\nAnswer:"
+# Fixed-width comparison line: framework, TTFT, decode rate, VRAM, GPU %.
+REPORT_LINE = "%-15s | %-13.3f | %-13.2f | %-15.2f | %-11.1f"
+# ---------------------------------------------------------------------------
+
 
 def _div(num, den):
     """num / den as double, NULL when den is 0 or NULL."""
@@ -255,6 +262,31 @@ def backend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("report_pos")
 
 
+def backend_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison table as fixed-width text lines, in report order."""
+    c = backend_comparison(spark, sf_dir)
+    return c.select("report_pos", F.format_string(REPORT_LINE, "backend", "ttft", "tps", "vram", "gpu")
+                    .alias("line")).orderBy("report_pos")
+
+
+def client_prompt_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 + F.16 + trap 15: the i-th client sends the i-th prompt (equi join
+    client_id = prompt_idx over the benchmark prompts); the prompt is the
+    template with ``{input_text}`` replaced, and its length is measured,
+    never taken from a label."""
+    from tokenlake.operators.chat import n_tokens
+    from tokenlake.sources.tables import table
+    p = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("prompt_idx"),
+        F.replace(F.lit(PROMPT_TEMPLATE), F.lit("{input_text}"), F.col("text")).alias("prompt"))
+    r = request_base(spark, sf_dir).select(F.col("request_id").alias("client_id"), "ok", "total_us", "ttft_us")
+    j = r.join(p, r["client_id"] == p["prompt_idx"])
+    return j.select("client_id", "prompt_idx", "ok", n_tokens(F.col("prompt")).alias("prompt_words"),
+                    F.length("prompt").alias("prompt_chars"),
+                    (F.col("total_us") / F.lit(US)).alias("latency_s"),
+                    (F.col("ttft_us") / F.lit(US)).alias("ttft_s"))
+
+
 # ---------------------------------------------------------------- A6 / A7 / A14
 
 def batch_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,8 @@ QUERIES: dict[str, QueryFn] = {
     "s11_gpu_csv_scan": tel.gpu_csv_scan,
     "a15_warm_mean_latency": tel.warm_mean_latency,
     "s14_prompt_table": tel.prompt_table,
+    "s14_backend_report_text": tel.backend_report_text,
+    "j7_client_prompt_pair": tel.client_prompt_pair,
     # family II: invoice corpus
     "g1_invoice_truth": inv.invoice_truth_query,
     "g2_invoice_render": inv.invoice_render,
@@ -54,6 +56,7 @@ QUERIES: dict[str, QueryFn] = {
     "v2_arith_invariant": inv.arith_invariant,
     "o1_dataset_shuffle": inv.dataset_shuffle,
     "g8_hard_case": inv.hard_case,
+    "g5_label_case_jitter": inv.label_case_jitter,
     # family III: evaluation
     "a10_eval_case_report": evl.eval_case_report,
     "a11_eval_field_report": evl.eval_field_report,

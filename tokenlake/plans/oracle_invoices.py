@@ -413,3 +413,22 @@ SELECT "case", count(*) AS n, count(CASE WHEN valid THEN 1 END) AS valid_json,
                    AND {' AND '.join(strict_eq(f) for f in inv.ALL_FIELDS)} THEN 1 END) AS fully_correct
 FROM p2 GROUP BY "case"
 """
+
+
+def jitter(label: str, key: str, salt: str = "jitter") -> str:
+    n = f"length({label})"
+    letters = f"list_filter(range(0, {n}), lambda i: regexp_matches(substr({label}, CAST(i + 1 AS BIGINT), 1), '^[A-Za-z]$'))"
+    k = f"(1 + {duck_draw(salt + ':k', key)} % greatest(len({letters}), 1))"
+    ranked = f"list_sort(list_transform({letters}, lambda i: {{'h': {duck_draw(salt + ':pos', key, 'i')}, 'i': i}}))"
+    chosen = f"list_transform(list_slice({ranked}, 1, {k}), lambda s: s.i)"
+    ch = f"substr({label}, CAST(i + 1 AS BIGINT), 1)"
+    flip = f"CASE WHEN upper({ch}) = {ch} THEN lower({ch}) ELSE upper({ch}) END"
+    body = (f"list_transform([{chosen}], lambda pos: array_to_string(list_transform(range(0, {n}), "
+            f"lambda i: CASE WHEN list_contains(pos, i) THEN {flip} ELSE {ch} END), ''))[1]")
+    return f"CASE WHEN len({letters}) = 0 THEN {label} ELSE {body} END"
+
+
+SQL["g5_label_case_jitter"] = f"""
+WITH {INVOICES}, {PLAN}
+SELECT example_id, base_label AS label, {jitter('base_label', 'example_id')} AS jittered FROM ex
+"""

@@ -3,6 +3,7 @@ plain windows over whole partitions, no bucketing)."""
 
 from __future__ import annotations
 
+from tokenlake.operators.telemetry import PROMPT_TEMPLATE, REPORT_LINE
 from tokenlake.sources.fixtures import GPU_SAMPLES_SQL, RUNS_SQL, BACKENDS, request_dims_sql
 
 D = "CAST({} AS DOUBLE)"
@@ -257,3 +258,17 @@ SELECT CASE WHEN length(s) < 28 THEN s ELSE substr(s, 1, 25) || '...' END AS pro
        run_id, max_mem, max_gpu, avg_power
 FROM (SELECT 'run ' || run_id || ' on host ' || CAST(host AS VARCHAR) AS s, * FROM a2)
 """
+
+SQL["s14_backend_report_text"] = (
+    "SELECT report_pos, printf('" + REPORT_LINE + "', backend, ttft, tps, vram, gpu) AS line FROM ("
+    + SQL["a16_backend_comparison"].replace("FROM u ORDER BY report_pos", "FROM u") + ") c ORDER BY report_pos")
+
+_TPL = PROMPT_TEMPLATE.replace("'", "''")
+SQL["j7_client_prompt_pair"] = f"""
+WITH {REQUEST_BASE},
+p AS (SELECT item_id AS prompt_idx, replace('{_TPL}', '{{input_text}}', text) AS prompt FROM benchmark)
+SELECT request_id AS client_id, prompt_idx, ok,
+       len(list_filter(regexp_split_to_array(prompt, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS prompt_words,
+       length(prompt) AS prompt_chars, total_us / 1e6 AS latency_s, ttft_us / 1e6 AS ttft_s
+FROM rb JOIN p ON rb.request_id = p.prompt_idx
+"""
