@@ -60,16 +60,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """P1 + W3 + P3 + P4: data payloads before the first ``[DONE]``, with
     validity, content and usage columns."""
     s = lines.withColumn("s", F.btrim(F.col("line"), F.lit(" \t\r\n")))
-    d = s.filter((F.length("s") > 0) & F.col("s").startswith(PREFIX)) \
-         .withColumn("payload", F.substring(F.col("s"), len(PREFIX) + 1, 1 << 30))
-    done = d.filter(F.col("payload") == DONE).groupBy("request_id").agg(F.min("line_no").alias("done_line"))
+    is_data = (F.length("s") > 0) & F.col("s").startswith(PREFIX)
+    payload = F.substring(F.col("s"), len(PREFIX) + 1, 1 << 30)
+    # one pass over the raw lines gives the per-request cut and line count
+    done = s.groupBy("request_id").agg(
+        F.min(F.when(is_data & (payload == DONE), F.col("line_no"))).alias("done_line"),
+        F.count(F.lit(1)).alias("n_lines"))
+    d = s.filter(is_data).withColumn("payload", payload)
     d = d.join(done, "request_id", "left") \
          .filter(F.col("done_line").isNull() | (F.col("line_no") < F.col("done_line")))
     v = F.try_parse_json(F.col("payload"))
     d = d.withColumn("v", v)
     content = F.variant_get(F.col("v"), "$.choices[0].delta.content", "string")
     has_choice = F.variant_get(F.col("v"), "$.choices[0]", "variant").isNotNull()
-    return d.select("request_id", "line_no", "done_line",
+    return d.select("request_id", "line_no", "done_line", "n_lines",
                     F.col("v").isNotNull().alias("valid"),
                     F.when(has_choice & (F.length(content) > 0), content).alias("content"),
                     F.try_variant_get(F.col("v"), "$.usage.completion_tokens", "bigint").alias("usage"))
@@ -78,9 +82,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def sse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + W8 + F.8: per request, chunk counts, first-content and
     first-chunk time, last usage, response length and token estimate."""
-    lines = stream_lines(spark, sf_dir)
-    total = lines.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    p = parse_lines(lines)
+    p = parse_lines(stream_lines(spark, sf_dir))
     g = p.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n_data"),
         F.count(F.when(~F.col("valid"), 1)).alias("n_bad_json"),
@@ -89,8 +91,8 @@ def sse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(F.when(F.col("valid"), F.col("line_no"))).alias("first_chunk_line"),
         F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("line_no"))).alias("last_usage"),
         F.sum(F.length("content")).alias("response_chars"),
-        F.max(F.col("done_line").isNotNull()).alias("has_done"))
-    g = g.join(total, "request_id")
+        F.max(F.col("done_line").isNotNull()).alias("has_done"),
+        F.max("n_lines").alias("n_lines"))
     est = F.greatest(F.lit(1), F.floor(F.coalesce(F.col("response_chars"), F.lit(0)) / 4).cast("bigint"))
     tokens = (F.when(F.col("last_usage").isNull(), F.col("n_content"))
               .otherwise(F.col("last_usage")))

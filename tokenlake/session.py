@@ -94,3 +94,19 @@ def shared_plan(fn):
             _PLANS[key] = df
         return df
     return wrapper
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage for several consumers, and a lost executor only
+    costs re-reading files instead of recomputing the whole job.  Uses the
+    folder the cluster names in ``spark.checkpoint.dir`` (``checkpoint_dir``
+    only invents one when unset, as in local tests)."""
+    import os
+    import uuid
+
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    path = os.path.join(base, "tokenlake", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
