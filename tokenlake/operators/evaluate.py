@@ -126,26 +126,60 @@ def parse_prediction(raw: Column) -> Column:
     """V4 (F.15 + F.13): strip; a text starting with a code fence keeps the
     second fence segment minus a leading ``json``; JSON object or NULL."""
     s = strip(F.coalesce(raw, F.lit("")))
-    seg = F.element_at(F.split(s, "```"), 2)
+    seg = F.try_element_at(F.split(s, "```"), F.lit(2))
     seg = strip(F.when(seg.startswith("json"), F.substring(seg, 5, 1 << 30)).otherwise(seg))
     body = F.when(s.startswith("```"), seg).otherwise(s)
     v = F.try_parse_json(body)
     return F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), v)
 
 
+def with_parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """V4 as successive projections (each intermediate computed once):
+    strip -> fence segment -> body -> JSON -> object or NULL in ``_v``."""
+    df = df.withColumn("_s", strip(F.coalesce(F.col(raw), F.lit(""))))
+    df = df.withColumn("_seg", F.try_element_at(F.split(F.col("_s"), "```"), F.lit(2)))
+    seg = strip(F.when(F.col("_seg").startswith("json"), F.substring(F.col("_seg"), 5, 1 << 30))
+                .otherwise(F.col("_seg")))
+    df = df.withColumn("_j", F.try_parse_json(F.when(F.col("_s").startswith("```"), seg).otherwise(F.col("_s"))))
+    is_obj = F.coalesce(F.schema_of_variant(F.col("_j")).startswith("OBJECT"), F.lit(False))
+    return df.withColumn("_v", F.when(is_obj, F.col("_j"))).drop("_s", "_seg", "_j")
+
+
+def field_checks_cols(f: str, truth: Column) -> tuple[Column, Column]:
+    """V5 from the projected ``pv_f`` / ``pt_f`` / ``pn_f`` columns:
+    (value equal, predicted JSON null); a missing key is neither."""
+    pv, ptype, pnull = F.col(f"pv_{f}"), F.col(f"pt_{f}"), F.col(f"pn_{f}")
+    if f in NUMERIC_FIELDS:
+        is_num = ptype.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | ptype.startswith("DECIMAL")
+        val_ok = is_num & (F.abs(F.variant_get(pv, "$", "double") - truth) < F.lit(TOLERANCE))
+    else:
+        val_ok = (ptype == "STRING") & (F.variant_get(pv, "$", "string") == truth)
+    ok = F.when(truth.isNull(), pnull).otherwise(F.coalesce(val_ok, F.lit(False)))
+    return ok, pnull
+
+
+def with_field_parts(df: DataFrame, v: str = "_v") -> DataFrame:
+    """Project the eight per-field variant values, then their types and
+    JSON-null flags, each exactly once."""
+    df = df.select("*", *[F.variant_get(F.col(v), f"$.{f}", "variant").alias(f"pv_{f}") for f in inv.ALL_FIELDS])
+    return df.select("*", *[c for f in inv.ALL_FIELDS for c in (
+        F.schema_of_variant(F.col(f"pv_{f}")).alias(f"pt_{f}"),
+        F.coalesce(F.col(f"pv_{f}").isNotNull() & F.is_variant_null(F.col(f"pv_{f}")), F.lit(False))
+        .alias(f"pn_{f}"))])
+
+
 def field_checks(v: Column, f: str, truth: Column) -> tuple[Column, Column]:
-    """V5: (value equal, predicted JSON null) for one field; a missing key
-    is neither equal to anything nor null."""
+    """V5 for one field straight from a parsed object (small inputs/tests)."""
     pv = F.variant_get(v, f"$.{f}", "variant")
-    pnull = pv.isNotNull() & F.is_variant_null(pv)
+    pnull = F.coalesce(pv.isNotNull() & F.is_variant_null(pv), F.lit(False))
     ptype = F.schema_of_variant(pv)
     if f in NUMERIC_FIELDS:
         is_num = ptype.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | ptype.startswith("DECIMAL")
         val_ok = is_num & (F.abs(F.variant_get(pv, "$", "double") - truth) < F.lit(TOLERANCE))
     else:
         val_ok = (ptype == "STRING") & (F.variant_get(pv, "$", "string") == truth)
-    ok = F.when(truth.isNull(), F.coalesce(pnull, F.lit(False))).otherwise(F.coalesce(val_ok, F.lit(False)))
-    return ok, F.coalesce(pnull, F.lit(False))
+    ok = F.when(truth.isNull(), pnull).otherwise(F.coalesce(val_ok, F.lit(False)))
+    return ok, pnull
 
 
 def scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None = None) -> DataFrame:
@@ -159,16 +193,16 @@ def scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None = Non
         j = ex.select(*cols, defect_raw().alias("raw"))
     else:
         j = ex.select(*cols).join(predictions, "example_id", "left")   # J2
-    j = j.withColumn("_v", parse_prediction(F.col("raw")))
+    j = with_field_parts(with_parsed(j))
     parsed = F.col("_v").isNotNull()
-    cols = []
+    out_cols = []
     for f in inv.ALL_FIELDS:
         truth = F.col(f"t_{f}")
-        ok, pnull = field_checks(F.col("_v"), f, truth)
-        cols += [F.when(parsed, ok).alias(f"ok_{f}"),
-                 F.when(parsed, truth.isNull() & pnull).alias(f"nullok_{f}"),
-                 F.when(parsed, truth.isNotNull() & pnull).alias(f"halluc_{f}")]
-    out = j.select("example_id", "case", "n_null_expected", parsed.alias("parsed"), *cols)
+        ok, pnull = field_checks_cols(f, truth)
+        out_cols += [F.when(parsed, ok).alias(f"ok_{f}"),
+                     F.when(parsed, truth.isNull() & pnull).alias(f"nullok_{f}"),
+                     F.when(parsed, truth.isNotNull() & pnull).alias(f"halluc_{f}")]
+    out = j.select("example_id", "case", "n_null_expected", parsed.alias("parsed"), *out_cols)
     all_ok = F.col("parsed")
     for f in inv.ALL_FIELDS:
         all_ok = all_ok & F.col(f"ok_{f}")
@@ -241,29 +275,26 @@ def json_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tolerance, no fence stripping)."""
     ex = inv.eval_examples(spark, sf_dir)
     j = ex.select("example_id", "case", *[f"t_{f}" for f in inv.ALL_FIELDS], defect_raw().alias("raw"))
-    s = strip(F.coalesce(F.col("raw"), F.lit("")))
-    v = F.try_parse_json(s)
-    keys = F.json_object_keys(s)
+    j = j.withColumn("_s", strip(F.coalesce(F.col("raw"), F.lit(""))))
+    j = j.withColumn("_v", F.try_parse_json(F.col("_s")))
+    keys = F.json_object_keys(F.col("_s"))
     keys_ok = F.coalesce(F.array_sort(keys) == F.array_sort(F.array(*[F.lit(f) for f in inv.ALL_FIELDS])),
                          F.lit(False))
-    diffs = []
+    j = with_field_parts(j.withColumn("_keys_ok", keys_ok))
+    same_all = F.lit(True)
     for f in inv.ALL_FIELDS:
-        pv = F.variant_get(v, f"$.{f}", "variant")
-        ptype = F.schema_of_variant(pv)
-        truth = F.col(f"t_{f}")
+        pv, ptype, truth = F.col(f"pv_{f}"), F.col(f"pt_{f}"), F.col(f"t_{f}")
         if f in NUMERIC_FIELDS:
             is_num = ptype.isin("BIGINT", "DOUBLE", "FLOAT", "INT") | ptype.startswith("DECIMAL")
             eq = is_num & (F.variant_get(pv, "$", "double") == truth)
         else:
             eq = (ptype == "STRING") & (F.variant_get(pv, "$", "string") == truth)
-        same = F.when(truth.isNull(), F.coalesce(F.is_variant_null(pv), F.lit(False))) \
-                .otherwise(F.coalesce(eq, F.lit(False)))
-        diffs.append(F.when(~same, F.lit(f)))
-    diff = F.filter(F.array(*diffs), lambda x: x.isNotNull())
-    exact = v.isNotNull() & keys_ok & (F.size(diff) == 0)
+        same = F.when(truth.isNull(), F.col(f"pn_{f}")).otherwise(F.coalesce(eq, F.lit(False)))
+        same_all = same_all & same
+    exact = F.col("_v").isNotNull() & F.col("_keys_ok") & same_all
     return j.groupBy("case").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count(F.when(v.isNotNull(), F.lit(1))).alias("valid_json"),
+        F.count(F.when(F.col("_v").isNotNull(), F.lit(1))).alias("valid_json"),
         F.count(F.when(exact, F.lit(1))).alias("fully_correct"))
 
 
