@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.operators import invoices as inv
 from tokenlake.operators.ordered import first_k
+from tokenlake.session import shared_plan
 
 NUMERIC_FIELDS = ("subtotal", "tax", "total")
 TOLERANCE = 1e-6
@@ -181,6 +182,17 @@ def field_checks(v: Column, f: str, truth: Column) -> tuple[Column, Column]:
 def scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None = None) -> DataFrame:
     """V4 + V5 on every eval example: parsed flag and eight field booleans,
     plus per-row null-recall counters (parsed rows only)."""
+    if predictions is None:
+        return _scored_defects(spark, sf_dir)
+    return _scored(spark, sf_dir, predictions)
+
+
+@shared_plan
+def _scored_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, None)
+
+
+def _scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None) -> DataFrame:
     ex = inv.eval_examples(spark, sf_dir)
     n_null = sum(F.when(F.col(f"t_{f}").isNull(), 1).otherwise(0) for f in inv.ALL_FIELDS)
     cols = ["example_id", "case", *[f"t_{f}" for f in inv.ALL_FIELDS], n_null.alias("n_null_expected")]
