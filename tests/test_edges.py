@@ -123,3 +123,46 @@ def test_timestamps_are_ntz_and_micros_exact(spark):
     from tokenlake.functions.common import micros
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 1, 5),)], "ts timestamp_ntz")
     assert df.select(micros("ts").alias("u")).collect()[0].u == 1704067201000005
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(
+        [(r, e, dt.datetime(2024, 1, 1, 0, 0, s), t) for r, e, s, t in rows],
+        "request_id long, event_id long, ts timestamp_ntz, text string")
+
+
+def test_one_token_request(spark):
+    from tokenlake.operators import telemetry as tel
+    # request 1: prompt + one token; request 2: prompt only (no content -> failed)
+    ev = _events(spark, [(1, 1, 0, "prompt"), (1, 2, 2, "tok"), (2, 3, 0, "prompt")])
+    b = tel.request_metrics(ev)
+    p = {r.request_id: r for r in tel.profile_of(b).collect()}
+    assert p[1].n_tokens == 1 and p[1].ok and p[1].ttft_content == 2.0
+    assert p[1].decode_tps_excl_first is None                 # needs a token after the first
+    assert p[1].second_token_latency is None
+    assert p[2].ok is False and p[2].ttft_content is None     # trap 2
+    a5 = tel.concurrency_of(b).collect()
+    by_level = {r.concurrency: r for r in a5}
+    # request 1 has no gaps: pooled gap mean of its level is NULL (trap 3, sweep keeps NULL)
+    assert by_level[2].avg_inter_token_latency is None and by_level[2].avg_ttft == 2.0
+    assert by_level[4].failure_rate == 1.0 and by_level[4].avg_ttft is None
+
+
+def test_parse_fail_only_case(spark, sf):
+    from tokenlake.operators import evaluate as ev
+    from tokenlake.operators import invoices as inv
+    bad = inv.eval_examples(spark, sf).select("example_id", F.lit("{not json").alias("raw"))
+    rep = ev.case_report(ev.scored(spark, sf, bad)).collect()
+    for r in rep:
+        assert r.parse_fail == r.n and r.all_fields_correct == 0 and r.exact == 0.0
+        assert r.null_recall is None and r.halluc_null_rate is None   # empty denominators -> NULL
+    fr = ev.field_report(ev.scored(spark, sf, bad)).collect()
+    assert all(r.n_ok == 0 and r.accuracy == 0.0 for r in fr)        # divisor floored at 1
+
+
+def test_missing_prediction_is_a_parse_failure(spark, sf):
+    from tokenlake.operators import evaluate as ev
+    from tokenlake.operators import invoices as inv
+    none = inv.eval_examples(spark, sf).select("example_id", F.lit(None).cast("string").alias("raw")).limit(0)
+    rep = ev.case_report(ev.scored(spark, sf, none)).collect()
+    assert all(r.parse_fail == r.n for r in rep)                     # left join J2

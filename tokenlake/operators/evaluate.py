@@ -224,7 +224,11 @@ def _int(c: Column) -> Column:
 def eval_case_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 (+ O2): per case n, exact rate, parse failures, null recall,
     hallucinated-null rate, in the declared case order."""
-    sc = scored(spark, sf_dir)
+    return case_report(scored(spark, sf_dir))
+
+
+def case_report(sc: DataFrame) -> DataFrame:
+    """A10 from a ``scored`` table."""
     p = F.col("parsed")
     null_ok = sum(_int(F.col(f"nullok_{f}")) for f in inv.ALL_FIELDS)
     halluc = sum(_int(F.col(f"halluc_{f}")) for f in inv.ALL_FIELDS)
@@ -249,7 +253,11 @@ def eval_case_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_field_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per case and field, accuracy over parsed rows (divisor >= 1)."""
-    sc = scored(spark, sf_dir)
+    return field_report(scored(spark, sf_dir))
+
+
+def field_report(sc: DataFrame) -> DataFrame:
+    """A11 from a ``scored`` table."""
     long = sc.select("case", "parsed", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"ok_{f}").alias("ok")) for f in inv.ALL_FIELDS
     ])).alias("fo"))

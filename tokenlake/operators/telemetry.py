@@ -48,10 +48,17 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared_plan
 def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-request base metrics of the B1 view of ``events``."""
+    return request_metrics(request_events(spark, sf_dir))
+
+
+def request_metrics(ev: DataFrame) -> DataFrame:
     """Per request: start (prompt phase), first and second token time, end,
     row count and response characters -- two map-side-combined aggregates
-    (the first-3 rows go through a WindowGroupLimit) joined on request_id."""
-    ev = request_events(spark, sf_dir)
+    (the first-3 rows go through a WindowGroupLimit) joined on request_id.
+
+    ``ev`` is any token-event table (request_id, event_id, ts, text); the
+    request attributes (backend, concurrency, status, usage) follow B1."""
     heads = (first_k(ev, "request_id", [F.col("ts"), F.col("event_id")], 3)
              .groupBy("request_id")
              .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("start_ts"),
@@ -81,7 +88,11 @@ def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: every per-request metric variant of SURVEY 0.1."""
-    b = request_base(spark, sf_dir)
+    return profile_of(request_base(spark, sf_dir))
+
+
+def profile_of(b: DataFrame) -> DataFrame:
+    """A1 from a ``request_metrics`` table."""
     ttft0 = F.coalesce(F.col("ttft_us"), F.lit(0))
     client_div = F.col("total_us") - ttft0
     v_tokens = F.when(F.col("usage_tokens") == 0, F.lit(100)).otherwise(F.col("usage_tokens"))
@@ -135,7 +146,11 @@ def concurrency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     last - first token time and their count is n_tokens - 1, so the
     pooled mean needs no per-row window at all.
     """
-    b = request_base(spark, sf_dir)
+    return concurrency_of(request_base(spark, sf_dir))
+
+
+def concurrency_of(b: DataFrame) -> DataFrame:
+    """A5 from a ``request_metrics`` table."""
     ok = F.col("ok")
     g = b.groupBy("concurrency").agg(
         F.sum(F.when(ok, F.col("ttft_us"))).alias("ttft_sum"),
