@@ -61,7 +61,8 @@ def virtual_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.array().cast("array<int>"))
     out = d.select("doc_id", "p", F.concat(pre, F.col("ids")).alias("ids"))
     return out.select("doc_id", F.col("p").alias("n_prefix"), F.size("ids").alias("n_ids"),
-                      F.array_join(F.slice("ids", 1, 8), ",").alias("head"))
+                      F.try_element_at("ids", F.lit(1)).alias("first_id"),
+                      F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
 
 def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,8 @@ WITH {DOCS},
 t AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS p, ids FROM docs),
 t2 AS (SELECT doc_id, p, list_concat(CASE WHEN p > 0 THEN CAST(range({VOCAB_SIZE}, {VOCAB_SIZE} + p) AS INTEGER[])
                                           ELSE CAST([] AS INTEGER[]) END, ids) AS ids FROM t)
-SELECT doc_id, p AS n_prefix, len(ids) AS n_ids, array_to_string(ids[1:8], ',') AS head FROM t2
+SELECT doc_id, p AS n_prefix, len(ids) AS n_ids, ids[1] AS first_id,
+       CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum FROM t2
 """
 
 SQL["g22_g23_request_ids"] = f"""
