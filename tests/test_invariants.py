@@ -124,7 +124,7 @@ def test_perfect_predictor_is_exact(spark, sf):
 def test_rule_predictor_runs_batched(spark, sf):
     from tokenlake.operators import evaluate as ev
     rep = {r.case: r for r in ev.rule_predictor_report(spark, sf).collect()}
-    assert rep["clean"].all_fields_correct == rep["clean"].n                # clean texts fully extracted
+    assert rep["clean"].all_fields_correct == rep["clean"].n and rep["clean"].exact == 1.0   # clean texts fully extracted
 
 
 def test_sft_contract_flags_negative_rows(spark, sf):
