@@ -77,7 +77,7 @@ TRAIN_FRACTION = 0.9
 CASE_BUCKETS = [15, 4, 3, 3, 4]
 # ---------------------------------------------------------------------------
 
-CORRUPT_ATTEMPTS = 4
+CORRUPT_ATTEMPTS = 2        # then the always-valid digit candidate
 
 
 def _arr(values) -> Column:
