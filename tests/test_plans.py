@@ -51,3 +51,18 @@ def test_interval_join_is_an_equi_join(static_spark, sf):
 def test_filters_reach_the_scan(static_spark, sf):
     p = _plan(static_spark, sf, "k2_progressive_where")
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in p
+
+
+PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
+                "PythonMapInArrow", "MapInArrow")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"u1_rule_predictor"}))
+def test_no_python_outside_the_predictor(static_spark, sf, name):
+    p = _plan(static_spark, sf, name)
+    assert not any(n in p for n in PYTHON_NODES), name
+
+
+def test_predictor_runs_in_arrow_batches(static_spark, sf):
+    p = _plan(static_spark, sf, "u1_rule_predictor")
+    assert "MapInPandas" in p or "PythonMapInArrow" in p
