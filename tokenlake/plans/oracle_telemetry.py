@@ -6,9 +6,6 @@ from __future__ import annotations
 from tokenlake.operators.telemetry import PROMPT_TEMPLATE, REPORT_LINE
 from tokenlake.sources.fixtures import GPU_SAMPLES_SQL, RUNS_SQL, BACKENDS, request_dims_sql
 
-D = "CAST({} AS DOUBLE)"
-
-
 def div(num: str, den: str) -> str:
     return f"(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0))"
 

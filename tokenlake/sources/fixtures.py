@@ -122,16 +122,8 @@ SELECT 'h' || CAST(host AS VARCHAR) || '-' || strftime(day, '%Y-%m-%d') AS run_i
 FROM allr
 """
 
-TOKEN_EVENTS_SQL = """
-SELECT user_id AS request_id, event_id, ts, event_type AS text, value,
-       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS token_idx,
-       lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts
-FROM events
-"""
-
-
 def duck_levels(expr: str) -> str:
-    return f"({LEVELS!r})[({expr}) % 12 + 1]".replace("[[", "[[")
+    return f"({LEVELS!r})[({expr}) % 12 + 1]"
 
 
 def duck_backend(expr: str) -> str:
@@ -145,9 +137,5 @@ def request_dims_sql(expr: str) -> str:
             f"CASE WHEN ({expr}) % 17 = 0 THEN 500 ELSE 200 END AS http_status")
 
 
-def epoch_us_sql(expr: str) -> str:
-    return f"epoch_us({expr})"
-
-
 __all__ = ["LEVELS", "BACKENDS", "request_dims", "token_events", "gpu_samples", "runs",
            "micros"]
