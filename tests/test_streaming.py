@@ -53,7 +53,7 @@ def test_t2_gpu_stream_rollup(spark, sf, scratch):
         .withColumn("slice", F.floor(F.dayofmonth("ts") / 8).cast("int"))
     path = os.path.join(scratch, "t2")
     _drop_in_order(s, path, "slice", 4)
-    stream = spark.readStream.schema(files.GPU_SAMPLE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = files.gpu_stream_scan(spark, path, max_files_per_trigger=1)          # S12
     got = _run(ts.gpu_stream_rollup(stream, fx.runs(spark, sf)), "t2_out", scratch)
     want = tel.run_gpu_rollup(spark, sf).drop("host")
     # append mode: windows still open when the stream ends are not emitted
@@ -85,7 +85,7 @@ def test_t5_live_gpu_view(spark, sf, scratch):
         .withColumn("slice", F.floor(F.dayofmonth("ts") / 8).cast("int"))
     path = os.path.join(scratch, "t5")
     _drop_in_order(s, path, "slice", 4)
-    stream = spark.readStream.schema(files.GPU_SAMPLE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = files.gpu_stream_scan(spark, path, max_files_per_trigger=1)          # S12
     got = _run(ts.live_gpu_view(stream), "t5_out", scratch, mode="complete")
     want = tel.live_gpu_view(spark, sf).select(
         "host", "gpu_index", F.col("ts").cast("timestamp").alias("ts"), "util_pct", "temp_c", "power_w")

@@ -166,9 +166,14 @@ def gpu_csv_scan(spark: SparkSession, path: str) -> DataFrame:
         F.trim(F.element_at(parts, 2)).cast("bigint").alias("total_mib"))
 
 
-def gpu_stream_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """GPU samples dropped as files by a collector, read as a stream."""
-    return spark.readStream.schema(GPU_SAMPLE_SCHEMA).format(fmt).load(path)
+def gpu_stream_scan(spark: SparkSession, path: str, fmt: str = "parquet",
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """GPU samples dropped as files by a collector, read as a stream
+    (explicit schema; optionally a bounded number of files per batch)."""
+    r = spark.readStream.schema(GPU_SAMPLE_SCHEMA).format(fmt)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(path)
 
 
 def inline_dataset(spark: SparkSession, rows: list, schema) -> DataFrame:
