@@ -90,3 +90,23 @@ def test_t5_live_gpu_view(spark, sf, scratch):
     want = tel.live_gpu_view(spark, sf).select(
         "host", "gpu_index", F.col("ts").cast("timestamp").alias("ts"), "util_pct", "temp_c", "power_w")
     assert _same(got.withColumn("ts", F.col("ts").cast("timestamp")), want)
+
+
+def test_t4_stream_stream_run_gate(spark, sf, scratch):
+    s = fx.gpu_samples(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")) \
+        .withColumn("slice", F.floor(F.dayofmonth("ts") / 8).cast("int"))
+    r = fx.runs(spark, sf).withColumn("start_ts", F.col("start_ts").cast("timestamp")) \
+        .withColumn("end_ts", F.col("end_ts").cast("timestamp")) \
+        .withColumn("slice", F.least(F.floor(F.dayofmonth("start_ts") / 8), F.lit(3)).cast("int"))
+    sp, rp = os.path.join(scratch, "t4s"), os.path.join(scratch, "t4r")
+    for p in range(4):       # runs and samples of each period arrive together
+        r.filter(F.col("slice") == p).drop("slice").coalesce(1).write.mode("append").parquet(rp)
+        s.filter(F.col("slice") == p).drop("slice").coalesce(1).write.mode("append").parquet(sp)
+    samples = files.gpu_stream_scan(spark, sp, max_files_per_trigger=1)
+    runs = spark.readStream.schema("run_id string, host int, start_ts timestamp, end_ts timestamp") \
+        .option("maxFilesPerTrigger", 1).parquet(rp)
+    got = _run(ts.run_gate_stream(samples, runs, max_run="1 day", delay="2 days"), "t4_out", scratch)
+    want = tel.gpu_run_samples(spark, sf).select("run_id", "host", "gpu_index",
+                                                 F.col("ts").cast("timestamp").alias("ts"),
+                                                 "used_bytes", "util_pct", "power_mw")
+    assert _same(got, want)

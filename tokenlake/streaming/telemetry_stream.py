@@ -127,6 +127,30 @@ def gpu_stream_rollup(samples: DataFrame, runs: DataFrame, delay: str = "1 hour"
                                  F.col("n_samples") * F.lit(1000.0)).alias("avg_power"))
 
 
+def run_gate_stream(samples: DataFrame, runs: DataFrame, max_run: str = "1 day",
+                    delay: str = "1 hour", bucket_seconds: int = 3600) -> DataFrame:
+    """T4 as a stream-stream join: samples only while a run is active.
+
+    Both inputs are streams with watermarks; the join is on (host, time
+    bucket) with the exact range ``start < ts <= end``.  ``max_run`` bounds
+    a run's length so Spark can derive how long each side's join state
+    must be kept (``ts <= start + max_run``) and evict it afterwards."""
+    s = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    r = (runs.withColumn("start_ts", F.col("start_ts").cast("timestamp"))
+             .withColumn("end_ts", F.col("end_ts").cast("timestamp"))
+             .withWatermark("start_ts", delay))
+    width = F.lit(bucket_seconds * 1_000_000)
+    s = s.withColumn("_jb", F.floor(micros("ts") / width).cast("bigint"))
+    r = r.withColumn("_jb", F.explode(F.sequence(F.floor(micros("start_ts") / width).cast("bigint"),
+                                                 F.floor(micros("end_ts") / width).cast("bigint"))))
+    s, r = s.alias("s"), r.alias("r")
+    cond = ((F.col("s.host") == F.col("r.host")) & (F.col("s._jb") == F.col("r._jb"))
+            & (F.col("s.ts") > F.col("r.start_ts")) & (F.col("s.ts") <= F.col("r.end_ts"))
+            & (F.col("s.ts") <= F.col("r.start_ts") + F.expr(f"INTERVAL {max_run}")))
+    j = s.join(r, cond, "inner")
+    return j.select("r.run_id", "s.host", "s.gpu_index", "s.ts", "s.used_bytes", "s.util_pct", "s.power_mw")
+
+
 def live_gpu_view(samples: DataFrame) -> DataFrame:
     """T5: latest sample per device (update mode; max_by is a partial
     aggregate, so a hot device does not concentrate rows)."""
@@ -220,5 +244,5 @@ def with_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-__all__ = ["token_state_machine", "gpu_stream_rollup", "live_gpu_view", "sse_parse", "sse_stream",
+__all__ = ["token_state_machine", "gpu_stream_rollup", "run_gate_stream", "live_gpu_view", "sse_parse", "sse_stream",
            "with_event_time", "micros"]
