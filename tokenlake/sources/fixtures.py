@@ -86,9 +86,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 ``runs``: per (host, day) 06:00 (exclusive) .. 18:00 (inclusive),
     plus one run per host on the day after its last day, which gets no
     samples."""
-    s = gpu_samples(spark, sf_dir).select("host", F.to_date("ts").alias("day"))
-    days = s.distinct()
-    extra = s.groupBy("host").agg(F.date_add(F.max("day"), 1).alias("day"))
+    days = gpu_samples(spark, sf_dir).select("host", F.to_date("ts").alias("day")).distinct()
+    extra = days.groupBy("host").agg(F.date_add(F.max("day"), 1).alias("day"))   # from the small set
     allr = days.unionByName(extra).distinct()
     start = F.to_timestamp_ntz(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" 06:00:00")))
     end = F.to_timestamp_ntz(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" 18:00:00")))
