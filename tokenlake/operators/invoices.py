@@ -357,14 +357,11 @@ def with_split(ex: DataFrame, bucket_width: int = 100_000) -> DataFrame:
     order) -> train, the rest -> validation.
 
     A case is a huge group ("clean" is over half the data), so the rank is
-    computed by the bucketed ordered scan and the per-case size comes from
-    a five-row aggregate that is broadcast (its size is bounded by the
-    number of cases).
+    computed by the bucketed ordered scan, whose per-(case, bucket) summary
+    also yields the case size.
     """
     r = sequence_scan(ex, "case", "example_id", "example_id", idx="itr", prev_ts=None,
-                      bucket_col=F.floor(F.col("example_id") / F.lit(bucket_width)))
-    sizes = ex.groupBy("case").agg(F.count(F.lit(1)).alias("case_n"))
-    r = r.join(F.broadcast(sizes), "case")
+                      bucket_col=F.floor(F.col("example_id") / F.lit(bucket_width)), total_out="case_n")
     return r.withColumn("split", F.when(
         F.col("itr") < F.floor(F.col("case_n") * F.lit(TRAIN_FRACTION)), F.lit("train"))
         .otherwise(F.lit("validation")))

@@ -40,7 +40,7 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
                   idx: str | None = "seq_idx", prev_ts: str | None = "prev_ts",
                   running_max: str | None = None, running_max_out: str = "running_max",
                   running_sum: str | None = None, running_sum_out: str = "sum_before",
-                  bucket_col=None) -> DataFrame:
+                  bucket_col=None, total_out: str | None = None) -> DataFrame:
     """Add 0-based position, previous ``ts`` and optional running max per key.
 
     Order inside a key is ``(ts, tiebreak)``; ``tiebreak`` must make it
@@ -48,6 +48,7 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
     gives the sum of that column over all *earlier* rows of the key.  The
     bucket is ``floor(ts / bucket_seconds)`` unless ``bucket_col`` (any
     column monotone in the order, e.g. ``floor(id / 100000)``) is given.
+    ``total_out`` adds the number of rows of the key (from the summary).
     """
     keys = _keys(key)
     width = F.lit(bucket_seconds * 1_000_000)
@@ -69,6 +70,8 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
         cols.append(F.max("_bmax").over(before).alias("_prev_bkt_max"))
     if running_sum is not None:
         cols.append(F.coalesce(F.sum("_bsum").over(before), F.lit(0)).alias("_prev_bkt_sum"))
+    if total_out is not None:
+        cols.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(total_out))
     summary = summary.select(*cols)
 
     wl = Window.partitionBy(*keys, "_bkt").orderBy(F.col(ts), F.col(tiebreak))
