@@ -58,13 +58,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints / materialised intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared, fault-tolerant folder there).  Only when it is unset -- local
-    tests -- a scratch folder is created and registered.
+    shared, fault-tolerant folder there).  Only when it is unset in local
+    mode (tests) a scratch folder is created; on a cluster an unset value
+    is an error rather than a machine-local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder would be lost with its executor
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
         d = tempfile.mkdtemp(prefix="tokenlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
