@@ -86,14 +86,17 @@ def token_state_machine(events: DataFrame, timeout: str = "10 minutes",
             last_us, n, ended = s[6], s[7], s[8]
         else:
             top, last_us, n, ended = [(None, None)] * 3, None, 0, False
-        for pdf in pdfs:
-            tok = pdf[~pdf["is_end"].astype(bool)]
-            ts_us = tok["ts"].values.astype("datetime64[us]").astype("int64")
-            for t, e in zip(ts_us.tolist(), tok["event_id"].tolist()):
-                top = _insert_top3(top, int(t), int(e))
-                last_us = int(t) if last_us is None else max(last_us, int(t))
-                n += 1
-            ended = ended or bool(pdf["is_end"].astype(bool).any())
+        for pdf in pdfs:                       # Arrow-sized chunks of one request
+            end = pdf["is_end"].astype(bool)
+            tok = pd.DataFrame({"t": pdf.loc[~end, "ts"].values.astype("datetime64[us]").astype("int64"),
+                                "e": pdf.loc[~end, "event_id"].astype("int64").values})
+            if len(tok):
+                for t, e in tok.nsmallest(3, ["t", "e"]).itertuples(index=False):
+                    top = _insert_top3(top, int(t), int(e))
+                m = int(tok["t"].max())
+                last_us = m if last_us is None else max(last_us, m)
+                n += len(tok)
+            ended = ended or bool(end.any())
         if ended:
             state.remove()
             yield pd.DataFrame([_token_metrics(rid, top, last_us, n, "end")])
@@ -205,28 +208,36 @@ def sse_stream(lines: DataFrame, timeout: str = "10 minutes", delay: str = "10 m
             yield emit(rid, s, False)
             return
         s = list(state.get) if state.exists else [None, 0, 0, 0, None, None, None, None, 0, None]
-        for pdf in pdfs:
-            pdf = pdf.sort_values("line_no")
-            for r in pdf.itertuples(index=False):
-                ln = int(r.line_no)
-                if s[0] is not None and ln >= s[0]:
-                    continue
-                t_us = int(pd.Timestamp(r.ts).value // 1000)
-                s[9] = t_us if s[9] is None else max(s[9], t_us)
-                if r.is_done:
-                    s[0] = ln
-                    continue
-                s[1] += 1
-                if not r.valid:
-                    s[2] += 1
-                    continue
-                s[5] = ln if s[5] is None else min(s[5], ln)
-                if r.content_chars is not None and not pd.isna(r.content_chars):
-                    s[3] += 1
-                    s[8] += int(r.content_chars)
-                    s[4] = ln if s[4] is None else min(s[4], ln)
-                if r.usage is not None and not pd.isna(r.usage) and (s[6] is None or ln > s[6]):
-                    s[6], s[7] = ln, int(r.usage)
+        for pdf in pdfs:                       # Arrow-sized chunks, folded with pandas masks
+            d = pdf.sort_values("line_no")
+            if s[0] is not None:
+                d = d[d["line_no"] < s[0]]
+            if not len(d):
+                continue
+            t_us = d["ts"].values.astype("datetime64[us]").astype("int64")
+            s[9] = int(t_us.max()) if s[9] is None else max(s[9], int(t_us.max()))
+            done = d[d["is_done"].astype(bool)]
+            if len(done):
+                s[0] = int(done["line_no"].min())
+                d = d[d["line_no"] < s[0]]
+            valid = d["valid"].astype(bool)
+            s[1] += len(d)
+            s[2] += int((~valid).sum())
+            v = d[valid]
+            if len(v):
+                lo = int(v["line_no"].min())
+                s[5] = lo if s[5] is None else min(s[5], lo)
+            c = v[v["content_chars"].notna()]
+            if len(c):
+                s[3] += len(c)
+                s[8] += int(c["content_chars"].sum())
+                lo = int(c["line_no"].min())
+                s[4] = lo if s[4] is None else min(s[4], lo)
+            u = v[v["usage"].notna()]
+            if len(u):
+                last = u.loc[u["line_no"].idxmax()]
+                if s[6] is None or int(last["line_no"]) > s[6]:
+                    s[6], s[7] = int(last["line_no"]), int(last["usage"])
         if s[0] is not None:
             state.remove()
             yield emit(rid, s, True)
