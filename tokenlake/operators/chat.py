@@ -51,9 +51,14 @@ def n_tokens(text: Column) -> Column:
     return F.size(words(text))
 
 
+def word_ids(ws: Column, salt: str = "tok") -> Column:
+    """U2 default ids of an array of tokens: md5 draw modulo the vocab."""
+    return F.transform(ws, lambda w: F.pmod(draw(salt, w), F.lit(VOCAB_SIZE)).cast("int"))
+
+
 def token_ids(text: Column, salt: str = "tok") -> Column:
-    """U2 default ids: md5 draw of each whitespace token modulo the vocab."""
-    return F.transform(words(text), lambda w: F.pmod(draw(salt, w), F.lit(VOCAB_SIZE)).cast("int"))
+    """U2 default ids of every whitespace token of a text."""
+    return word_ids(words(text), salt)
 
 
 def dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:

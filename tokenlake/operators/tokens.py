@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.functions.common import array_tail
-from tokenlake.operators.chat import VOCAB_SIZE, token_ids, words
+from tokenlake.operators.chat import VOCAB_SIZE, token_ids, word_ids, words
 from tokenlake.session import shared_plan
 from tokenlake.sources.tables import spread, table
 
@@ -101,10 +101,11 @@ def generation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs and outputs paired by an explicit sequence id (never by
     generated row ids), prompt prefix stripped from the output."""
-    d = doc_ids(spark, sf_dir)
-    inp = d.select(F.col("doc_id").alias("seq_id"),
-                   F.slice("ids", 1, F.pmod(F.col("doc_id"), F.lit(8)).cast("int")).alias("inp"))
-    out = d.select(F.col("doc_id").alias("seq_id"), F.col("ids").alias("out"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # the prompt side only needs its first input_len (< 8) tokens
+    first = F.slice(words(F.col("text")), 1, F.pmod(F.col("doc_id"), F.lit(8)).cast("int"))
+    inp = docs.select(F.col("doc_id").alias("seq_id"), word_ids(first).alias("inp"))
+    out = doc_ids(spark, sf_dir).select(F.col("doc_id").alias("seq_id"), F.col("ids").alias("out"))
     j = inp.join(out, "seq_id")
     gen = F.slice("out", F.size("inp") + 1, F.greatest(F.size("out") - F.size("inp"), F.lit(1)))
     gen = F.when(F.size("out") > F.size("inp"), gen).otherwise(F.array().cast("array<int>"))
