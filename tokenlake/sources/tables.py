@@ -41,7 +41,10 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     so a recomputed task sees the same rows); a large input already has
     more splits than cores and is returned unchanged.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Spark Connect session): leave as is
         return df
     return df.repartition(target, key) if key else df.repartition(target)
