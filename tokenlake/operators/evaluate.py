@@ -194,22 +194,29 @@ def _scored_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None) -> DataFrame:
     ex = inv.eval_examples(spark, sf_dir)
-    n_null = sum(F.when(F.col(f"t_{f}").isNull(), 1).otherwise(0) for f in inv.ALL_FIELDS)
-    cols = ["example_id", "case", *[f"t_{f}" for f in inv.ALL_FIELDS], n_null.alias("n_null_expected")]
+    truth = ex.select("example_id", "case", *[f"t_{f}" for f in inv.ALL_FIELDS])
     if predictions is None:
         # B7 predictions are a column of the example row: no join needed.
-        j = ex.select(*cols, defect_raw().alias("raw"))
-    else:
-        j = ex.select(*cols).join(predictions, "example_id", "left")   # J2
-    j = with_field_parts(with_parsed(j))
+        return score(ex.select(*truth.columns, defect_raw().alias("raw")))
+    return score(truth, predictions)
+
+
+def score(truth: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """V4 + V5 for any truth table (example_id, case, t_<field> for the eight
+    fields; NULL = expected null) and predictions (example_id, raw).  A
+    missing prediction is a parse failure (left join, J2).  Without
+    ``predictions`` the truth table must already carry ``raw``."""
+    n_null = sum(F.when(F.col(f"t_{f}").isNull(), 1).otherwise(0) for f in inv.ALL_FIELDS)
+    j = truth if predictions is None else truth.join(predictions, "example_id", "left")
+    j = with_field_parts(with_parsed(j.withColumn("n_null_expected", n_null)))
     parsed = F.col("_v").isNotNull()
     out_cols = []
     for f in inv.ALL_FIELDS:
-        truth = F.col(f"t_{f}")
-        ok, pnull = field_checks_cols(f, truth)
+        t = F.col(f"t_{f}")
+        ok, pnull = field_checks_cols(f, t)
         out_cols += [F.when(parsed, ok).alias(f"ok_{f}"),
-                     F.when(parsed, truth.isNull() & pnull).alias(f"nullok_{f}"),
-                     F.when(parsed, truth.isNotNull() & pnull).alias(f"halluc_{f}")]
+                     F.when(parsed, t.isNull() & pnull).alias(f"nullok_{f}"),
+                     F.when(parsed, t.isNotNull() & pnull).alias(f"halluc_{f}")]
     out = j.select("example_id", "case", "n_null_expected", parsed.alias("parsed"), *out_cols)
     all_ok = F.col("parsed")
     for f in inv.ALL_FIELDS:
