@@ -31,6 +31,9 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
+SPREAD_FACTOR = 1     # partitions per core for CPU-heavy narrow work on small inputs
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give CPU-heavy narrow work at least one partition per core.
 
@@ -42,7 +45,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     more splits than cores and is returned unchanged.
     """
     try:
-        target = df.sparkSession.sparkContext.defaultParallelism
+        target = df.sparkSession.sparkContext.defaultParallelism * SPREAD_FACTOR
         if df.rdd.getNumPartitions() >= target:
             return df
     except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Spark Connect session): leave as is
