@@ -45,3 +45,15 @@ def test_matches_oracle(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_oracle(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle_column_types_match(spark, sf, duck, name):
+    st = dict(QUERIES[name](spark, sf).dtypes)
+    rel = duck.sql(ORACLE[name])
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t.upper()) for c, t in st.items()} == dt

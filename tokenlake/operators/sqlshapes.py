@@ -179,11 +179,11 @@ SQL = {
         SELECT c_custkey, c_name, c_acctbal FROM customer
         WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey""",
     "k5_year_count_sum": """
-        SELECT count(*) AS n_orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total_price
+        SELECT count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total_price
         FROM orders WHERE year(o_orderdate) = 1996""",
     "k6_stacked_avg": """
         SELECT sum_price, n, CAST(sum_price AS DOUBLE) / NULLIF(CAST(n AS DOUBLE), 0) AS avg_price
-        FROM (SELECT sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS sum_price, count(*) AS n FROM lineitem
+        FROM (SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_price, count(*) AS n FROM lineitem
               WHERE l_returnflag = 'R' AND l_discount > 0.05 AND l_quantity < 24)""",
     "k7_group_count": """
         SELECT c_mktsegment, count(*) AS n_customers FROM customer GROUP BY c_mktsegment
@@ -204,19 +204,21 @@ SQL = {
                         FROM lineitem GROUP BY l_partkey HAVING count(*) >= 10) l ON p_partkey = l.l_partkey""",
     "k11_nation_top": """
         SELECT c_custkey, c_name, total_spent
-        FROM customer JOIN (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total_spent
+        FROM customer JOIN (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total_spent
                             FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey
         WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_24')
         ORDER BY total_spent DESC, c_custkey LIMIT 10""",
     "k12_best_month": """
-        SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS monthly_revenue
+        SELECT strftime(o_orderdate, '%Y-%m') AS month,
+               CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS monthly_revenue
         FROM orders GROUP BY month ORDER BY monthly_revenue DESC, month LIMIT 1""",
     "k13_running_total": """
         SELECT month, monthly_revenue,
                sum(monthly_revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                  AS running_total
         FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month,
-                     sum(CAST(o_totalprice AS DECIMAL(18,2))) AS monthly_revenue FROM orders GROUP BY month)""",
+                     CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS monthly_revenue
+              FROM orders GROUP BY month)""",
     "k14_semi_anti": """
         SELECT c_custkey, c_name FROM customer c
         WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)

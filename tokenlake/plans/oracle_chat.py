@@ -59,8 +59,8 @@ SQL["g16_assistant_spans"] = f"""
 WITH {D},
 o AS (SELECT *, coalesce(sum(length({PIECE})) OVER (PARTITION BY conv_id ORDER BY turn
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM d)
-SELECT conv_id, turn, off + length('{S}' || role || {NL}) AS span_start,
-       off + length('{S}' || role || {NL}) + length(content) AS span_end
+SELECT conv_id, turn, CAST(off + length('{S}' || role || {NL}) AS BIGINT) AS span_start,
+       CAST(off + length('{S}' || role || {NL}) + length(content) AS BIGINT) AS span_end
 FROM o WHERE role = 'assistant'
 """
 
@@ -71,7 +71,7 @@ SQL["a13_length_stats"] = f"""
 WITH {D},
 L AS (SELECT conv_id, sum({ntok(PIECE)}) AS n_tokens FROM d GROUP BY conv_id),
 L2 AS (SELECT *, {SPLIT} AS split FROM L)
-SELECT split, count(*) AS n, max(n_tokens) AS max_len, avg(n_tokens) AS avg_len,
+SELECT split, count(*) AS n, CAST(max(n_tokens) AS BIGINT) AS max_len, avg(n_tokens) AS avg_len,
        count(CASE WHEN n_tokens >= {chat.MAX_TOKENS} THEN 1 END) AS n_over_limit,
        max(n_tokens) < {chat.MAX_TOKENS} AS gate_ok
 FROM L2 GROUP BY split
@@ -84,8 +84,9 @@ j AS (SELECT d.*, (turn = last_turn AND last_role = 'assistant') AS is_comp FROM
 per AS (SELECT conv_id, CASE WHEN NOT is_comp THEN {ntok(PIECE)} ELSE 0 END AS p_tok,
                CASE WHEN is_comp THEN {ids(f"content || '{E}'")} END AS c_ids FROM j),
 g AS (SELECT conv_id, sum(p_tok) AS n_prompt_tokens, max(c_ids) AS c_ids FROM per GROUP BY conv_id)
-SELECT conv_id, n_prompt_tokens, len(coalesce(c_ids, [])) AS n_completion_tokens,
-       n_prompt_tokens + len(coalesce(c_ids, [])) AS n_labels,
+SELECT conv_id, CAST(n_prompt_tokens AS BIGINT) AS n_prompt_tokens,
+       CAST(len(coalesce(c_ids, [])) AS INTEGER) AS n_completion_tokens,
+       CAST(n_prompt_tokens + len(coalesce(c_ids, [])) AS INTEGER) AS n_labels,
        CAST(coalesce(list_sum(c_ids), 0) AS BIGINT) AS completion_id_sum,
        (n_prompt_tokens >= 10 AND len(coalesce(c_ids, [])) > 0) AS mask_ok
 FROM g

@@ -356,10 +356,10 @@ WITH {INVOICES}, {PLAN}, {EVAL}, {SCORED},
 g AS (SELECT "case", count(*) AS n,
              count(CASE WHEN NOT parsed THEN 1 END) AS parse_fail,
              count(CASE WHEN all_ok THEN 1 END) AS all_fields_correct,
-             sum(CASE WHEN parsed THEN n_null_expected ELSE 0 END) AS null_expected,
-             sum(CASE WHEN parsed THEN {' + '.join(f'CASE WHEN nullok_{f} THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} ELSE 0 END) AS null_correct,
-             sum(CASE WHEN parsed THEN {len(inv.ALL_FIELDS)} - n_null_expected ELSE 0 END) AS value_expected,
-             sum(CASE WHEN parsed THEN {' + '.join(f'CASE WHEN halluc_{f} THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} ELSE 0 END) AS hallucinated_null
+             CAST(sum(CASE WHEN parsed THEN n_null_expected ELSE 0 END) AS BIGINT) AS null_expected,
+             CAST(sum(CASE WHEN parsed THEN {' + '.join(f'CASE WHEN nullok_{f} THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} ELSE 0 END) AS BIGINT) AS null_correct,
+             CAST(sum(CASE WHEN parsed THEN {len(inv.ALL_FIELDS)} - n_null_expected ELSE 0 END) AS BIGINT) AS value_expected,
+             CAST(sum(CASE WHEN parsed THEN {' + '.join(f'CASE WHEN halluc_{f} THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} ELSE 0 END) AS BIGINT) AS hallucinated_null
       FROM sc2 GROUP BY "case")
 SELECT "case", CAST(list_position({lst(inv.EVAL_CASES)}, "case") AS INTEGER) AS case_pos,
        n, parse_fail, all_fields_correct, null_expected, null_correct, value_expected, hallucinated_null,
@@ -385,7 +385,7 @@ _wrong = ("array_to_string(list_filter([" + ", ".join(
 SQL["w6_first_failures"] = f"""
 WITH {INVOICES}, {PLAN}, {EVAL}, {SCORED},
 f AS (SELECT "case", example_id, CASE WHEN parsed THEN 'value' ELSE 'parse' END AS reason,
-             row_number() OVER (PARTITION BY "case" ORDER BY example_id) AS rank,
+             CAST(row_number() OVER (PARTITION BY "case" ORDER BY example_id) AS INTEGER) AS rank,
              {_wrong} AS wrong_fields
       FROM sc2 WHERE NOT all_ok)
 SELECT * FROM f WHERE rank <= 3

@@ -78,7 +78,7 @@ hf AS (
          coalesce({per_sec('q.total_tokens', 'q.dur_us')}, 0.0) AS tokens_per_second,
          coalesce({div('q.ttft_sum', 'q.n * 1e6')}, 0.0) AS avg_ttft,
          g.max_mem, g.max_gpu, g.avg_power
-  FROM (SELECT backend, backend_idx, sum(n_tokens - 1) AS total_tokens, sum(decode_us) AS dur_us,
+  FROM (SELECT backend, backend_idx, CAST(sum(n_tokens - 1) AS BIGINT) AS total_tokens, sum(decode_us) AS dur_us,
                sum(ttft_us) AS ttft_sum, count(*) AS n
         FROM rb WHERE backend_idx = 0 AND ok AND n_tokens - 1 > 0
         GROUP BY backend, backend_idx) q
@@ -162,7 +162,7 @@ FROM u ORDER BY report_pos
 
 SQL["a6_batch_throughput"] = f"""
 WITH {REQUEST_BASE}
-SELECT backend, sum(n_tokens) AS total_tokens,
+SELECT backend, CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
        (epoch_us(max(end_ts)) - epoch_us(min(start_ts))) / 1e6 AS batch_duration,
        {div('sum(total_us)', 'count(*) * 1e6')} AS avg_latency,
        {per_sec('sum(n_tokens)', 'epoch_us(max(end_ts)) - epoch_us(min(start_ts))')} AS throughput
@@ -265,7 +265,7 @@ SQL["j7_client_prompt_pair"] = f"""
 WITH {REQUEST_BASE},
 p AS (SELECT item_id AS prompt_idx, replace('{_TPL}', '{{input_text}}', text) AS prompt FROM benchmark)
 SELECT request_id AS client_id, prompt_idx, ok,
-       len(list_filter(regexp_split_to_array(prompt, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS prompt_words,
-       length(prompt) AS prompt_chars, total_us / 1e6 AS latency_s, ttft_us / 1e6 AS ttft_s
+       CAST(len(list_filter(regexp_split_to_array(prompt, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS INTEGER) AS prompt_words,
+       CAST(length(prompt) AS INTEGER) AS prompt_chars, total_us / 1e6 AS latency_s, ttft_us / 1e6 AS ttft_s
 FROM rb JOIN p ON rb.request_id = p.prompt_idx
 """

@@ -73,7 +73,7 @@ h AS (SELECT g.*, tot.n_lines,
 SELECT request_id, n_lines, n_data, n_bad_json, n_content, has_done,
        first_content_line * {sse.LINE_MS} AS ttft_content_ms,
        first_chunk_line * {sse.LINE_MS} AS ttft_any_chunk_ms,
-       last_usage, coalesce(response_chars, 0) AS response_chars, est AS est_tokens,
+       last_usage, CAST(coalesce(response_chars, 0) AS BIGINT) AS response_chars, est AS est_tokens,
        CASE WHEN coalesce(last_usage, n_content) = 0 THEN 100
             WHEN coalesce(last_usage, n_content) = 1 THEN est
             ELSE coalesce(last_usage, n_content) END AS sglang_tokens
@@ -95,14 +95,15 @@ SQL["s6_token_csv_scan"] = f"""
 WITH {DOCS},
 t AS (SELECT doc_id, list_transform(string_split(array_to_string(ids, ','), ','), lambda x: CAST(x AS INTEGER)) AS ids FROM docs),
 t2 AS (SELECT doc_id, ids, {tail('ids', tokens.MAX_INPUT_LEN)} AS tl FROM t)
-SELECT doc_id, len(ids) AS n_ids, len(tl) AS tail_len, array_to_string(tl, ',') AS tail FROM t2
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(tl) AS INTEGER) AS tail_len,
+       array_to_string(tl, ',') AS tail FROM t2
 """
 
 SQL["s7_token_matrix_scan"] = f"""
 WITH {DOCS},
 t AS (SELECT doc_id, {padded('ids')} AS row FROM docs),
 t2 AS (SELECT doc_id, len(row) AS row_len, list_filter(row, lambda x: x <> {tokens.PAD_ID}) AS kept FROM t)
-SELECT doc_id, row_len, len(kept) AS n_kept, array_to_string({tail('kept', tokens.MAX_INPUT_LEN)}, ',') AS tail FROM t2
+SELECT doc_id, CAST(row_len AS INTEGER) AS row_len, CAST(len(kept) AS INTEGER) AS n_kept, array_to_string({tail('kept', tokens.MAX_INPUT_LEN)}, ',') AS tail FROM t2
 """
 
 SQL["g21_virtual_prefix"] = f"""
@@ -110,7 +111,7 @@ WITH {DOCS},
 t AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS p, ids FROM docs),
 t2 AS (SELECT doc_id, p, list_concat(CASE WHEN p > 0 THEN CAST(range({VOCAB_SIZE}, {VOCAB_SIZE} + p) AS INTEGER[])
                                           ELSE CAST([] AS INTEGER[]) END, ids) AS ids FROM t)
-SELECT doc_id, p AS n_prefix, len(ids) AS n_ids, ids[1] AS first_id,
+SELECT doc_id, p AS n_prefix, CAST(len(ids) AS INTEGER) AS n_ids, ids[1] AS first_id,
        CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum FROM t2
 """
 
@@ -118,7 +119,7 @@ SQL["g22_g23_request_ids"] = f"""
 WITH {DOCS},
 t AS (SELECT doc_id, CASE WHEN lang = 'en' THEN list_append(ids, {tokens.SOP_ID}) ELSE ids END AS ids2,
              CASE WHEN doc_id % 3 = 0 THEN ids[-1:] END AS own FROM docs)
-SELECT doc_id, len(ids2) AS n_ids, ids2[-1] AS last_id,
+SELECT doc_id, CAST(len(ids2) AS INTEGER) AS n_ids, ids2[-1] AS last_id,
        array_to_string(list_concat(coalesce(own, CAST([] AS INTEGER[])), [{tokens.END_ID}]), ',') AS stop_ids FROM t
 """
 
@@ -130,8 +131,9 @@ b AS (SELECT doc_id, input_len, 0 AS beam, row[1:len(row) // 2] AS out FROM t
       SELECT doc_id, input_len, 1 AS beam, row[len(row) // 2 + 1:len(row) // 2 * 2] AS out FROM t),
 b2 AS (SELECT *, len(list_filter(out, lambda x: x <> {tokens.PAD_ID})) AS seq_len FROM b),
 b3 AS (SELECT *, CASE WHEN seq_len > input_len THEN out[input_len + 1:seq_len] ELSE CAST([] AS INTEGER[]) END AS new FROM b2)
-SELECT doc_id, CAST(beam AS INTEGER) AS beam, input_len, seq_len, (doc_id * 2 + beam) // 2 AS batch_idx,
-       (doc_id * 2 + beam) % 2 AS beam_of_batch, len(new) AS n_new,
+SELECT doc_id, CAST(beam AS INTEGER) AS beam, input_len, CAST(seq_len AS INTEGER) AS seq_len,
+       (doc_id * 2 + beam) // 2 AS batch_idx,
+       (doc_id * 2 + beam) % 2 AS beam_of_batch, CAST(len(new) AS INTEGER) AS n_new,
        CAST(coalesce(list_sum(new), 0) AS BIGINT) AS new_sum FROM b3
 """
 
@@ -141,12 +143,13 @@ i AS (SELECT doc_id AS seq_id, ids[1:CAST(doc_id % 8 AS INTEGER)] AS inp FROM do
 o AS (SELECT doc_id AS seq_id, ids AS out FROM docs),
 j AS (SELECT seq_id, inp, out, CASE WHEN len(out) > len(inp) THEN out[len(inp) + 1:] ELSE CAST([] AS INTEGER[]) END AS gen
       FROM i JOIN o USING (seq_id))
-SELECT seq_id, len(inp) AS n_input, len(gen) AS n_generated, gen[1] AS first_generated FROM j
+SELECT seq_id, CAST(len(inp) AS INTEGER) AS n_input, CAST(len(gen) AS INTEGER) AS n_generated,
+       gen[1] AS first_generated FROM j
 """
 
 SQL["p8_nonblank_lines"] = """
-SELECT doc_id, len(string_split(text, chr(10))) AS n_lines,
-       len(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0)) AS n_nonblank
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
+       CAST(len(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0)) AS INTEGER) AS n_nonblank
 FROM documents
 """
 
@@ -156,7 +159,7 @@ h AS (SELECT doc_id, w, len(w) AS n,
              CASE WHEN len(w) >= 2 THEN list_position(list_transform(range(2, len(w) + 1),
                   lambda i: contains(lower(w[i - 1] || w[i]), '{tokens.STOP_WORD}')), true) END AS pos FROM d),
 k AS (SELECT doc_id, w, n, CASE WHEN pos > 0 THEN pos + 1 END AS stop_pos FROM h)
-SELECT doc_id, n AS n_words, stop_pos,
+SELECT doc_id, CAST(n AS INTEGER) AS n_words, CAST(stop_pos AS BIGINT) AS stop_pos,
        CASE WHEN stop_pos IS NOT NULL THEN stop_pos - 1 ELSE greatest(n - 1, 0) END AS n_kept,
        CASE WHEN (CASE WHEN stop_pos IS NOT NULL THEN stop_pos - 1 ELSE greatest(n - 1, 0) END) > 0
             THEN w[(CASE WHEN stop_pos IS NOT NULL THEN stop_pos - 1 ELSE greatest(n - 1, 0) END) + 1] END AS last_kept
