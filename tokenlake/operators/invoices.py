@@ -318,8 +318,8 @@ def target_cols(date_format: str = DATE_FORMAT) -> list[Column]:
 
 def _json_str(c: Column) -> Column:
     """JSON text of a string value (``null`` for NULL)."""
-    j = F.to_json(F.array(c))
-    return F.when(c.isNull(), F.lit("null")).otherwise(j.substr(F.lit(2), F.length(j) - 2))
+    quoted = let(F.to_json(F.array(c)), lambda j: j.substr(F.lit(2), F.length(j) - 2))   # '["x"]' -> '"x"'
+    return F.when(c.isNull(), F.lit("null")).otherwise(quoted)
 
 
 def target_json(indent: bool = True) -> Column:
