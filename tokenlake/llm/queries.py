@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenlake.llm import minhash
+from tokenlake.llm import minhash, substring
 from tokenlake.llm.common import documents
 
 
@@ -15,8 +16,15 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a smaller doc_id already has, removed: doc_id, n_words, n_removed, kept_sha256."""
+    return (substring.without_repeats(documents(spark, sf_dir))
+            .select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hyperminhash": op6_hyperminhash,
+    "op8_fm_substring": op8_fm_substring,
 }
 
 ORACLE: dict[str, str] = {}
