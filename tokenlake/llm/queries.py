@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import minhash, substring
+from tokenlake.llm import minhash, rules, substring
 from tokenlake.llm.common import documents
 
 
@@ -22,9 +22,15 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
 
 
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules by counts and distribution divergence."""
+    return rules.quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hyperminhash": op6_hyperminhash,
     "op8_fm_substring": op8_fm_substring,
+    "op9_divergence_rules": op9_divergence_rules,
 }
 
 ORACLE: dict[str, str] = {}
