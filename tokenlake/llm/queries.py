@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import minhash, rules, substring
-from tokenlake.llm.common import documents
+from tokenlake.llm import minhash, rules, substring, toxicity
+from tokenlake.llm.common import documents, held_out
+from tokenlake.sources.tables import table
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +28,18 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted; learnt from the rows not held out."""
+    docs = documents(spark, sf_dir)
+    learn = docs.where(~held_out("doc_id", 5, 0))
+    model = toxicity.fit(*toxicity.training_sample(learn, table(spark, sf_dir, "labels"), "toxic", toxicity.MAX_DOCS))
+    return (toxicity.score(spark, docs, model)
+            .select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hyperminhash": op6_hyperminhash,
+    "op7_subword_toxicity": op7_subword_toxicity,
     "op8_fm_substring": op8_fm_substring,
     "op9_divergence_rules": op9_divergence_rules,
 }
