@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import minhash, rules, substring, toxicity
+from tokenlake.llm import minhash, packing, rules, substring, toxicity
 from tokenlake.llm.common import documents, held_out
 from tokenlake.sources.tables import table
 
@@ -28,16 +28,29 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    learn = docs.where(~held_out("doc_id", 5, 0))
+    return toxicity.fit(*toxicity.training_sample(learn, table(spark, sf_dir, "labels"), "toxic", toxicity.MAX_DOCS))
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    return packing.packed(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return packed_pieces(documents(spark, sf_dir))
+
+
 def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document: doc_id, held_out, score, predicted; learnt from the rows not held out."""
     docs = documents(spark, sf_dir)
-    learn = docs.where(~held_out("doc_id", 5, 0))
-    model = toxicity.fit(*toxicity.training_sample(learn, table(spark, sf_dir, "labels"), "toxic", toxicity.MAX_DOCS))
-    return (toxicity.score(spark, docs, model)
+    return (toxicity.score(spark, docs, toxicity_model(spark, docs, sf_dir))
             .select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_dp_packing": op5_dp_packing,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_subword_toxicity": op7_subword_toxicity,
     "op8_fm_substring": op8_fm_substring,

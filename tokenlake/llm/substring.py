@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenlake.llm.common import saved
 from tokenlake.llm.words import gather, mix, powers, range_hashes, text_buffer, word_blocks, word_bounds
@@ -272,8 +273,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                                                            (F.col("start") + F.col("first") + F.col("n") + WINDOW - 1).alias("to"))).alias("spans")))
 
 
-def without_repeats(docs: DataFrame, layout: bool = False) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept)`` of every row.
+def without_repeats(docs: DataFrame, layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept)`` of every row, and the columns ``carry``.
 
     ``kept`` holds the kept words joined by one space or, with ``layout``,
     the text with the removed words and the space after them cut out
@@ -311,8 +312,12 @@ def without_repeats(docs: DataFrame, layout: bool = False) -> DataFrame:
                     raw = piece.tobytes()
                     kept.append(b" ".join([raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist())]))
             yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                                   pa.array([None if k is None else k.decode() for k in kept], pa.string())],
-                                  names=["doc_id", "n_words", "n_removed", "kept"])
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return (docs.join(saved(repeated_spans(docs), "spans"), "doc_id", "left")
-            .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string"))
+                                   pa.array([None if k is None else k.decode() for k in kept], pa.string()), *batch.columns[3:]], names=names)
+    spans = saved(repeated_spans(docs), "spans").withColumnRenamed("doc_id", "doc_id with spans")
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text to cut"), *carry)
+            .join(spans, F.col("doc_id") == F.col("doc_id with spans"), "left")
+            .select("doc_id", "text to cut", "spans", *carry))
+    out = T.StructType([*(T.StructField(k, T.LongType()) for k in ("doc_id", "n_words", "n_removed")), T.StructField("kept", T.StringType()),
+                        *rows.schema.fields[3:]])
+    names = out.fieldNames()
+    return rows.mapInArrow(run, out)

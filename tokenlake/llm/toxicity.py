@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenlake.llm.words import LOWER, Words, gather, mix, word_blocks
 
@@ -267,8 +268,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return text, rows.column("y").to_numpy().astype(np.int64)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, score, predicted)`` of every row.
+def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of every row with ``score`` and ``predicted``.
 
     The model has a fixed size (``BUCKETS`` numbers) and goes to the executors once.
     """
@@ -276,7 +277,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
 
     def run(batches):
         for batch in batches:
-            s = shipped.value.scores(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, score double, predicted int"))
+            s = shipped.value.scores(batch.column(0))
+            yield pa.record_batch([*batch.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
+    rows = docs.select(F.col("text").cast("string").alias("text to score"), *carry)
+    out = T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    names = out.fieldNames()
+    return rows.mapInArrow(run, out)
