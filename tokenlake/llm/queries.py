@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import minhash, packing, rules, substring, toxicity
+from tokenlake.llm import language, minhash, packing, quality, rules, substring, toxicity, vectors
 from tokenlake.llm.common import documents, held_out
 from tokenlake.sources.tables import table
 
@@ -29,8 +29,26 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    learn = docs.where(~held_out("doc_id", 5, 0))
-    return toxicity.fit(*toxicity.training_sample(learn, table(spark, sf_dir, "labels"), "toxic", toxicity.MAX_DOCS))
+    """Learnt from labelled rows of ``docs`` that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return toxicity.fit(*toxicity.training_sample(docs, labels, "toxic", toxicity.MAX_DOCS))
+
+
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: doc_id, held_out, score, predicted; learnt from the rows not held out."""
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
+    model = quality.fit(*toxicity.training_sample(docs, labels, "quality", quality.MAX_DOCS))
+    return (quality.score(spark, docs, model)
+            .select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted"))
+
+
+def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by compressed size: doc_id, held_out, lang_pred, score."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out("doc_id", 4, 2)))
+    return (language.identified(spark, docs, model)
+            .select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected", "margin"))
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
@@ -49,12 +67,20 @@ def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted"))
 
 
+def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within a label: vec_id, n_links, component_id, kept."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nbsvm_quality": op1_nbsvm_quality,
+    "op3_zstd_language": op3_zstd_language,
     "op5_dp_packing": op5_dp_packing,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_subword_toxicity": op7_subword_toxicity,
     "op8_fm_substring": op8_fm_substring,
     "op9_divergence_rules": op9_divergence_rules,
+    "op10_grid_order_join": op10_grid_order_join,
 }
 
 ORACLE: dict[str, str] = {}

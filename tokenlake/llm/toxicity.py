@@ -255,14 +255,15 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[pa.Array, np.ndarray]:
-    """At most ``most`` labelled texts, those of smallest id hash, in that order.
+    """Texts of at most ``most`` labelled documents, those of smallest id hash.
 
-    The bound keeps the driver's part fixed; the limit is pushed into the
-    sort, so no more than that many rows per task leave the executors.
+    The bound keeps the driver's part fixed, and the chosen ids small enough
+    to broadcast, so the texts are not shuffled.
     """
-    marked = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+    chosen = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-            .join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow())
+            .join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id"))
     text = rows.column("text").combine_chunks()
     text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
     return text, rows.column("y").to_numpy().astype(np.int64)
