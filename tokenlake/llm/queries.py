@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import language, minhash, packing, quality, rules, substring, toxicity, vectors
+from tokenlake.llm import bpe, language, minhash, packing, quality, rules, substring, toxicity, vectors
 from tokenlake.llm.common import documents, held_out
 from tokenlake.sources.tables import table
 
@@ -51,6 +51,12 @@ def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected", "margin"))
 
 
+def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document and back: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return (bpe.decoded(bpe.encoded(documents(spark, sf_dir)))
+            .select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")))
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     return packing.packed(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -75,6 +81,7 @@ def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op3_zstd_language": op3_zstd_language,
+    "op4_bpe_replay": op4_bpe_replay,
     "op5_dp_packing": op5_dp_packing,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_subword_toxicity": op7_subword_toxicity,
