@@ -47,7 +47,7 @@ ROWS = 4
 MANTISSA = 10
 ESTIMATE = 0.55           # five standard deviations of the estimate below 0.75
 SCHEMES = ((512, 1 << 62, 1), (64, 683, 8), (1, 86, 64))   # sizes from, under; seeds per shingle
-BLOCK_ROWS = 64           # members of a block in step 4
+BLOCK_ROWS = 512          # members of a block in step 4
 GROUP = 32                # members verified against one set in a task group
 
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -167,14 +167,16 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> D
     the set of the group's own document goes to every lot.
     """
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    lots = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / GROUP).cast("int").alias("lots"))
+    pairs = saved(pairs, "pairs")
+    # written, so that both sides of the join below are plain exchanges, which can be split for a centre of many pairs
+    lots = saved(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / GROUP).cast("int").alias("lots")), "lots")
     dealt = pairs.join(lots, "b").select(F.col("a").alias("member"), F.col("b").alias("centre"),
                                          F.pmod(F.xxhash64("a"), F.col("lots")).cast("int").alias("lot"))
     centres = lots.select(F.col("b").alias("member"), F.col("b").alias("centre"),
                           F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    wanted = saved(dealt.unionByName(centres), "pairs")
-    # texts of the documents in question only
-    ids = wanted.select(F.col("member").alias("doc_id")).distinct()
+    wanted = saved(dealt.unionByName(centres), "dealt-pairs")
+    # texts of the documents in question only; merged at every size, as the ids grow with the table
+    ids = wanted.select(F.col("member").alias("doc_id")).distinct().hint("merge")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
 
     def sets(batches):
