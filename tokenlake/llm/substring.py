@@ -262,8 +262,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = saved(found.join(shared, "anchor"), "shared-pieces")
     first = (found.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "windows")).alias("f"))
              .select("anchor", "piece", "f.*"))
-    parts = first.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / ANCHOR_PIECES).cast("int").alias("parts"))
-    first = saved(first.join(parts, "anchor"), "first-pieces")
+    first = saved(first, "first-pieces")
+    # only anchors of very many pieces; written, so that the join's partitions can be split for them
+    parts = saved(first.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / ANCHOR_PIECES).cast("int").alias("parts")).where("parts > 1"), "parts")
+    first = first.join(parts, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     words = first.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0] or 0
     wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "start", "windows", "parts")).alias("wanted"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id")
