@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new folder under that of spark.checkpoint.dir."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return path if re.match(r"[a-z][a-z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under the folder of spark.checkpoint.dir and read again.
 
@@ -23,7 +30,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     readers share one computation.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

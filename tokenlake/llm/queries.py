@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import bpe, language, minhash, packing, quality, rules, substring, toxicity, vectors
-from tokenlake.llm.common import documents, held_out
+from tokenlake.llm import bpe, language, minhash, order, packing, quality, rules, substring, toxicity, vectors
+from tokenlake.llm.common import documents, held_out, shared_folder
 from tokenlake.sources.tables import table
 
 
@@ -43,6 +43,11 @@ def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted"))
 
 
+def op2_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-stride shards in keyed training order; one row per sequence."""
+    return order.materialise(spark, documents(spark, sf_dir, "text"), shared_folder(spark, "training-order"))
+
+
 def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by compressed size: doc_id, held_out, lang_pred, score."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -80,6 +85,7 @@ def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
+    "op2_feistel_order": op2_feistel_order,
     "op3_zstd_language": op3_zstd_language,
     "op4_bpe_replay": op4_bpe_replay,
     "op5_dp_packing": op5_dp_packing,

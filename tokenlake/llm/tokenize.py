@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from tokenlake.llm.words import gather
 
 VOCABULARY = "word_bpe_49k.json"
-MOST_WORDS = 250_000          # remembered words; then the memory starts anew
+MOST_WORDS = 500_000          # remembered words; then the memory starts anew
 BATCH_CHARS = 1 << 21
 
 _LETTERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "L" and c != "İ")
@@ -42,28 +42,31 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         size = self.library.get_vocab_size()
-        self.ends_sentence = np.zeros(size, bool)
+        self.ends_sentence, self.ends_word = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self.ends_sentence[i] = bool(re.fullmatch(r"[.!?]+(</w>)?", token))
+            self.ends_word[i] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.ids, self.lens, self.known = [], [], 0
         self._flat = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _learn(self, words: list[str]) -> None:
-        for e in self.library.encode_batch(words, add_special_tokens=False):
-            self.ids.append(e.ids)
-            self.lens.append(len(e.ids))
-        for w in words:
-            self.places[w] = len(self.places)
-        lens = np.array(self.lens, np.int64)
-        old = self._flat[0]
-        new = np.fromiter((i for ids in self.ids[self.known:] for i in ids), np.int32)
-        self._flat = (np.concatenate((old, new)), np.cumsum(lens) - lens, lens)
-        self.ids[self.known:] = [()] * (len(self.ids) - self.known)
-        self.known = len(self.ids)
+        """Encodes new words, many in one call: spaces keep them apart, and a word's last id is one that ends words."""
+        flat, first, lens = self._flat
+        parts, sizes = [flat], [lens]
+        for i in range(0, len(words), 4096):
+            some = words[i:i + 4096]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            parts.append(ids)
+            sizes.append(np.diff(ends, prepend=-1))
+        lens = np.concatenate(sizes)
+        self._flat = (np.concatenate(parts), np.cumsum(lens) - lens, lens)
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, text after text, and the number of ids of each."""
