@@ -13,7 +13,7 @@ a text's values are scaled to length 1, so that long texts do not weigh more.
 A linear hinge-loss model is fitted on them by dual coordinate descent (with
 a bias and per-class costs), and a logistic curve on documents held back
 turns margins into probabilities.  At most ``MAX_DOCS`` labelled documents
-(those of smallest id hash) are used, which bounds the driver's work; every
+(of either label those of smallest id hash) are used, which bounds the driver's work; every
 text is scored whole.
 
 Null, empty and space-only texts have no indicator and score by the bias;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenlake.llm.words import Words, gather, mix, word_blocks
 
 FEATURES = 1 << 18
-MAX_DOCS = 8_000
+MAX_DOCS = 6_000          # half of them of either label
 HELD_BACK = 4             # every fourth document of the sample fits the logistic curve
 COST, ROUNDS = 1.0, 12
 SMOOTH = 1.0
@@ -159,7 +159,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     if not len(labels) or labels.min() == labels.max():
         share = float(labels[0]) if len(labels) else 0.5
         return Model(zero, zero, 0.0, 0.0, {0.0: -40.0, 0.5: 0.0, 1.0: 40.0}[share])
-    docs = [np.unique(f) for _, _, block in word_blocks(texts, lower=False) for f in indicators(block)]
+    docs = [np.unique(f).astype(np.int32) for _, _, block in word_blocks(texts, lower=False) for f in indicators(block)]
     back = np.arange(len(labels)) % HELD_BACK == 0
     if len(np.unique(labels[back])) < 2 or len(np.unique(labels[~back])) < 2:
         back[:] = False
@@ -169,7 +169,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     for i in own:
         x = ratio[docs[i]].astype(np.float64)
         size = np.sqrt(x @ x)
-        rows.append((docs[i], x / size if size else x))
+        rows.append((docs[i], (x / size if size else x).astype(np.float32)))
     w, bias = dual_descent(rows, labels[own])
     model = Model(ratio, w.astype(np.float32), bias, 1.0, 0.0)
     check = back if back.any() else ~back

@@ -10,8 +10,8 @@ filled up with zero vectors), a linear softmax gives its toxic probability,
 and the text scores as its most toxic window (so length does not dilute it).
 
 ``fit`` trains embeddings and softmax jointly in numpy with Adam on at most
-``MAX_DOCS`` labelled documents (those of smallest id hash), which keeps the
-driver's work bounded; a document's gradient goes through its most toxic
+``MAX_DOCS`` labelled documents (of either label those of smallest id hash),
+which keeps the driver's work and memory bounded; a document's gradient goes through its most toxic
 window (at first by the n-grams' log odds, then by the model itself).
 N-grams in under ``MIN_DOCS`` documents of the sample stay zero: they could
 only be learnt by heart.  Since the model is linear in the n-grams, scoring needs one number
@@ -26,6 +26,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,7 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW = 8
-MAX_DOCS = 16_000
+MAX_DOCS = 6_000             # half of them of either label
 HELD_BACK = 5                # every fifth document of the sample sets the bias
 MIN_DOCS = 3
 EPOCHS = 12
@@ -189,11 +191,13 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
         number = np.array([vocabulary.setdefault(k, len(vocabulary)) for k in keys.tolist()], np.int64)
         new = number >= known                          # numbered in this order
         g, c = word_grams(block.data, starts[new], ends[new])
-        grams.append(g)
-        counts.append(c)
-        places.append(number[place])
+        grams.append(g.astype(np.int32))
+        counts.append(c.astype(np.int32))
+        places.append(number[place].astype(np.int32))
         lens.append(left)
+    del vocabulary
     grams, count, words, lens = map(np.concatenate, (grams, counts, places, lens))
+    count = count.astype(np.int64)
     begin = np.cumsum(count) - count
     lo, hi, doc = _windows(lens)
     windows = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(lens)))))
@@ -255,13 +259,13 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts of at most ``most`` labelled documents, those of smallest id hash.
+    """Texts of at most ``most`` labelled documents, of either label half of them, those of smallest id hash.
 
     The bound keeps the driver's part fixed, and the chosen ids small enough
     to broadcast, so the texts are not shuffled.
     """
-    chosen = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
+    chosen = reduce(DataFrame.unionByName, (marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for y in (0, 1)))
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
             .join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id"))
     text = rows.column("text").combine_chunks()
