@@ -19,8 +19,9 @@ words or with null text the set is empty and links with nothing.
    document is verified on full sets.
 4. Buckets that still hold several components are finished exactly: their
    members are dealt into small blocks, every pair of blocks compares
-   registers of members of different components, and what passes the
-   estimate is verified on full sets.  No cap on members or partners.
+   members of different components (each two documents only in the first band
+   they share), and what passes the estimate of a finer sketch (1024 one-byte
+   registers) is verified on full sets.  No cap on members or partners.
 5. Components of the verified links; ``component_id`` is the smallest id.
 
 Nulls, empty texts, repeated rows of equal text, empty tables and further
@@ -46,6 +47,9 @@ BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
 ESTIMATE = 0.55           # five standard deviations of the estimate below 0.75
+FINE = 1024
+FINE_ESTIMATE = 0.68      # nearly five standard deviations below 0.75
+FINE_CHANCE = 1 / 48      # that different smallest hashes agree in a one-byte register
 SCHEMES = ((512, 1 << 62, 1), (64, 683, 8), (1, 86, 64))   # sizes from, under; seeds per shingle
 BLOCK_ROWS = 512          # members of a block in step 4
 GROUP = 32                # members verified against one set in a task group
@@ -88,6 +92,26 @@ def registers(shingles: np.ndarray, seeds: int) -> np.ndarray:
     return out
 
 
+def fine_registers(shingles: np.ndarray) -> np.ndarray:
+    """1024 one-byte registers of a set (one seed): 0 if empty, else four bits of leading zeros and of mantissa, plus 1."""
+    bucket = (shingles >> np.uint64(54)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    rest = (shingles[first] & np.uint64((1 << 54) - 1)) >> np.uint64(2)
+    zeros = 52 - np.frexp(rest.astype(np.float64))[1].astype(np.int64)
+    mantissa = ((rest << (zeros + 1).astype(np.uint64)) & np.uint64((1 << 52) - 1)) >> np.uint64(48)
+    out = np.zeros(FINE, np.uint8)
+    out[bucket[first]] = np.minimum(zeros, 14) * 16 + mantissa.astype(np.int64) + 1
+    return out
+
+
+def fine_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard estimate of fine register rows, without the matches expected by chance."""
+    has_a, has_b = a > 0, b > 0
+    equal = ((a == b) & has_a).sum(-1)
+    differ = (has_a & has_b).sum(-1) - equal
+    return (equal - differ * (FINE_CHANCE / (1 - FINE_CHANCE))) / np.maximum(1, (has_a | has_b).sum(-1))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Jaccard estimate of register rows, without the matches expected by chance."""
     filled = ((a > 0) | (b > 0)).sum(-1)
@@ -97,23 +121,24 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.maximum(0, equal - chance) / np.maximum(1, filled)
 
 
-SKETCH = "doc_id long, n_shingles long, digest1 long, digest2 long, r0 binary, r1 binary, r2 binary"
+SKETCH = "doc_id long, n_shingles long, digest1 long, digest2 long, r0 binary, r1 binary, r2 binary, fine binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, digest1, digest2, r0, r1, r2)`` of every row."""
+    """``(doc_id, n_shingles, digest1, digest2, r0, r1, r2, fine)`` of every row."""
     def run(batches):
         for batch in batches:
             rows = []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 regs = [registers(s, k).tobytes() if lo <= n < hi else None for lo, hi, k in SCHEMES]
-                rows.append((n, int(mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s ^ _SEEDS[3]))) if n else 0, *regs))
-            n, d1, d2, r0, r1, r2 = zip(*rows) if rows else [()] * 6
+                rows.append((n, int(mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s ^ _SEEDS[3]))) if n else 0, *regs,
+                             fine_registers(s).tobytes() if n else None))
+            n, d1, d2, r0, r1, r2, fine = zip(*rows) if rows else [()] * 7
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()),
                                    pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
-                                   pa.array(r0, pa.binary()), pa.array(r1, pa.binary()), pa.array(r2, pa.binary())],
-                                  names=["doc_id", "n_shingles", "digest1", "digest2", "r0", "r1", "r2"])
+                                   pa.array(r0, pa.binary()), pa.array(r1, pa.binary()), pa.array(r2, pa.binary()), pa.array(fine, pa.binary())],
+                                  names=["doc_id", "n_shingles", "digest1", "digest2", "r0", "r1", "r2", "fine"])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
@@ -233,9 +258,9 @@ def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame) ->
     partners = F.when(other, F.sequence(F.lit(0), F.col("rest_blocks") + F.col("top_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest_blocks") - 1))
     dealt = (members.withColumn("block", block).withColumn("partner", F.explode(partners))
              .select("band", "value", "id", "component", "block", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j")))
-    sk = reps.select(F.col("doc_id").alias("id"), "n_shingles", "r0", "r1", "r2")
+    sk = reps.select(F.col("doc_id").alias("id"), "n_shingles", "r0", "r1", "r2", "fine")
     regs = members.select("id").distinct().join(sk, "id")
-    rows = dealt.join(regs, "id").select("band", "value", "i", "j", "block", "id", "component", "n_shingles",
+    rows = dealt.join(regs, "id").select("band", "value", "i", "j", "block", "id", "component", "n_shingles", "fine",
                                          F.when(F.col("band") < 32, F.col("r0")).when(F.col("band") < 64, F.col("r1")).otherwise(F.col("r2")).alias("r"))
 
     def compare(key, table):
@@ -244,12 +269,16 @@ def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame) ->
         ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
         size = table.column("n_shingles").to_numpy().astype(np.float64)
         regs = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
+        bands, band = regs.view(np.int64), key[0].as_py() % (BUCKETS // ROWS)
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(ids), FINE)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
             y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
             if len(y):
+                y = y[~((bands[y, :band] == bands[x, :band]) & (bands[x, :band] != 0)).any(1)]
                 y = y[estimate(regs[y], regs[x], size[y], size[x]) >= ESTIMATE]
+                y = y[fine_estimate(fine[y], fine[x]) >= FINE_ESTIMATE]
                 a += [ids[x]] * len(y)
                 b += ids[y].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
