@@ -135,7 +135,9 @@ def test_one_token_request(spark):
     from tokenlake.operators import telemetry as tel
     # request 1: prompt + one token; request 2: prompt only (no content -> failed)
     ev = _events(spark, [(1, 1, 0, "prompt"), (1, 2, 2, "tok"), (2, 3, 0, "prompt")])
-    b = tel.request_metrics(ev)
+    attributes = spark.createDataFrame([(1, "vLLM", 2, 200, 1), (2, "vLLM", 4, 200, None)],
+                                       "request_id long, backend string, concurrency int, http_status int, usage_tokens long")
+    b = tel.request_metrics(ev, attributes)
     p = {r.request_id: r for r in tel.profile_of(b).collect()}
     assert p[1].n_tokens == 1 and p[1].ok and p[1].ttft_content == 2.0
     assert p[1].decode_tps_excl_first is None                 # needs a token after the first

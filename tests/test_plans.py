@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from tokenlake.plans import catalog
 
-QUERIES = E.queries()
+QUERIES = catalog.queries()
 
 
 def _plan(spark, sf, name):

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tokenlake.operators import invoices as inv
 from tokenlake.operators.ordered import first_k
-from tokenlake.session import shared_plan
 
 NUMERIC_FIELDS = ("subtotal", "tax", "total")
 TOLERANCE = 1e-6
@@ -187,7 +186,6 @@ def scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None = Non
     return _scored(spark, sf_dir, predictions)
 
 
-@shared_plan
 def _scored_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, None)
 

@@ -37,4 +37,11 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str | Sequence[s
     lower = (p[ts] >= iv[start]) if start_inclusive else (p[ts] > iv[start])
     cond += [lower, p[ts] <= iv[end]]
     joined = p.join(iv, on=cond, how=how)
+    if how == "inner":
+        # an interval without an end is open: it has no last bucket, so its key alone is joined
+        open_ = intervals.where(F.col(end).isNull()).withColumn("_jb", F.lit(None).cast("bigint"))
+        lower = (p[ts] >= open_[start]) if start_inclusive else (p[ts] > open_[start])
+        joined_open = p.join(open_, on=[p[k] == open_[k] for k in keys] + [lower], how="inner")
+        return (joined.drop(p["_jb"]).drop(iv["_jb"]).drop(*[iv[k] for k in keys])
+                .unionByName(joined_open.drop(p["_jb"]).drop(open_["_jb"]).drop(*[open_[k] for k in keys])))
     return joined.drop(p["_jb"]).drop(iv["_jb"]).drop(*[iv[k] for k in keys])

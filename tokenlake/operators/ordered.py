@@ -86,7 +86,10 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
             "_lsum", F.coalesce(F.sum(running_sum).over(wl.rowsBetween(Window.unboundedPreceding, -1)),
                                 F.lit(0)))
 
-    out = local.join(summary, on=[*keys, "_bkt"], how="inner")
+    # null keys form one group, rows without an order value one bucket (first in the order)
+    named = summary.select(*(F.col(c).alias(f"_s_{c}") if c in (*keys, "_bkt") else F.col(c) for c in summary.columns))
+    same = [local[c].eqNullSafe(named[f"_s_{c}"]) for c in (*keys, "_bkt")]
+    out = local.join(named, on=same, how="inner").drop(*(f"_s_{c}" for c in (*keys, "_bkt")))
     if idx is not None:
         out = out.withColumn(idx, F.col("_offset") + F.col("_rn") - 1)
     if prev_ts is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.operators.chat import words
-from tokenlake.sources.tables import spread, table
+from tokenlake.sources.tables import table
 
 LINE_MS = 20          # logged time step between two stream lines
 DONE = "[DONE]"
@@ -33,8 +33,8 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank line after every 5th word, a broken JSON line after every 7th,
     a keep-alive comment after every 11th, two usage chunks (the last
     wins), ``[DONE]`` and one chunk after it that must be ignored."""
-    c = spread(table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-               .select("conv_id", "turn", "text"), "conv_id")
+    c = (table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+         .select("conv_id", "turn", "text"))
     w = words(F.col("text"))
     role_line = F.lit(PREFIX + '{"choices":[{"index":0,"delta":{"role":"assistant"}}]}')
 
@@ -52,7 +52,7 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                t.cast("string"), F.lit("}}"))
     tail = F.array(usage(n - 1), usage(n), F.lit(PREFIX + DONE), _chunk(F.lit("IGNORED")))
     lines = F.concat(F.array(role_line), body, tail)
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"),
                     F.posexplode(lines).alias("line_no", "line"))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tokenlake.functions.common import micros, truncate_label
 from tokenlake.operators.joins import interval_join
 from tokenlake.operators.ordered import first_k, sequence_scan
-from tokenlake.session import shared_plan
 from tokenlake.sources import fixtures as fx
+from tokenlake.sources.tables import table
 
 US = 1_000_000.0
 
@@ -46,19 +46,21 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("text"))
 
 
-@shared_plan
 def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-request base metrics of the B1 view of ``events``."""
-    return request_metrics(request_events(spark, sf_dir))
+    """Per-request base metrics of the B1 views of ``events``."""
+    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir))
 
 
-def request_metrics(ev: DataFrame) -> DataFrame:
+def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: start (prompt phase), first and second token time, end,
     row count and response characters -- two map-side-combined aggregates
     (the first-3 rows go through a WindowGroupLimit) joined on request_id.
 
-    ``ev`` is any token-event table (request_id, event_id, ts, text); the
-    request attributes (backend, concurrency, status, usage) follow B1."""
+    ``ev`` is any token-event table (request_id, event_id, ts, text) and
+    ``requests`` the attributes of each request (request_id, backend,
+    concurrency, http_status, usage_tokens); a request without a reported
+    usage counts its own tokens.  Events with a null request_id form one
+    request of their own."""
     heads = (first_k(ev, "request_id", [F.col("ts"), F.col("event_id")], 3)
              .groupBy("request_id")
              .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("start_ts"),
@@ -68,17 +70,16 @@ def request_metrics(ev: DataFrame) -> DataFrame:
     totals = ev.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("end_ts"),
         F.sum(F.length("text")).alias("all_chars"))
-    b = heads.join(totals, "request_id")
-    r = F.col("request_id")
+    b = (heads.join(totals.withColumnRenamed("request_id", "total_id"), F.col("request_id").eqNullSafe(F.col("total_id")))
+         .join(requests.select(F.col("request_id").alias("attribute_id"), "backend", "concurrency", "http_status", "usage_tokens"),
+               F.col("request_id").eqNullSafe(F.col("attribute_id")), "left"))
     n_tokens = F.col("n_rows") - 1
     return b.select(
-        "request_id", *fx.request_dims("request_id"),
+        "request_id", "backend", "concurrency", "http_status",
         "start_ts", "first_ts", "second_ts", "end_ts",
         n_tokens.alias("n_tokens"),
         (F.col("all_chars") - F.col("prompt_chars")).alias("response_chars"),
-        F.when(F.pmod(r, F.lit(13)) == 0, F.lit(0))
-         .when(F.pmod(r, F.lit(11)) == 0, F.lit(1))
-         .otherwise(n_tokens).cast("bigint").alias("usage_tokens"),
+        F.coalesce("usage_tokens", n_tokens).cast("bigint").alias("usage_tokens"),
         (micros("first_ts") - micros("start_ts")).alias("ttft_us"),
         (micros("second_ts") - micros("first_ts")).alias("second_us"),
         (micros("end_ts") - micros("start_ts")).alias("total_us"),
@@ -215,16 +216,16 @@ def overall_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hf_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: Hugging Face report.  Requests of backend 0 that produced more
     than one token; tokens/s is a ratio of sums; GPU part from A8 on the
-    backend's host (host index = backend index)."""
-    b = request_base(spark, sf_dir).filter((F.col("backend_idx") == 0) & F.col("ok"))
+    backend's host."""
+    b = request_base(spark, sf_dir).filter((F.col("backend") == fx.BACKENDS[0]) & F.col("ok"))
     hf_tokens = F.col("n_tokens") - 1
-    req = b.filter(hf_tokens > 0).groupBy("backend", "backend_idx").agg(
+    req = b.filter(hf_tokens > 0).groupBy("backend").agg(
         F.sum(hf_tokens).alias("total_tokens"),
         F.sum("decode_us").alias("dur_us"),
         F.sum("ttft_us").alias("ttft_sum"),
         F.count(F.lit(1)).alias("n"))
-    gpu = overall_rollup(spark, sf_dir)
-    j = req.join(gpu, req["backend_idx"] == gpu["host"])
+    req = req.join(fx.backend_hosts(spark), "backend")
+    j = req.join(overall_rollup(spark, sf_dir), "host")
     return j.select(
         "backend", "total_tokens",
         (F.col("dur_us") / F.lit(US)).alias("total_duration"),
@@ -245,8 +246,7 @@ def client_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = p.groupBy("backend").agg(
         F.coalesce(_div(F.sum("ttft_us"), F.count(F.lit(1)) * F.lit(US)), F.lit(0.0)).alias("avg_ttft_sec"),
         F.coalesce(F.round(F.avg(rate), 9), F.lit(0.0)).alias("avg_decode_tokens_per_sec"))
-    req = req.withColumn("host", F.array_position(
-        F.array(*[F.lit(x) for x in fx.BACKENDS]), F.col("backend")).cast("int") - 1)
+    req = req.join(fx.backend_hosts(spark), "backend")
     s = fx.gpu_samples(spark, sf_dir).filter(F.col("gpu_index") == 0)
     gpu = s.groupBy("host").agg(
         F.max("used_bytes").alias("mx"), F.max("util_pct").alias("max_gpu_compute_percent"),
@@ -290,7 +290,6 @@ def client_prompt_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     template with ``{input_text}`` replaced, and its length is measured,
     never taken from a label."""
     from tokenlake.operators.chat import n_tokens
-    from tokenlake.sources.tables import table
     p = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("prompt_idx"),
         F.replace(F.lit(PROMPT_TEMPLATE), F.lit("{input_text}"), F.col("text")).alias("prompt"))
@@ -305,11 +304,11 @@ def client_prompt_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- A6 / A7 / A14
 
 def batch_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per backend batch: total tokens, batch duration, mean request
+    """Per backend batch: total reported (usage) tokens, batch duration, mean request
     latency and aggregate tokens/s."""
     b = request_base(spark, sf_dir)
     g = b.groupBy("backend").agg(
-        F.sum("n_tokens").alias("total_tokens"),
+        F.sum("usage_tokens").alias("total_tokens"),
         F.min("start_ts").alias("b0"), F.max("end_ts").alias("b1"),
         F.sum("total_us").alias("lat_sum"), F.count(F.lit(1)).alias("n"))
     dur = micros("b1") - micros("b0")
@@ -439,12 +438,12 @@ def gpu_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warm_mean_latency(spark: SparkSession, sf_dir: str, warmup: int = 10,
                       timed: int = 10) -> DataFrame:
-    """Per batch (supplier), iterations ordered by every column; mean
+    """Per batch (supplier), iterations in order of order, line and value; mean
     latency of iterations warmup+1 .. warmup+timed.  The rank predicate
     lets Catalyst cut each batch to warmup+timed rows before the shuffle."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    cols = li.columns
-    w = Window.partitionBy("l_suppkey").orderBy(*[F.col(c) for c in cols])
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    # rows that agree on all three are equal in what is averaged
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
     it = li.withColumn("iteration", F.row_number().over(w)).filter(
         F.col("iteration") <= warmup + timed)
     it = it.filter(F.col("iteration") > warmup)

@@ -3,7 +3,7 @@ F.9-F.11, F.19, W7; FIXTURES B10/B11).
 
 Every operator is a per-row array expression over the *whole* document
 (no explode, no shuffle): ids per whitespace word are md5 draws modulo the
-vocabulary (U2 default tokenizer), padded to 64 with the pad id 0.
+vocabulary (U2 default tokenizer), padded to a multiple of 64 with the pad id 0.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.common import array_tail
 from tokenlake.operators.chat import VOCAB_SIZE, token_ids, word_ids, words
-from tokenlake.session import shared_plan
-from tokenlake.sources.tables import spread, table
+from tokenlake.sources.tables import table
 
 PAD_ID = 0
 PAD_TO = 64
@@ -22,35 +21,47 @@ MAX_INPUT_LEN = 48          # O7: keep the last N ids
 END_ID = VOCAB_SIZE - 1     # default stop id appended by G23
 SOP_ID = VOCAB_SIZE + 1     # special id appended by G22
 STOP_WORD = "the"           # W7
+WHITE = " \t\n\r\f\x0b"     # what a blank line may hold
 
 
-@shared_plan
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return d.withColumn("ids", token_ids(F.col("text")))
 
 
+def id_sum(ids: Column) -> Column:
+    return F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
 def padded(ids: Column, width: int = PAD_TO) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(0), F.lit(width) - F.size(ids))))
+    """Ids filled up with the pad id to the next multiple of ``width`` (one ``width`` at least)."""
+    rows = F.greatest(F.lit(1), F.ceil(F.size(ids) / width)).cast("int")
+    return F.concat(ids, F.array_repeat(F.lit(PAD_ID), rows * width - F.size(ids)))
+
+
+def parse_id_line(line: Column) -> Column:
+    """Ids of one CSV line; a blank line is an empty array."""
+    return F.when(F.length(F.btrim(line, F.lit(" \t\r\n"))) > 0,
+                  F.transform(F.split(line, ","), lambda x: F.btrim(x, F.lit(" \t\r\n")).cast("int"))) \
+        .otherwise(F.array().cast("array<int>"))
 
 
-def token_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_csv_scan(spark: SparkSession, sf_dir: str, max_input_len: int = MAX_INPUT_LEN) -> DataFrame:
     """S9 -> S6 -> O7: ids written as a CSV line, read back with split +
-    cast (ragged rows), last MAX_INPUT_LEN ids kept."""
+    cast (ragged rows; a blank line is an empty row), last ``max_input_len`` ids kept."""
     d = doc_ids(spark, sf_dir).select("doc_id", F.array_join("ids", ",").alias("line"))
-    parsed = F.transform(F.split(F.col("line"), ","), lambda x: x.cast("int"))
-    t = d.select("doc_id", parsed.alias("ids")).withColumn("tail", array_tail(F.col("ids"), MAX_INPUT_LEN))
-    return t.select("doc_id", F.size("ids").alias("n_ids"), F.size("tail").alias("tail_len"),
+    t = d.select("doc_id", parse_id_line(F.col("line")).alias("ids")).withColumn("tail", array_tail(F.col("ids"), max_input_len))
+    return t.select("doc_id", F.size("ids").alias("n_ids"), id_sum(F.col("ids")).alias("id_sum"), F.size("tail").alias("tail_len"),
                     F.array_join("tail", ",").alias("tail"))
 
 
-def token_matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded id rows, pad id dropped, last MAX_INPUT_LEN kept."""
+def token_matrix_scan(spark: SparkSession, sf_dir: str, max_input_len: int = MAX_INPUT_LEN) -> DataFrame:
+    """Padded id rows, pad id dropped, last ``max_input_len`` kept."""
     d = doc_ids(spark, sf_dir).select("doc_id", padded(F.col("ids")).alias("row"))
     kept = F.filter(F.col("row"), lambda x: x != PAD_ID)
     t = d.select("doc_id", F.size("row").alias("row_len"), kept.alias("kept"))
-    return t.select("doc_id", "row_len", F.size("kept").alias("n_kept"),
-                    F.array_join(array_tail(F.col("kept"), MAX_INPUT_LEN), ",").alias("tail"))
+    return t.select("doc_id", "row_len", F.size("kept").alias("n_kept"), id_sum(F.col("kept")).alias("id_sum"),
+                    F.array_join(array_tail(F.col("kept"), max_input_len), ",").alias("tail"))
 
 
 def virtual_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +90,13 @@ def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G20 + F.19: outputs[seq][beam][pos] -> one row per (sequence, beam);
-    beams are the two halves of the padded row, sequence length is the
+    beams are the two halves of the padded row (the second one has the
+    middle id of an odd row), sequence length is the
     beam's non-pad count, the new tokens are ids in [input_len, seq_len)
     with input_len = doc_id % 8; batch = floor(i / n_beams)."""
     d = doc_ids(spark, sf_dir).withColumn("row", padded(F.col("ids")))
     half = (F.size("row") / 2).cast("int")
-    beams = F.array(F.slice("row", 1, half), F.slice("row", half + 1, half))
+    beams = F.array(F.slice("row", 1, half), F.slice("row", half + 1, F.size("row") - half))
     b = d.select("doc_id", F.pmod(F.col("doc_id"), F.lit(8)).cast("int").alias("input_len"),
                  F.posexplode(beams).alias("beam", "out"))
     seq_len = F.size(F.filter("out", lambda x: x != PAD_ID))
@@ -101,7 +113,7 @@ def generation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs and outputs paired by an explicit sequence id (never by
     generated row ids), prompt prefix stripped from the output."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the prompt side only needs its first input_len (< 8) tokens
     first = F.slice(words(F.col("text")), 1, F.pmod(F.col("doc_id"), F.lit(8)).cast("int"))
     inp = docs.select(F.col("doc_id").alias("seq_id"), word_ids(first).alias("inp"))
@@ -115,21 +127,21 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that are not blank."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.split(F.col("text"), "\n")
     return d.select("doc_id", F.size(lines).alias("n_lines"),
-                    F.size(F.filter(lines, lambda l: F.length(F.trim(l)) > 0)).alias("n_nonblank"))
+                    F.size(F.filter(lines, lambda l: F.length(F.btrim(l, F.lit(WHITE))) > 0)).alias("n_nonblank"))
 
 
 def stop_cut(spark: SparkSession, sf_dir: str, stop_word: str = STOP_WORD) -> DataFrame:
     """W7 + U4: the first word is the last prompt token; generation stops
     at the first token whose pair (previous token + token, lower-cased)
     contains the stop word; the stopping token is kept."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id") \
+    d = table(spark, sf_dir, "documents").select("doc_id", "text") \
         .select("doc_id", words(F.col("text")).alias("w"))
     n = F.size("w")
     hits = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.contains(
-        F.lower(F.concat(F.try_element_at("w", i - 1), F.try_element_at("w", i))), F.lit(stop_word)))
+        F.lower(F.concat(F.try_element_at("w", i - 1), F.try_element_at("w", i))), F.lit(stop_word.strip().lower())))
     pos = F.when(n >= 2, F.array_position(hits, True)).otherwise(F.lit(0))
     stop = F.when(pos > 0, pos + 1)
     kept = F.when(stop.isNotNull(), stop - 1).otherwise(F.greatest(n - 1, F.lit(0)))

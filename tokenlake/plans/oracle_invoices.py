@@ -109,22 +109,30 @@ def corrupt(label: str, k: str, key: str, salt: str) -> str:
                   f"{{'h': {duck_draw('corrupt:pos', key, salt, a, 'i')}, 'i': i}}))")
         return f"list_transform(list_slice({ranked}, 1, least({k}, {n})), lambda s: s.i)"
 
-    def candidate(a, digits=False):
-        ch = f"substr({label}, CAST(i + 1 AS BIGINT), 1)"
-        if digits:
-            repl = f"substr('0123456789', CAST({duck_draw('corrupt:dig', key, salt, 'i')} % 10 + 1 AS BIGINT), 1)"
-        else:
-            ci = f"(instr({pool}, {ch}) - 1)"
-            size = f"(CASE WHEN {ci} >= 0 THEN 61 ELSE 62 END)"
-            j = f"({duck_draw('corrupt:chr', key, salt, a, 'i')} % {size})"
-            j2 = f"(CASE WHEN {ci} >= 0 AND {j} >= {ci} THEN {j} + 1 ELSE {j} END)"
-            repl = f"substr({pool}, CAST({j2} + 1 AS BIGINT), 1)"
+    ch = f"substr({label}, CAST(i + 1 AS BIGINT), 1)"
+
+    def repl(a):
+        ci = f"(instr({pool}, {ch}) - 1)"
+        size = f"(CASE WHEN {ci} >= 0 THEN 61 ELSE 62 END)"
+        j = f"({duck_draw('corrupt:chr', key, salt, a, 'i')} % {size})"
+        j2 = f"(CASE WHEN {ci} >= 0 AND {j} >= {ci} THEN {j} + 1 ELSE {j} END)"
+        return f"substr({pool}, CAST({j2} + 1 AS BIGINT), 1)"
+
+    def candidate(a):
         return (f"list_transform([{positions(a)}], lambda pos: array_to_string(list_transform(range(0, {n}), "
-                f"lambda i: CASE WHEN list_contains(pos, i) THEN {repl} ELSE {ch} END), ''))[1]")
+                f"lambda i: CASE WHEN list_contains(pos, i) THEN {repl(a)} ELSE {ch} END), ''))[1]")
+
+    def accepted_last(a):
+        made = (f"list_transform(range(1, length({pool}) + 1), lambda c: array_to_string(list_transform(range(0, {n}), "
+                f"lambda i: CASE WHEN i = pos[-1] THEN substr({pool}, c, 1) WHEN list_contains(pos, i) THEN {repl(a)} ELSE {ch} END), ''))")
+        some = (f"list_filter({made}, lambda c: substr(c, CAST(pos[-1] + 1 AS BIGINT), 1) <> substr({label}, CAST(pos[-1] + 1 AS BIGINT), 1) "
+                f"AND NOT list_contains({vocab()}, lower(c)))")
+        return (f"list_transform(list_transform([{positions(a)}], lambda pos: {some}), "
+                f"lambda m: m[{duck_draw('corrupt:last', key, salt)} % len(m) + 1])[1]")
 
     attempts = f"list_transform(range(1, {inv.CORRUPT_ATTEMPTS + 1}), lambda a: {candidate('a')})"
     ok = f"list_filter({attempts}, lambda c: NOT list_contains({vocab()}, lower(c)))"
-    return f"coalesce(({ok})[1], {candidate(str(inv.CORRUPT_ATTEMPTS + 1), digits=True)})"
+    return f"CASE WHEN len({ok}) > 0 THEN ({ok})[1] ELSE {accepted_last(str(inv.CORRUPT_ATTEMPTS + 1))} END"
 
 
 def case_of_key(k: str) -> str:
@@ -180,7 +188,7 @@ sp AS (SELECT *, CASE WHEN itr < floor(case_n * {inv.TRAIN_FRACTION}) THEN 'trai
 
 
 def shuffle_lines(text: str, key: str, salt: str = "lines") -> str:
-    lines = f"list_filter(string_split({text}, chr(10)), lambda l: length(trim(l)) > 0)"
+    lines = f"list_filter(string_split({text}, chr(10)), lambda l: regexp_matches(l, '[^ \\t\\n\\r\\f\\x0B]'))"
     keyed = (f"list_transform({lines}, lambda l, i: "
              f"{{'h': {duck_draw(salt, key, 'i - 1')}, 'i': i - 1, 'l': l}})")
     return f"(array_to_string(list_transform(list_sort({keyed}), lambda s: s.l), chr(10)) || chr(10))"
@@ -308,15 +316,16 @@ SELECT "case", count(*) AS n_relabelled,
 FROM ex WHERE label_field IS NOT NULL GROUP BY "case"
 """
 
+MIXTURE = "CASE \"case\" " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in inv.CASE_MIXTURE) + " END"
+MIXTURE_TOTAL = sum(n for _, n in inv.CASE_MIXTURE)
+
 SQL["a9_case_counts"] = f"""
 WITH {INVOICES}, {PLAN}, {SPLIT},
-g AS (SELECT split, "case", count(*) AS n, any_value(case_n) AS case_n FROM sp GROUP BY split, "case")
-SELECT split, "case", n,
-       CAST(CASE WHEN split = 'train' THEN floor(case_n * {inv.TRAIN_FRACTION})
-                 ELSE case_n - floor(case_n * {inv.TRAIN_FRACTION}) END AS BIGINT) AS expected,
-       n = CAST(CASE WHEN split = 'train' THEN floor(case_n * {inv.TRAIN_FRACTION})
-                     ELSE case_n - floor(case_n * {inv.TRAIN_FRACTION}) END AS BIGINT) AS matches
-FROM g
+g AS (SELECT split, "case", count(*) AS n FROM sp GROUP BY split, "case"),
+e AS (SELECT *, (sum(n) OVER () * {MIXTURE} + {MIXTURE_TOTAL} // 2) // {MIXTURE_TOTAL} AS case_n FROM g),
+f AS (SELECT *, CAST(CASE WHEN split = 'train' THEN floor(case_n * {inv.TRAIN_FRACTION})
+                          ELSE case_n - floor(case_n * {inv.TRAIN_FRACTION}) END AS BIGINT) AS expected FROM e)
+SELECT split, "case", n, expected, abs(n - expected) <= greatest(1.0, expected * 0.05) AS matches FROM f
 """
 
 SQL["g11_prompt_completion"] = f"""

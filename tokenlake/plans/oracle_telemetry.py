@@ -162,10 +162,10 @@ FROM u ORDER BY report_pos
 
 SQL["a6_batch_throughput"] = f"""
 WITH {REQUEST_BASE}
-SELECT backend, CAST(sum(n_tokens) AS BIGINT) AS total_tokens,
+SELECT backend, CAST(sum(usage_tokens) AS BIGINT) AS total_tokens,
        (epoch_us(max(end_ts)) - epoch_us(min(start_ts))) / 1e6 AS batch_duration,
        {div('sum(total_us)', 'count(*) * 1e6')} AS avg_latency,
-       {per_sec('sum(n_tokens)', 'epoch_us(max(end_ts)) - epoch_us(min(start_ts))')} AS throughput
+       {per_sec('sum(usage_tokens)', 'epoch_us(max(end_ts)) - epoch_us(min(start_ts))')} AS throughput
 FROM rb GROUP BY backend
 """
 
@@ -241,9 +241,7 @@ SQL["a15_warm_mean_latency"] = """
 SELECT batch, count(*) AS n_timed,
        CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / NULLIF(count(*) * 100.0, 0) AS mean_latency
 FROM (SELECT l_suppkey AS batch, l_quantity,
-             row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_suppkey,
-                l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
-                l_linestatus, l_shipdate) AS iteration
+             row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS iteration
       FROM lineitem)
 WHERE iteration > 10 AND iteration <= 20
 GROUP BY batch

@@ -29,7 +29,7 @@ ROLE_LINE = sse.PREFIX + '{"choices":[{"index":0,"delta":{"role":"assistant"}}]}
 BROKEN = sse.PREFIX + '{"choices": ['
 
 LINES = f"""
-c AS (SELECT conv_id * 1000 + turn AS request_id, {words('text')} AS w FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id || ':' || turn AS request_id, {words('text')} AS w FROM conversations WHERE role = 'assistant'),
 ll AS (SELECT request_id, list_concat(
           ['{ROLE_LINE}'],
           list_filter(flatten(list_transform(w, lambda x, i: [
@@ -88,14 +88,14 @@ def tail(a: str, n: int) -> str:
 
 
 def padded(a: str) -> str:
-    return f"list_concat({a}, list_transform(range(0, greatest(0, {tokens.PAD_TO} - len({a}))), lambda x: {tokens.PAD_ID}))"
+    return f"list_concat({a}, list_transform(range(0, greatest(1, (len({a}) + {tokens.PAD_TO} - 1) // {tokens.PAD_TO}) * {tokens.PAD_TO} - len({a})), lambda x: {tokens.PAD_ID}))"
 
 
 SQL["s6_token_csv_scan"] = f"""
 WITH {DOCS},
-t AS (SELECT doc_id, list_transform(string_split(array_to_string(ids, ','), ','), lambda x: CAST(x AS INTEGER)) AS ids FROM docs),
+t AS (SELECT doc_id, ids FROM docs),
 t2 AS (SELECT doc_id, ids, {tail('ids', tokens.MAX_INPUT_LEN)} AS tl FROM t)
-SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(len(tl) AS INTEGER) AS tail_len,
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum, CAST(len(tl) AS INTEGER) AS tail_len,
        array_to_string(tl, ',') AS tail FROM t2
 """
 
@@ -103,7 +103,7 @@ SQL["s7_token_matrix_scan"] = f"""
 WITH {DOCS},
 t AS (SELECT doc_id, {padded('ids')} AS row FROM docs),
 t2 AS (SELECT doc_id, len(row) AS row_len, list_filter(row, lambda x: x <> {tokens.PAD_ID}) AS kept FROM t)
-SELECT doc_id, CAST(row_len AS INTEGER) AS row_len, CAST(len(kept) AS INTEGER) AS n_kept, array_to_string({tail('kept', tokens.MAX_INPUT_LEN)}, ',') AS tail FROM t2
+SELECT doc_id, CAST(row_len AS INTEGER) AS row_len, CAST(len(kept) AS INTEGER) AS n_kept, CAST(coalesce(list_sum(kept), 0) AS BIGINT) AS id_sum, array_to_string({tail('kept', tokens.MAX_INPUT_LEN)}, ',') AS tail FROM t2
 """
 
 SQL["g21_virtual_prefix"] = f"""
@@ -128,7 +128,7 @@ WITH {DOCS},
 t AS (SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS input_len, {padded('ids')} AS row FROM docs),
 b AS (SELECT doc_id, input_len, 0 AS beam, row[1:len(row) // 2] AS out FROM t
       UNION ALL
-      SELECT doc_id, input_len, 1 AS beam, row[len(row) // 2 + 1:len(row) // 2 * 2] AS out FROM t),
+      SELECT doc_id, input_len, 1 AS beam, row[len(row) // 2 + 1:len(row)] AS out FROM t),
 b2 AS (SELECT *, len(list_filter(out, lambda x: x <> {tokens.PAD_ID})) AS seq_len FROM b),
 b3 AS (SELECT *, CASE WHEN seq_len > input_len THEN out[input_len + 1:seq_len] ELSE CAST([] AS INTEGER[]) END AS new FROM b2)
 SELECT doc_id, CAST(beam AS INTEGER) AS beam, input_len, CAST(seq_len AS INTEGER) AS seq_len,
@@ -147,9 +147,9 @@ SELECT seq_id, CAST(len(inp) AS INTEGER) AS n_input, CAST(len(gen) AS INTEGER) A
        gen[1] AS first_generated FROM j
 """
 
-SQL["p8_nonblank_lines"] = """
+SQL["p8_nonblank_lines"] = r"""
 SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
-       CAST(len(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) > 0)) AS INTEGER) AS n_nonblank
+       CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\r\f\x0B]'))) AS INTEGER) AS n_nonblank
 FROM documents
 """
 

@@ -75,31 +75,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
-_PLANS: dict = {}
-
-
-def shared_plan(fn):
-    """Build a shared logical plan once per (session, arguments).
-
-    Several queries start from the same derived view (the invoice
-    examples, the token ids of the documents); building those expression
-    trees costs thousands of driver-side calls.  The DataFrame is lazy and
-    immutable, so returning the same plan object is safe -- nothing is
-    cached or materialised, each query still runs its whole lineage.
-    """
-    import functools
-
-    @functools.wraps(fn)
-    def wrapper(spark, *args, **kwargs):
-        key = (fn.__module__, fn.__qualname__, id(spark), args, tuple(sorted(kwargs.items())))
-        df = _PLANS.get(key)
-        if df is None or df.sparkSession is not spark:
-            df = fn(spark, *args, **kwargs)
-            _PLANS[key] = df
-        return df
-    return wrapper
-
-
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: cuts the lineage for several consumers, and a lost executor only

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,10 +57,13 @@ CHAT_SCHEMA = T.StructType([
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    try:
+        spark.read.text(path)           # resolves the path only
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 # ------------------------------------------------------------------ S2 / S5
@@ -133,9 +137,9 @@ def token_csv_sink(df: DataFrame, path: str, ids: str = "ids") -> None:
 
 
 def token_csv_scan(spark: SparkSession, path: str, max_input_length: int | None = None) -> DataFrame:
-    """Ragged CSV of token ids -> ARRAY<INT>, optionally the last N."""
-    ids = F.transform(F.split(F.col("value"), ","), lambda x: F.trim(x).cast("int"))
-    out = spark.read.text(path).select(ids.alias("ids"))
+    """Ragged CSV of token ids -> ARRAY<INT> (a blank line: empty), optionally the last N."""
+    from tokenlake.operators.tokens import parse_id_line
+    out = spark.read.text(path).select(parse_id_line(F.col("value")).alias("ids"))
     if max_input_length:
         out = out.withColumn("ids", array_tail(F.col("ids"), max_input_length))
     return out

@@ -36,7 +36,6 @@ def request_dims(request_id) -> list:
     r = F.col(request_id)
     return [
         _backend_col(r).alias("backend"),
-        F.pmod(r, F.lit(3)).cast("int").alias("backend_idx"),
         _levels_col(r).alias("concurrency"),
         F.when(F.pmod(r, F.lit(17)) == 0, F.lit(500)).otherwise(F.lit(200)).alias("http_status"),
     ]
@@ -46,6 +45,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 request attributes: request_id, backend, concurrency, http_status and
+    the reported usage (0 for ids divisible by 13, 1 by 11, else not reported)."""
+    r = F.col("request_id")
+    ids = events(spark, sf_dir).select(F.col("user_id").alias("request_id")).distinct()
+    usage = F.when(F.pmod(r, F.lit(13)) == 0, F.lit(0)).when(F.pmod(r, F.lit(11)) == 0, F.lit(1))
+    return ids.select("request_id", *request_dims("request_id"), usage.cast("bigint").alias("usage_tokens"))
+
+
+def backend_hosts(spark: SparkSession) -> DataFrame:
+    """B2: the host that each backend ran on (one row per backend)."""
+    return spark.createDataFrame([(b, i) for i, b in enumerate(BACKENDS)], "backend string, host int")
+
+
 def token_events(spark: SparkSession, sf_dir: str,
                  bucket_seconds: int = 3600) -> DataFrame:
     """B1 ``token_events``: one row per event of a user, in (ts, event_id) order.

@@ -29,25 +29,3 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Expose every table as a temp view (for SQL-first callers)."""
     for t in TABLES:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-
-
-SPREAD_FACTOR = 1     # partitions per core for CPU-heavy narrow work on small inputs
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy narrow work at least one partition per core.
-
-    A small table stored as one Parquet row group is read by a single task,
-    so per-row work (rendering, hashing every word, JSON parsing) would run
-    on one core.  When the scan has fewer partitions than the cluster's
-    default parallelism, hash-partition on ``key`` (deterministic placement,
-    so a recomputed task sees the same rows); a large input already has
-    more splits than cores and is returned unchanged.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * SPREAD_FACTOR
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Spark Connect session): leave as is
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)

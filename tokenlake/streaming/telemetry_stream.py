@@ -67,10 +67,16 @@ def _token_metrics(rid, top, last_us, n, how):
 
 
 def token_state_machine(events: DataFrame, timeout: str = "10 minutes",
-                        delay: str = "10 minutes") -> DataFrame:
+                        delay: str = "10 minutes", grace: str | None = None) -> DataFrame:
     """T1 (+ U5): ``events`` has request_id, event_id, ts (TIMESTAMP) and
-    is_end (the [DONE]-style end row, which is not a token)."""
+    is_end (the [DONE]-style end row, which is not a token).
+
+    A request is emitted once: at its end row, after which its state stays as
+    a tombstone until the timeout and swallows what still arrives; or, with
+    ``grace``, that long after its last event, so that tokens which arrive
+    after the end row still count."""
     gap_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    grace_ms = None if grace is None else int(pd.Timedelta(grace).total_seconds() * 1000)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rid = int(key[0])
@@ -78,10 +84,14 @@ def token_state_machine(events: DataFrame, timeout: str = "10 minutes",
             s = state.get
             top = [(s[0], s[1]), (s[2], s[3]), (s[4], s[5])]
             state.remove()
-            yield pd.DataFrame([_token_metrics(rid, top, s[6], s[7], "timeout")])
+            if not s[8] or grace_ms is not None:
+                yield pd.DataFrame([_token_metrics(rid, top, s[6], s[7], "end" if s[8] else "timeout")])
             return
         if state.exists:
             s = state.get
+            if s[8] and grace_ms is None:      # emitted: a tombstone
+                state.setTimeoutTimestamp(_timeout_ms(state, s[6], gap_ms))
+                return
             top = [(s[0], s[1]), (s[2], s[3]), (s[4], s[5])]
             last_us, n, ended = s[6], s[7], s[8]
         else:
@@ -97,12 +107,10 @@ def token_state_machine(events: DataFrame, timeout: str = "10 minutes",
                 last_us = m if last_us is None else max(last_us, m)
                 n += len(tok)
             ended = ended or bool(end.any())
-        if ended:
-            state.remove()
+        state.update((top[0][0], top[0][1], top[1][0], top[1][1], top[2][0], top[2][1], last_us, n, ended))
+        state.setTimeoutTimestamp(_timeout_ms(state, last_us, grace_ms if ended and grace_ms is not None else gap_ms))
+        if ended and grace_ms is None:
             yield pd.DataFrame([_token_metrics(rid, top, last_us, n, "end")])
-            return
-        state.update((top[0][0], top[0][1], top[1][0], top[1][1], top[2][0], top[2][1], last_us, n, False))
-        state.setTimeoutTimestamp(_timeout_ms(state, last_us, gap_ms))
 
     return (events.withWatermark("ts", delay)
             .groupBy("request_id")
@@ -161,6 +169,7 @@ def live_gpu_view(samples: DataFrame) -> DataFrame:
                       F.struct("ts", "used_bytes", "util_pct", "power_mw"))
     g = samples.groupBy("host", "gpu_index").agg(latest.alias("l"))
     return g.select("host", "gpu_index", F.col("l.ts").alias("ts"),
+                    (F.col("l.used_bytes") / F.lit(float(1024 ** 3))).alias("used_gib"),
                     F.col("l.util_pct").alias("util_pct"), F.col("l.temp_c").alias("temp_c"),
                     (F.col("l.power_mw") / F.lit(1000.0)).alias("power_w"))
 
@@ -169,7 +178,7 @@ def live_gpu_view(samples: DataFrame) -> DataFrame:
 
 SSE_STATE_SCHEMA = ("done_line long, n_data long, n_bad long, n_content long, first_content long, "
                     "first_chunk long, usage_line long, usage long, chars long, last_us long")
-SSE_OUT_SCHEMA = ("request_id long, n_data long, n_bad_json long, n_content long, first_content_line long, "
+SSE_OUT_SCHEMA = ("request_id string, n_data long, n_bad_json long, n_content long, first_content_line long, "
                   "first_chunk_line long, last_usage long, response_chars long, has_done boolean")
 
 
@@ -191,7 +200,8 @@ def sse_parse(lines: DataFrame) -> DataFrame:
 
 def sse_stream(lines: DataFrame, timeout: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """Per-request SSE metrics; lines of one request arrive in order (as
-    on the wire); everything from [DONE] on is ignored."""
+    on the wire); everything from [DONE] on is ignored, also what arrives in
+    later batches: the state stays as a tombstone until the timeout."""
     gap_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     parsed = sse_parse(lines)
 
@@ -201,11 +211,15 @@ def sse_stream(lines: DataFrame, timeout: str = "10 minutes", delay: str = "10 m
                               "response_chars": s[8], "has_done": has_done}])
 
     def step(key, pdfs, state: GroupState):
-        rid = int(key[0])
+        rid = str(key[0])
         if state.hasTimedOut:
             s = state.get
             state.remove()
-            yield emit(rid, s, False)
+            if s[0] is None:
+                yield emit(rid, s, False)
+            return
+        if state.exists and state.get[0] is not None:
+            state.setTimeoutTimestamp(_timeout_ms(state, state.get[9], gap_ms))
             return
         s = list(state.get) if state.exists else [None, 0, 0, 0, None, None, None, None, 0, None]
         for pdf in pdfs:                       # Arrow-sized chunks, folded with pandas masks
@@ -238,14 +252,12 @@ def sse_stream(lines: DataFrame, timeout: str = "10 minutes", delay: str = "10 m
                 last = u.loc[u["line_no"].idxmax()]
                 if s[6] is None or int(last["line_no"]) > s[6]:
                     s[6], s[7] = int(last["line_no"]), int(last["usage"])
-        if s[0] is not None:
-            state.remove()
-            yield emit(rid, s, True)
-            return
         state.update(tuple(s))
         state.setTimeoutTimestamp(_timeout_ms(state, s[9], gap_ms))
+        if s[0] is not None:
+            yield emit(rid, s, True)
 
-    return (parsed.withWatermark("ts", delay).groupBy("request_id")
+    return (parsed.withColumn("request_id", F.col("request_id").cast("string")).withWatermark("ts", delay).groupBy("request_id")
             .applyInPandasWithState(step, SSE_OUT_SCHEMA, SSE_STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
