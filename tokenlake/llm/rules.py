@@ -25,6 +25,9 @@ and null texts fail the base rules with all counts 0.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,27 +118,32 @@ def references(rows: DataFrame) -> DataFrame:
     return total.select("lang", *(F.array(*(f"{c}{i}" for i in range(n))).alias(f"ref_{c}") for c, n in sizes.items()))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two count arrays."""
-    def share(a: Column) -> Column:
-        total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(a, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+def js_distance(shares: str, reference: list[int]) -> Column:
+    """Jensen-Shannon distance (base 2) of the array of shares in column ``shares`` to a reference of counts.
+
+    Written out class by class: plain arithmetic, which Spark compiles.
+    """
+    total = sum(reference) or 1
+    terms = []
+    for i, n in enumerate(reference):
+        p, q = F.get(shares, F.lit(i)), n / total
+        terms.append(F.when(p > 0, p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q))).otherwise(F.lit(q)) if q else p)
+    return F.sqrt(F.greatest(F.lit(0.0), reduce(operator.add, terms) / 2))
 
-    def term(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    parts = F.zip_with(share(p), share(q), lambda a, b: term(a, (a + b) / 2) + term(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
+def _nearest(rows: DataFrame, refs: list) -> DataFrame:
+    """``rows`` with ``near``: distances to the reference of the nearest language by common words (null without references).
 
-def _nearest(refs: list) -> Column:
-    """Distances to the reference of the nearest language by common words; null without references."""
-    def distances(r) -> Column:
-        return F.struct(js_distance(F.col("common"), F.lit(r["ref_common"])).alias("common_distance"),
-                        js_distance(F.col("chars"), F.lit(r["ref_chars"])).alias("char_distance"),
-                        F.lit(r["lang"]).cast("string").alias("nearest"))
+    Written to the shared folder, as filters and several columns use it.
+    """
+    shares = rows.withColumn("p_common", F.transform("common", lambda x: x / F.greatest("n_words", F.lit(1)))).withColumn(
+        "p_chars", F.transform("chars", lambda x: x / F.greatest("word_chars", F.lit(1))))
     if not refs:
-        return F.lit(None).cast("struct<common_distance:double,char_distance:double,nearest:string>")
-    return F.array_min(F.array(*map(distances, refs)))
+        return rows.withColumn("near", F.lit(None).cast("struct<common_distance:double,char_distance:double,nearest:string>"))
+    near = F.array_min(F.array(*(F.struct(F.coalesce(js_distance("p_common", r["ref_common"]), F.lit(1.0)).alias("common_distance"),
+                                          F.coalesce(js_distance("p_chars", r["ref_chars"]), F.lit(1.0)).alias("char_distance"),
+                                          F.lit(r["lang"]).cast("string").alias("nearest")) for r in refs)))
+    return saved(shares.select(*rows.columns, near.alias("near")), "rule-distances")
 
 
 def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR, max_char_short: float = MAX_CHAR_SHORT,
@@ -146,10 +154,10 @@ def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR, max_char_short: f
     first = references(rows).orderBy("lang").collect()
     close = ((F.col("near.char_distance") <= TRIM_CHAR)
              & (F.col("near.common_distance") <= TRIM_COMMON + TRIM_NOISE / F.sqrt("n_words")))
-    refs = references(rows.withColumn("near", _nearest(first)).where(close)).orderBy("lang").collect() if first else []
+    refs = references(_nearest(rows, first).where(close)).orderBy("lang").collect() if first else []
     far = ((F.col("near.char_distance") > F.when(F.col("n_words") < MIN_CHAR, max_char_short).otherwise(max_char))
            | ((F.col("n_words") >= MIN_COMMON) & (F.col("near.common_distance") > max_common)))
-    return (rows.withColumn("near", _nearest(refs or first))
+    return (_nearest(rows, refs or first)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "near.char_distance", "near.common_distance", "near.nearest",
                     (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept")))
