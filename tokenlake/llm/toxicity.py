@@ -2,7 +2,7 @@
 
 A word is lower-cased ``[^\\x20\\x09-\\x0D]+`` with ASCII punctuation at its
 ends cut off; its vector is the mean of the vectors of itself (hashed) and of
-its byte 3-, 4- and 5-grams between word marks, so an unseen misspelling
+its byte 3-, 5-, 6- and 8-grams between word marks, so an unseen misspelling
 shares most of its vector with the spelling it comes from.  A text, without
 words equal to the one before, is read in windows of ``WINDOW`` words that
 overlap by half; a window's vector is the mean of its words (a shorter one is
@@ -38,7 +38,7 @@ from tokenlake.llm.words import LOWER, Words, gather, mix, word_blocks
 
 BUCKETS = 1 << 18
 DIM = 8
-GRAMS = (3, 4, 5)
+GRAMS = (3, 5, 6, 8)
 WINDOW = 8
 MAX_DOCS = 6_000             # half of them of either label
 HELD_BACK = 5                # every fifth document of the sample sets the bias
@@ -87,7 +87,7 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         for j in range(n):
             code = (code << np.uint64(8)) | marked[j:j + len(code)]
         whole = owner[:len(code)] == owner[n - 1:]
-        grams.append((mix(code[whole] ^ np.uint64(n << 56)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1)
+        grams.append((mix(mix(code[whole]) + np.uint64(n)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1)
         owners.append(owner[:len(code)][whole])
     # the word itself: a running hash over its bytes
     power = np.uint64(0x100000001B3)
@@ -217,6 +217,7 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
     step, rate = 0, RATE
     balance = np.array([0.5 / max(1e-9, (labels == 0).mean()), 0.5 / (labels == 1).mean()])
     filled = np.flatnonzero(lens > 0)
+    size_of_batch = min(256, max(16, len(filled) // 40))
     for epoch in range(epochs):
         # logits of all windows under the present model: the most toxic window of each document is trained
         weight = emb @ (out[:, 1] - out[:, 0]) if epoch else odds * known
@@ -226,8 +227,8 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
         top = np.lexsort((-z, doc))
         top = top[windows[:-1][filled]]
         order = rng.permutation(len(filled))
-        for b in range(0, len(order), 256):
-            pick = order[b:b + 256]
+        for b in range(0, len(order), size_of_batch):
+            pick = order[b:b + size_of_batch]
             w, y = top[pick], labels[filled[pick]].astype(np.int64)
             size = hi[w] - lo[w]
             row = np.repeat(np.arange(len(w)), size)
