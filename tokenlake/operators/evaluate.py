@@ -116,6 +116,16 @@ def batch_predict(ex: DataFrame, predictor: Callable[[pd.Series], pd.Series] = r
     return ex.select("example_id", text_col).mapInPandas(run, "example_id long, raw string")
 
 
+def predicted(ex: DataFrame, predictor: Callable[[pd.Series], pd.Series] = rule_predictor,
+              text_col: str = "text") -> DataFrame:
+    """U1 as a column: ``ex`` with the predictor's output in ``raw``, one pass
+    over Arrow batches and no join (for predictions that come from elsewhere
+    see ``score(truth, predictions)``)."""
+    def predict(text: pd.Series) -> pd.Series:
+        return predictor(text)
+    return ex.withColumn("raw", F.pandas_udf(predict, "string")(F.col(text_col)))
+
+
 # ------------------------------------------------------------------ parse + compare
 
 def parse_prediction(raw: Column) -> Column:
@@ -321,6 +331,6 @@ def json_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_predictor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1 end to end: the pluggable predictor (here the rule baseline) over
-    Arrow batches via mapInPandas, joined back (J2), scored, A10 report."""
-    ex = inv.eval_examples(spark, sf_dir)
-    return case_report(scored(spark, sf_dir, batch_predict(ex)))
+    Arrow batches as a column of the example, scored, A10 report."""
+    ex = predicted(inv.eval_examples(spark, sf_dir))
+    return case_report(score(ex.select("example_id", "case", *[f"t_{f}" for f in inv.ALL_FIELDS], "raw")))
