@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,9 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, path: str | N
         for batch in batches:
             first = np.array([shipped.value[p] for p in batch.column(0).to_pylist()], np.int64)
             slot = permutation.slots(first + batch.column(1).to_numpy())
-            yield pa.record_batch([pa.array(slot), *batch.columns], names=["slot", "part", "place", "n_ids", "ids"])
+            small = zstandard.ZstdCompressor(level=3)             # for the shuffle only
+            ids = pa.array([small.compress(v.as_buffer()) for v in batch.column(3)], pa.binary())
+            yield pa.record_batch([pa.array(slot), *batch.columns[:3], ids], names=["slot", "part", "place", "n_ids", "ids"])
 
     def write(batches):
         files, base = fs.FileSystem.from_uri(folder)
@@ -145,15 +148,16 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, path: str | N
                 out.close()
                 files.move(f"{base}/{temporary}", f"{base}/{_shard_name(number)}")
         for batch in batches:
-            slot, ids = batch.column(0).to_numpy(), batch.column(4)
-            for s, v in zip(slot.tolist(), ids):
+            slot, whole, crc = batch.column(0).to_numpy(), zstandard.ZstdDecompressor(), []
+            for s, v in zip(slot.tolist(), batch.column(4)):
                 if s // shard != number:
                     close()
                     number = s // shard
                     temporary = f"_writing-{_shard_name(number)}-{uuid.uuid4().hex}"
                     out = files.open_output_stream(f"{base}/{temporary}")
-                out.write(v.as_buffer())
-            crc = [zlib.crc32(v.as_buffer()) for v in ids]
+                record = whole.decompress(v.as_buffer())
+                out.write(record)
+                crc.append(zlib.crc32(record))
             yield pa.record_batch([batch.column(0), pa.array(slot // shard), pa.array(slot % shard * stride), batch.column(3),
                                    pa.array(crc, pa.int64()), batch.column(1), batch.column(2)],
                                   names=["slot", "shard", "byte_offset", "n_ids", "crc32", "part", "place"])
