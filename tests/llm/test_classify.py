@@ -89,6 +89,19 @@ def test_op3_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identified(spark, odd_docs, language.fit(no_docs)).collect()} == {"und"}
 
 
+def test_op3_uses_all_of_every_sampled_text(spark):
+    """Equal texts count once; every part of every different one is in the dictionary, also in a large one."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 1500))) for _ in range(language.SAMPLE_DOCS)] + ["a common header"] * 200
+    model = language.fit(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    held = model.samples["en"].decode()
+    assert sum(t in held for t in texts[:language.SAMPLE_DOCS]) >= language.SAMPLE_DOCS - 1 and held.count("header") <= 1
+    large = rng.integers(97, 123, 3_000_000).astype(np.uint8).tobytes()
+    model = language.Model({"x": large})
+    for at in (0, 1_000_000, len(large) - 2000):
+        assert model.sizes(large[at:at + 2000])[0] < 100 and model.sizes(large[at:at + 300])[0] < 50
+
+
 def _counts(text):
     w = WORD.findall(text or "")
     seen = collections.Counter(zip(w, w[1:], w[2:]))

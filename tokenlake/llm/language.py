@@ -1,11 +1,12 @@
 """Language identification by compression (operator 3).
 
-A language is known by up to ``SAMPLE_BYTES`` of its training texts, held as
-a raw-content zstandard dictionary.  A text is reduced to lower-case letters
+A language is known by its training texts, held whole as a raw-content
+zstandard dictionary.  A text is reduced to lower-case letters
 with single spaces and cut into pieces of ``PIECE`` bytes; every piece is
 compressed with every language's dictionary, and the language of the smallest
-total wins.  The dictionary sample is bounded (at most ``SAMPLE_DOCS`` texts
-a language, those of smallest id hash); texts are read whole.
+total wins.  The dictionary sample is bounded by rows only (at most
+``SAMPLE_DOCS`` different texts a language, those of smallest id hash; equal
+texts count once): every byte of every sampled text is in the dictionary.
 
 ``score`` is a softmax of the sizes (``SCALE`` bytes a step, at most for
 ``SCALE_BYTES`` of text); a relative margin to the runner-up under
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 40
-SAMPLE_BYTES = 16 * 1024
 PIECE = 2048
 LEVEL = 6
 SHORT, SHORT_LEVEL = 400, 19      # bytes; short texts are worth the stronger search
@@ -61,7 +61,10 @@ class Model:
             made = []
             for sample in self.samples.values():
                 d = zs.ZstdCompressionDict(sample or b" ", dict_type=zs.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
+                # zstandard's tables forget the head of a dictionary of more bytes than places
+                log, p = max(6, len(sample).bit_length()), zs.ZstdCompressionParameters.from_level(level, dict_size=len(sample))
+                d.precompute_compress(compression_params=zs.ZstdCompressionParameters.from_level(
+                    level, dict_size=len(sample), hash_log=max(p.hash_log, log), chain_log=max(p.chain_log, log)))
                 made.append(zs.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
             self._compressors[level] = made
         return self._compressors[level]
@@ -90,15 +93,17 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Dictionaries from ``docs (doc_id, text, lang)``; rows with null lang or text are not used."""
     known = docs.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS))
+    place = F.struct(F.xxhash64("doc_id").alias("spread"), "doc_id")
+    different = known.groupBy("lang", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).agg(F.min(place).alias("first"))
+    order = Window.partitionBy("lang").orderBy("first")
+    chosen = (different.select("lang", F.col("first.doc_id").alias("doc_id"), F.row_number().over(order).alias("place"))
+              .where(F.col("place") <= SAMPLE_DOCS))
     # SAMPLE_DOCS ids a language: small by that bound
     rows = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "place", "text").collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
         samples.setdefault(r["lang"], []).append(letters(r["text"]))
-    # the end of a raw dictionary is the cheapest to refer to; every text gives an equal share
-    made = {lang: b" ".join(t[:max(512, SAMPLE_BYTES // len(own))] for t in own)[:SAMPLE_BYTES] for lang, own in samples.items()}
+    made = {lang: b" ".join(own) for lang, own in samples.items()}
     return Model(dict(sorted(made.items(), key=lambda x: (-len(samples[x[0]]), x[0]))))
 
 
