@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokenlake.llm import minhash, substring, vectors
@@ -82,6 +83,41 @@ def test_op6_estimates():
         assert abs(coarse - exact) < 0.2 and abs(fine - exact) < 0.08
 
 
+def test_op6_short_texts_whose_fine_sketch_is_far_off(spark):
+    """Texts of 7, 7 and 8 words, similarity exactly 3 of 4: a shared fine bucket must not lose a link."""
+    rows, i = [], 0
+    for k in range(6000):
+        w = [f"t{k}x{j}" for j in range(8)]
+        texts = [" ".join(w[:7]), " ".join(w[1:]), " ".join(w)]
+        a, b, c = (minhash.fine_registers(s) for s in minhash.shingle_sets(pa.array(texts)))
+        if min(minhash.fine_estimate(a, c), minhash.fine_estimate(b, c)) < minhash.FINE_ESTIMATE:
+            rows += [(i + n, t) for n, t in enumerate(texts)]
+            i += 3
+    assert len(rows) >= 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _check_near(minhash.near_duplicates(docs), docs)
+
+
+def test_op6_sets_around_the_exact_size(spark):
+    """Near copies of 100 to 170 shingles, some compared exactly and some by sketch, not all linked to one."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(174)]
+    rows = []
+    for i in range(300):
+        words = base[:rng.choice((110, 128, 131, 132, 133, 150, 174))]
+        for _ in range(rng.choice((1, 2, 3, 4))):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10 ** 9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _check_near(minhash.near_duplicates(docs), docs)
+
+
+def test_op6_refuses_thresholds_that_lose_pairs(no_docs):
+    with pytest.raises(ValueError, match="threshold"):
+        minhash.near_duplicates(no_docs, 60)
+    assert minhash.near_duplicates(no_docs, 90).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (99, 98)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}

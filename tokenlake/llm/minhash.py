@@ -20,13 +20,16 @@ words or with null text the set is empty and links with nothing.
 4. Buckets that still hold several components are finished exactly: their
    members are dealt into small blocks, every pair of blocks compares
    members of different components (each two documents only in the first band
-   they share), and what passes the estimate of a finer sketch (1024 one-byte
+   they share).  Sets under 128 shingles are compared exactly there; of other
+   pairs, what passes the estimate of a finer sketch (1024 one-byte
    registers) is verified on full sets.  No cap on members or partners.
 5. Components of the verified links; ``component_id`` is the smallest id.
 
 Nulls, empty texts, repeated rows of equal text, empty tables and further
 columns are fine; doc_id must be unique and not null (rows with null doc_id
-are returned as their own component with null ids).
+are returned as their own component with null ids).  The bands and estimates are
+made for a threshold of 75 per cent: a higher one loses nothing, a lower one
+is refused.
 """
 
 from __future__ import annotations
@@ -48,7 +51,8 @@ ROWS = 4
 MANTISSA = 10
 ESTIMATE = 0.55           # five standard deviations of the estimate below 0.75
 FINE = 1024
-FINE_ESTIMATE = 0.68      # nearly five standard deviations below 0.75
+FINE_ESTIMATE = 0.68      # nearly five standard deviations below 0.75, for sets of 96 shingles or more
+EXACT = 128               # smaller sets go to step 4 whole, in no more bytes than the sketch; with one of this size, both have 96 within the threshold
 FINE_CHANCE = 1 / 48      # that different smallest hashes agree in a one-byte register
 SCHEMES = ((512, 1 << 62, 1), (64, 683, 8), (1, 86, 64))   # sizes from, under; seeds per shingle
 BLOCK_ROWS = 512          # members of a block in step 4
@@ -112,6 +116,12 @@ def fine_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - differ * (FINE_CHANCE / (1 - FINE_CHANCE))) / np.maximum(1, (has_a | has_b).sum(-1))
 
 
+def shared_counts(sets: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many members of a sorted set every row of ``sets`` (distinct hashes, ``sizes`` of them, padded) has."""
+    pos = np.minimum(np.searchsorted(own, sets), len(own) - 1)
+    return ((own[pos] == sets) & (np.arange(sets.shape[1]) < sizes[:, None])).sum(-1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Jaccard estimate of register rows, without the matches expected by chance."""
     filled = ((a > 0) | (b > 0)).sum(-1)
@@ -125,7 +135,7 @@ SKETCH = "doc_id long, n_shingles long, digest1 long, digest2 long, r0 binary, r
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, digest1, digest2, r0, r1, r2, fine)`` of every row."""
+    """``(doc_id, n_shingles, digest1, digest2, r0, r1, r2, fine)`` of every row; ``fine`` of a set under ``EXACT`` is the set."""
     def run(batches):
         for batch in batches:
             rows = []
@@ -133,7 +143,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n = len(s)
                 regs = [registers(s, k).tobytes() if lo <= n < hi else None for lo, hi, k in SCHEMES]
                 rows.append((n, int(mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s ^ _SEEDS[3]))) if n else 0, *regs,
-                             fine_registers(s).tobytes() if n else None))
+                             (s if n < EXACT else fine_registers(s)).tobytes() if n else None))
             n, d1, d2, r0, r1, r2, fine = zip(*rows) if rows else [()] * 7
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()),
                                    pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
@@ -235,8 +245,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> D
     return held.groupBy("centre", "lot").applyInArrow(compare, "a long, b long, shared long, union long")
 
 
-def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the estimate.
+def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components that share a bucket and pass the estimate, or the threshold if both sets are small.
 
     ``buckets (band, value, id)`` has the shared buckets, ``label (id, component)`` the nodes with links.
     """
@@ -270,7 +280,13 @@ def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame) ->
         size = table.column("n_shingles").to_numpy().astype(np.float64)
         regs = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
         bands, band = regs.view(np.int64), key[0].as_py() % (BUCKETS // ROWS)
-        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(ids), FINE)
+        fine, sets, small = np.zeros((len(ids), FINE), np.uint8), np.zeros((len(ids), EXACT - 1), np.uint64), size < EXACT
+        for k, held in enumerate(table.column("fine").to_pylist()):
+            if small[k]:
+                sets[k, :int(size[k])] = np.frombuffer(held, np.uint64)
+                fine[k] = 0 if small.all() else fine_registers(sets[k, :int(size[k])])
+            else:
+                fine[k] = np.frombuffer(held, np.uint8)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
@@ -278,7 +294,11 @@ def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame) ->
             if len(y):
                 y = y[~((bands[y, :band] == bands[x, :band]) & (bands[x, :band] != 0)).any(1)]
                 y = y[estimate(regs[y], regs[x], size[y], size[x]) >= ESTIMATE]
-                y = y[fine_estimate(fine[y], fine[x]) >= FINE_ESTIMATE]
+                exact, rough = (y[small[y]], y[~small[y]]) if small[x] else (y[:0], y)
+                if len(exact):
+                    both = shared_counts(sets[exact], size[exact], sets[x, :int(size[x])])
+                    exact = exact[100 * both >= threshold * (size[exact] + size[x] - both)]
+                y = np.concatenate((exact, rough[fine_estimate(fine[rough], fine[x]) >= FINE_ESTIMATE]))
                 a += [ids[x]] * len(y)
                 b += ids[y].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -287,6 +307,8 @@ def _cross_block_pairs(buckets: DataFrame, label: DataFrame, reps: DataFrame) ->
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    if not THRESHOLD <= threshold <= 100:
+        raise ValueError(f"threshold must be from {THRESHOLD} to 100 per cent: the sketches would lose pairs of less")
     sk = saved(sketches(docs), "sketches")
     filled = sk.where("n_shingles > 0")
     digest = ["n_shingles", "digest1", "digest2"]
@@ -300,7 +322,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     best = (_estimated(candidates, reps).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")))
     links = saved(verified(best, docs, threshold).select("a", "b"), "verified")
     label = components(links)
-    rest = saved(_cross_block_pairs(buckets.select("band", "value", "id"), label, reps), "rest")
+    rest = saved(_cross_block_pairs(buckets.select("band", "value", "id"), label, reps, threshold), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rest, docs, threshold).select("a", "b"))
         label = components(links)
