@@ -150,6 +150,20 @@ def test_one_token_request(spark):
     assert by_level[4].failure_rate == 1.0 and by_level[4].avg_ttft is None
 
 
+def test_ttft_variants_are_measured_apart(spark):
+    """Blank chunks before the first content, with and without a logged send time, and an empty prompt text."""
+    from tokenlake.operators import telemetry as tel
+    ev = _events(spark, [(1, 1, 2, "prompt"), (1, 2, 5, ""), (1, 3, 6, None), (1, 4, 7, ""), (1, 5, 9, "tok"), (1, 6, 10, "tok"),
+                         (2, 1, 3, ""), (2, 2, 7, ""), (2, 3, 8, "tok"), (3, 1, 0, "prompt"), (3, 2, 4, "")])
+    attributes = spark.createDataFrame([(1, "vLLM", 1, 200, 2, dt.datetime(2024, 1, 1)), (2, "vLLM", 1, 200, 2, None), (3, "vLLM", 1, 200, 2, None)],
+                                       "request_id long, backend string, concurrency int, http_status int, usage_tokens long, sent_ts timestamp_ntz")
+    b = tel.request_metrics(ev, attributes)
+    got = {r.request_id: (r.ttft_prompt_relative, r.ttft_any_chunk, r.ttft_content, r.total_s) for r in tel.profile_of(b).collect()}
+    assert got == {1: (3.0, 5.0, 9.0, 10.0), 2: (4.0, 4.0, 5.0, 5.0), 3: (4.0, 4.0, None, 4.0)}
+    w10 = tel.cold_hot_of(b.withColumn("system_prompt", F.lit("p"))).collect()
+    assert {(r.run_label, r.n, r.avg_ttft) for r in w10} == {("RUN 1 - COLD", 1, 5.0), ("RUN 2 - HOT", 2, 4.0)}
+
+
 def test_parse_fail_only_case(spark, sf):
     from tokenlake.operators import evaluate as ev
     from tokenlake.operators import invoices as inv

@@ -46,12 +46,12 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("text"))
 
 
-def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_base(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
     """Per-request base metrics of the B1 views of ``events``."""
-    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir))
+    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir), content)
 
 
-def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
+def request_metrics(ev: DataFrame, requests: DataFrame, content: bool = True) -> DataFrame:
     """Per request: start (prompt phase), first and second token time, end,
     row count and response characters -- two map-side-combined aggregates
     (the first-3 rows go through a WindowGroupLimit) joined on request_id.
@@ -60,10 +60,18 @@ def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests`` the attributes of each request (request_id, backend,
     concurrency, http_status, usage_tokens); a request without a reported
     usage counts its own tokens.  Events with a null request_id form one
-    request of their own."""
+    request of their own.
+
+    The first row of a request is its prompt phase, every later one a chunk
+    of any kind (role-only and blank ones have null or empty text).  The
+    request starts at ``requests.sent_ts`` (same type as ``ts``) where that
+    column is given and not null, else with its first row.  ``ttft_us`` is
+    the first chunk minus the prompt phase, ``ttft_any_us`` the first chunk
+    minus the start and, unless ``content`` is false (one more pass over the
+    texts), ``ttft_content_us`` the first chunk with text minus the start."""
     heads = (first_k(ev, "request_id", [F.col("ts"), F.col("event_id")], 3)
              .groupBy("request_id")
-             .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("start_ts"),
+             .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("prompt_ts"),
                   F.min(F.when(F.col("rk") == 2, F.col("ts"))).alias("first_ts"),
                   F.min(F.when(F.col("rk") == 3, F.col("ts"))).alias("second_ts"),
                   F.max(F.when(F.col("rk") == 1, F.length("text"))).alias("prompt_chars")))
@@ -71,16 +79,28 @@ def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("end_ts"),
         F.sum(F.length("text")).alias("all_chars"))
     b = (heads.join(totals.withColumnRenamed("request_id", "total_id"), F.col("request_id").eqNullSafe(F.col("total_id")))
-         .join(requests.select(F.col("request_id").alias("attribute_id"), "backend", "concurrency", "http_status", "usage_tokens"),
+         .join(requests.select(F.col("request_id").alias("attribute_id"), "backend", "concurrency", "http_status", "usage_tokens",
+                               *(["sent_ts"] if "sent_ts" in requests.columns else [])),
                F.col("request_id").eqNullSafe(F.col("attribute_id")), "left"))
+    b = b.withColumn("start_ts", F.coalesce("sent_ts", "prompt_ts") if "sent_ts" in requests.columns else F.col("prompt_ts"))
+    if content:
+        # the prompt row may be one of the first two rows with text
+        texts = (first_k(ev.where(F.length("text") > 0), "request_id", [F.col("ts"), F.col("event_id")], 2)
+                 .groupBy(F.col("request_id").alias("text_id"))
+                 .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("text1_ts"),
+                      F.min(F.when(F.col("rk") == 2, F.col("ts"))).alias("text2_ts")))
+        b = (b.join(texts, F.col("request_id").eqNullSafe(F.col("text_id")), "left")
+             .withColumn("content_ts", F.when(F.col("prompt_chars") > 0, F.col("text2_ts")).otherwise(F.col("text1_ts"))))
     n_tokens = F.col("n_rows") - 1
     return b.select(
         "request_id", "backend", "concurrency", "http_status",
         "start_ts", "first_ts", "second_ts", "end_ts",
         n_tokens.alias("n_tokens"),
-        (F.col("all_chars") - F.col("prompt_chars")).alias("response_chars"),
+        (F.coalesce("all_chars", F.lit(0)) - F.coalesce("prompt_chars", F.lit(0))).alias("response_chars"),
         F.coalesce("usage_tokens", n_tokens).cast("bigint").alias("usage_tokens"),
-        (micros("first_ts") - micros("start_ts")).alias("ttft_us"),
+        (micros("first_ts") - micros("prompt_ts")).alias("ttft_us"),
+        (micros("first_ts") - micros("start_ts")).alias("ttft_any_us"),
+        *([(micros("content_ts") - micros("start_ts")).alias("ttft_content_us")] if content else []),
         (micros("second_ts") - micros("first_ts")).alias("second_us"),
         (micros("end_ts") - micros("start_ts")).alias("total_us"),
         (micros("end_ts") - micros("first_ts")).alias("decode_us"),
@@ -88,13 +108,16 @@ def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def request_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: every per-request metric variant of SURVEY 0.1."""
-    return profile_of(request_base(spark, sf_dir))
+    """A1: every per-request metric variant of SURVEY 0.1.
+
+    The SQL of this query fixes ``ttft_any_chunk`` at 0; ``profile_of``
+    measures it."""
+    return profile_of(request_base(spark, sf_dir, content=True)).withColumn("ttft_any_chunk", F.lit(0.0))
 
 
 def profile_of(b: DataFrame) -> DataFrame:
-    """A1 from a ``request_metrics`` table."""
-    ttft0 = F.coalesce(F.col("ttft_us"), F.lit(0))
+    """A1 from a ``request_metrics`` table (with content)."""
+    ttft0 = F.coalesce(F.col("ttft_content_us"), F.lit(0))     # the clients' ttft
     client_div = F.col("total_us") - ttft0
     v_tokens = F.when(F.col("usage_tokens") == 0, F.lit(100)).otherwise(F.col("usage_tokens"))
     s_tokens = (F.when(F.col("usage_tokens") == 0, F.lit(100))
@@ -106,8 +129,8 @@ def profile_of(b: DataFrame) -> DataFrame:
         "request_id", "backend", "concurrency", "http_status", "ok", "n_tokens", "usage_tokens",
         "ttft_us",
         (F.col("ttft_us") / F.lit(US)).alias("ttft_prompt_relative"),
-        (F.col("ttft_us") / F.lit(US)).alias("ttft_content"),
-        F.lit(0.0).alias("ttft_any_chunk"),
+        (F.col("ttft_content_us") / F.lit(US)).alias("ttft_content"),
+        (F.col("ttft_any_us") / F.lit(US)).alias("ttft_any_chunk"),
         (F.col("second_us") / F.lit(US)).alias("second_token_latency"),
         F.when(hf_tokens > 0, _per_sec(hf_tokens, F.col("decode_us"))).alias("decode_tps_excl_first"),
         F.when(client_div > 0, _per_sec(v_tokens - 1, client_div))
@@ -346,25 +369,31 @@ def runner_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_cold_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W10 on B13: requests sharing a system prompt (user_id % 7); the
-    first by start time is COLD, later ones HOT; mean TTFT and round trip
-    per (prompt, label).
+    first by start time is COLD, later ones HOT; mean TTFT (first chunk of
+    any kind) and round trip per (prompt, label).
 
     One map-side-combined aggregate per prompt (the COLD request by
     ``min_by`` on (start, id), totals for all): HOT = totals minus COLD.
     No window over a prompt's requests, which may be a third of the data.
     """
-    b = request_base(spark, sf_dir).filter(F.col("n_tokens") >= 1)
+    b = request_base(spark, sf_dir)
     b = b.withColumn("system_prompt", F.concat(F.lit("token system prompt prefix #"),
                                                F.pmod(F.col("request_id"), F.lit(7)).cast("string")))
+    return cold_hot_of(b)
+
+
+def cold_hot_of(b: DataFrame) -> DataFrame:
+    """W10 from a ``request_metrics`` table with ``system_prompt``."""
+    b = b.filter(F.col("n_tokens") >= 1)
     g = b.groupBy(F.sha2(F.col("system_prompt"), 256).alias("prefix_key")).agg(
         F.first("system_prompt").alias("system_prompt"),
-        F.count(F.lit(1)).alias("n"), F.sum("ttft_us").alias("t"), F.sum("total_us").alias("rt"),
-        F.min_by(F.struct("ttft_us", "total_us"), F.struct("start_ts", "request_id")).alias("cold"))
+        F.count(F.lit(1)).alias("n"), F.sum("ttft_any_us").alias("t"), F.sum("total_us").alias("rt"),
+        F.min_by(F.struct("ttft_any_us", "total_us"), F.struct("start_ts", "request_id")).alias("cold"))
     rows = F.array(
         F.struct(F.lit("RUN 1 - COLD").alias("run_label"), F.lit(1).cast("bigint").alias("k"),
-                 F.col("cold.ttft_us").alias("t"), F.col("cold.total_us").alias("rt")),
+                 F.col("cold.ttft_any_us").alias("t"), F.col("cold.total_us").alias("rt")),
         F.struct(F.lit("RUN 2 - HOT").alias("run_label"), (F.col("n") - 1).alias("k"),
-                 (F.col("t") - F.col("cold.ttft_us")).alias("t"), (F.col("rt") - F.col("cold.total_us")).alias("rt")))
+                 (F.col("t") - F.col("cold.ttft_any_us")).alias("t"), (F.col("rt") - F.col("cold.total_us")).alias("rt")))
     u = g.select("system_prompt", F.inline(rows)).filter(F.col("k") > 0).withColumnRenamed("k", "n")
     return u.select("system_prompt", "run_label", "n",
                     _div(F.col("t"), F.col("n") * F.lit(US)).alias("avg_ttft"),
