@@ -60,9 +60,7 @@ def test_op4_odd_rows(odd_docs, no_docs):
 
 def _library():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokenize.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenize.default_path())
 
 
 def test_word_encoder_equals_the_library():
@@ -73,6 +71,15 @@ def test_word_encoder_equals_the_library():
     assert [ids[a:a + n].tolist() for a, n in zip(at, sizes)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_literals_of_added_tokens_are_the_library_s():
+    library, enc = _library(), tokenize.WordEncoder(tokenize.default_path())
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|EndOfText|>b", "x <|endoftext|", "< |endoftext|>", "<|endoftext|><|endoftext|>", "plain words"]
+    ids, sizes = enc.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert want[0] == [3306, 49407, 1002]
+
+
 def _check_packed(rows, texts):
     library = _library()
     want = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts.items()}

@@ -1,10 +1,13 @@
 """Token ids of whole texts by a public tokenizers vocabulary, word by word.
 
-The vocabulary splits a text into words by a pattern without look-around and
-encodes every word on its own, so each different word is encoded once by the
-tokenizers library and remembered.  The split is done here for texts of the
-characters in ``_PLAIN`` (where lower-casing and NFC are one-to-one); any
-other text goes through the library whole.
+The vocabulary drops white space, splits the rest by a pattern without
+look-around and encodes every word on its own.  So each different word is
+encoded once by the tokenizers library and remembered, and within a batch
+each different chunk between white spaces ("word", "word," or "it's") is
+split once.  This holds for texts of the characters in ``_PLAIN`` (where
+lower-casing and NFC are one-to-one) without the literal of an added token
+such as ``<|endoftext|>``; any other text goes through the library whole, as
+a ``Tokenizer`` with its default settings encodes it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +25,10 @@ from tokenlake.llm.words import gather
 
 VOCABULARY = "word_bpe_49k.json"
 MOST_WORDS = 500_000          # remembered words; then the memory starts anew
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 22
 
 _LETTERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "L" and c != "İ")
-_PLAIN = re.compile(f"[^\t\n\r\x20-\x7e{_LETTERS}]")
+_PLAIN = f"[^\t\n\r\x20-\x7e{_LETTERS}]"          # a character that is not plain
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
 
 
@@ -40,7 +44,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"       # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.ends_sentence, self.ends_word = np.zeros(size, bool), np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
@@ -58,7 +62,7 @@ class WordEncoder:
         parts, sizes = [flat], [lens]
         for i in range(0, len(words), 4096):
             some = words[i:i + 4096]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.ends_word[ids])
             if len(ends) != len(some):
                 raise ValueError("the vocabulary doesn't mark the ends of words")
@@ -68,16 +72,10 @@ class WordEncoder:
         self._flat = (np.concatenate(parts), np.cumsum(lens) - lens, lens)
         self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, text after text, and the number of ids of each."""
-        whole = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if _PLAIN.search(t)}
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if i not in whole:
-                own = _SPLIT.findall(t.lower())
-                counts[i] = len(own)
-                words += own
+    def _words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, chunk after chunk, and the number of ids of each."""
+        own = list(map(_SPLIT.findall, chunks))
+        words = list(chain.from_iterable(own))
         if len(self.places) > MOST_WORDS:
             self._forget()
         place = list(map(self.places.get, words))
@@ -86,10 +84,26 @@ class WordEncoder:
             place = list(map(self.places.__getitem__, words))
         flat, first, lens = self._flat
         place = np.array(place, np.int64)
-        ids = flat[gather(first[place], lens[place])]
         total = np.concatenate(([0], np.cumsum(lens[place])))
-        edge = np.cumsum(counts)
-        sizes = total[edge] - total[edge - counts]
+        edge = np.concatenate(([0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))))
+        return flat[gather(first[place], lens[place])], np.diff(total[edge])
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), text after text, and the number of ids of each."""
+        texts = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        low = pc.utf8_lower(texts)
+        odd = pc.match_substring_regex(texts, _PLAIN)
+        for literal in self.added:
+            odd = pc.or_(odd, pc.match_substring(low, literal))
+        whole = {i: self.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+        split = pc.ascii_split_whitespace(pc.if_else(odd, "", low))
+        chunks, edge = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        coded = chunks.dictionary_encode()
+        flat, lens = self._words(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy()
+        ids = flat[gather((np.cumsum(lens) - lens)[place], lens[place])]
+        total = np.concatenate(([0], np.cumsum(lens[place])))
+        sizes = np.diff(total[edge - edge[0]])
         if whole:
             parts, at = [], 0
             for i in range(len(texts)):
@@ -108,7 +122,7 @@ class WordEncoder:
         total, a = np.concatenate(([0], np.cumsum(size))), 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(total, total[a] + BATCH_CHARS, "right")) - 1)
-            yield a, b, *self.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+            yield a, b, *self.encode(texts.slice(a, b - a))
             a = b
 
 
