@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import bpe, language, minhash, oracles, order, packing, quality, rules, substring, toxicity, vectors
+from tokenlake.llm import align, bpe, language, minhash, oracles, order, packing, quality, rules, substring, toxicity, vectors
 from tokenlake.llm.common import documents, held_out, shared_folder
 from tokenlake.sources.tables import table
 
@@ -84,6 +84,11 @@ def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenisations of every document laid over each other: counts, and the SHA-256 of the groups."""
+    return align.aligned(documents(spark, sf_dir), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_feistel_order": op2_feistel_order,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fm_substring": op8_fm_substring,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_grid_order_join": op10_grid_order_join,
+    "op11_interval_alignment": op11_interval_alignment,
 }
 
 #: The classifiers, tokenisers and packing have no SQL form; tests/llm holds them against brute force.
