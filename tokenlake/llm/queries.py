@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import align, bpe, language, minhash, oracles, order, packing, quality, rules, substring, toxicity, vectors
+from tokenlake.llm import align, bpe, language, minhash, oracles, order, packing, periodic, quality, rules, substring, toxicity, vectors
 from tokenlake.llm.common import documents, held_out, shared_folder
 from tokenlake.sources.tables import table
 
@@ -89,6 +89,28 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(documents(spark, sf_dir), digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the texts, by id, made periodic from some word on, as the contract of operator 13 lays down."""
+    word = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    docs = (docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("g", F.expr("h div 10"))
+            .withColumn("w", F.when(F.expr("h % 10 = 0"), word)).withColumn("n", F.size("w")))
+    docs = docs.withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    made = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int((n - a) div p + 1))), 1, n - a)), ' ')")
+    return docs.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document: how many, the longest one, and the text with every run collapsed."""
+    found = periodic.periodic_runs(_with_periods(documents(spark, sf_dir)))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as before, -r.period as less)))")
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', string(r.start), string(r.length), string(r.period)) || '\n'), '')")
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"),
+                    F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+                    F.expr("1000 * best.length div -best.less").alias("exponent_milli"),
+                    F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_feistel_order": op2_feistel_order,
@@ -101,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_divergence_rules": op9_divergence_rules,
     "op10_grid_order_join": op10_grid_order_join,
     "op11_interval_alignment": op11_interval_alignment,
+    "op13_recompression_runs": op13_recompression_runs,
 }
 
 #: The classifiers, tokenisers and packing have no SQL form; tests/llm holds them against brute force.
