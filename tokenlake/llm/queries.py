@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import align, bpe, language, minhash, oracles, order, packing, periodic, quality, rules, substring, toxicity, vectors
+from tokenlake.llm import align, bestfit, bpe, language, minhash, oracles, order, packing, periodic, quality, rules, substring, toxicity, vectors
 from tokenlake.llm.common import documents, held_out, shared_folder
 from tokenlake.sources.tables import table
 
@@ -89,6 +89,12 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(documents(spark, sf_dir), digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in as few sequences of at most 2048 ids as found: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return (bestfit.packed(documents(spark, sf_dir))
+            .select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """A tenth of the texts, by id, made periodic from some word on, as the contract of operator 13 lays down."""
     word = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_divergence_rules": op9_divergence_rules,
     "op10_grid_order_join": op10_grid_order_join,
     "op11_interval_alignment": op11_interval_alignment,
+    "op12_swap_packing": op12_swap_packing,
     "op13_recompression_runs": op13_recompression_runs,
 }
 
