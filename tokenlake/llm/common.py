@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path if re.match(r"[a-z][a-z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as Parquet under the folder of spark.checkpoint.dir and read again.
 
     Cuts the lineage: a lost executor costs a re-read of files, and several
@@ -31,7 +31,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +40,7 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts == part
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)`` as rows ``(id, component)``, component the smallest id.
 
     Alternating large-star and small-star steps on the edge table: every
@@ -53,9 +53,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     links = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .where("u <> v").distinct(), "links")
     state = _state(links)
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, F.col("u") == F.col("k"))
@@ -69,8 +67,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before, state = state, _state(links)
         if before == state:
             break
-    else:
-        raise RuntimeError("connected components did not settle")
     # settled: every node but the smallest points straight at the smallest
     return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
 

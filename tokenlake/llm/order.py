@@ -3,15 +3,16 @@
 1. ``sequences``: the documents of an input partition form one token stream
    (ids of a public vocabulary, id 1 after every document), chopped into
    sequences of ``LENGTH`` ids; the last one of a partition is filled up with
-   id 1.  They are written once, and counted by partition: a sequence's index
-   is its partition's offset plus its place.
+   id 1.  They are compressed one by one and written once, and counted by
+   partition: a sequence's index is its partition's offset plus its place.
 2. ``Permutation``: a keyed Feistel network over the next power of two, with
    cycle-walking (apply again until the value is under the count), maps the
    indexes one-to-one onto the slots 0 .. count - 1: the training order, the
    same for the same key, without sorting random numbers.
 3. ``materialise``: sequences are range-partitioned by shard (``SHARD`` slots
-   each), sorted by slot, and every shard is written as one file of records of
-   fixed stride, so slot s stands at byte (s mod SHARD) * stride of shard
+   each; the slots are known to be dense, so the ranges need no sampling),
+   sorted by slot, and every shard is written as one file of records of fixed
+   stride, so slot s stands at byte (s mod SHARD) * stride of shard
    s div SHARD.  A shard is written under a temporary name and renamed, so a
    retried task leaves no half file, and readers can start at any slot
    (``read_from``).
@@ -28,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
@@ -79,17 +81,17 @@ class Permutation:
 
 
 def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """``(part, place, n_ids, ids)``: sequences of every input partition, ids as little-endian unsigned integers."""
+    """``(part, place, n_ids, ids)``: sequences of every input partition, ids as little-endian unsigned integers in a zstandard frame."""
     path = path or default_path()
 
     def run(batches):
         enc, part, place = encoder(path), TaskContext.get().partitionId(), 0
         kind = id_type(len(enc.ends_word))
-        held = np.zeros(0, kind)
+        held, small = np.zeros(0, kind), zstandard.ZstdCompressor(level=1)
 
         def made(rows: np.ndarray, n_ids: list[int]):
             return pa.record_batch([pa.array([part] * len(rows), pa.int32()), pa.array(np.arange(place, place + len(rows))),
-                                    pa.array(n_ids, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                                    pa.array(n_ids, pa.int32()), pa.array([small.compress(r) for r in rows], pa.binary())],
                                    names=["part", "place", "n_ids", "ids"])
         for batch in batches:
             for a, b, ids, sizes in enc.batches(batch.column(0)):
@@ -123,7 +125,7 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, path: str | N
     ``slot, shard, byte_offset, n_ids, crc32, part, place``."""
     path = path or default_path()
     stride = length * int(id_type(len(encoder(path).ends_word))[-1])
-    made = saved(sequences(docs, path, length), "sequences")
+    made = saved(sequences(docs, path, length), "sequences", "uncompressed")
     # one number per input partition
     counts = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = {}, 0
@@ -131,13 +133,9 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, path: str | N
         offsets[part], total = total, total + n
     permutation, shipped = Permutation(max(1, total), key), spark.sparkContext.broadcast(offsets)
 
-    def placed(batches):
-        for batch in batches:
-            first = np.array([shipped.value[p] for p in batch.column(0).to_pylist()], np.int64)
-            slot = permutation.slots(first + batch.column(1).to_numpy())
-            small = zstandard.ZstdCompressor(level=3)             # for the shuffle only
-            ids = pa.array([small.compress(v.as_buffer()) for v in batch.column(3)], pa.binary())
-            yield pa.record_batch([pa.array(slot), *batch.columns[:3], ids], names=["slot", "part", "place", "n_ids", "ids"])
+    @F.pandas_udf("long")
+    def slot(part: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series(permutation.slots(part.map(shipped.value).to_numpy() + place.to_numpy()))
 
     def write(batches):
         files, base = fs.FileSystem.from_uri(folder)
@@ -167,8 +165,9 @@ def materialise(spark: SparkSession, docs: DataFrame, folder: str, path: str | N
     files.create_dir(base, recursive=True)
     shards = -(-total // shard)
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = made.mapInArrow(placed, "slot long, part int, place long, n_ids int, ids binary").withColumn("shard", F.expr(f"slot div {shard}"))
-    index = saved(rows.repartitionByRange(tasks, "shard").sortWithinPartitions("slot").select("slot", "part", "place", "n_ids", "ids")
+    each = max(1, -(-shards // tasks)) * shard
+    index = saved(made.select(slot("part", "place").alias("slot"), "part", "place", "n_ids", "ids")
+                  .repartitionById(tasks, F.expr(f"int(slot div {each})")).sortWithinPartitions("slot")
                   .mapInArrow(write, "slot long, shard long, byte_offset long, n_ids int, crc32 long, part int, place long"), "order")
     with files.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps({"sequences": total, "shards": shards, "shard": shard, "length": length, "stride": stride, "key": key}).encode())
