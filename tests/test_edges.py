@@ -164,6 +164,29 @@ def test_ttft_variants_are_measured_apart(spark):
     assert {(r.run_label, r.n, r.avg_ttft) for r in w10} == {("RUN 1 - COLD", 1, 5.0), ("RUN 2 - HOT", 2, 4.0)}
 
 
+def test_reports_on_a_log_with_role_only_chunks(spark):
+    """A1, A4 and A5 by the formulas of SURVEY 0.1, worked out by hand: content TTFT, gaps between chunks with text, no content is failed."""
+    from tokenlake.operators import telemetry as tel
+    ev = _events(spark, [(1, 1, 0, "prompt"), (1, 2, 1, None), (1, 3, 3, "a"), (1, 4, 4, ""), (1, 5, 7, "b"), (1, 6, 9, "c"), (1, 7, 11, ""),
+                         (2, 1, 0, "prompt"), (2, 2, 2, ""), (2, 3, 6, "a"), (2, 4, 8, "b"),
+                         (3, 1, 0, "prompt"), (3, 2, 1, ""), (3, 3, 5, None),
+                         (4, 1, 0, "prompt"), (4, 2, 4, "a")])
+    attributes = spark.createDataFrame([(1, "vLLM", 8, 200, 3), (2, "vLLM", 8, 200, 2), (3, "vLLM", 8, 200, 2), (4, "SGLang", 8, 500, 1)],
+                                       "request_id long, backend string, concurrency int, http_status int, usage_tokens long")
+    b = tel.request_metrics(ev, attributes)
+    p = {r.request_id: r for r in tel.profile_of(b).collect()}
+    assert {i: (r.ok, r.ttft_any_chunk, r.ttft_content) for i, r in p.items()} == {
+        1: (True, 1.0, 3.0), 2: (True, 2.0, 6.0), 3: (False, 1.0, None), 4: (False, 4.0, 4.0)}
+    assert p[1].decode_tps_usage_minus1 == 2 / 8 and p[2].decode_tps_usage_minus1 == 1 / 2
+    (a5,) = tel.concurrency_of(b).collect()
+    assert (a5.avg_ttft, a5.avg_inter_token_latency, a5.failure_rate, a5.num_requests) == (4.5, (6 + 2) / 3, 0.5, 4)
+    hosts = spark.createDataFrame([("vLLM", 0), ("SGLang", 1)], "backend string, host int")
+    samples = spark.createDataFrame([(0, 0, 2**30, 50, 1000), (0, 1, 2**33, 99, 9000)],
+                                    "host int, gpu_index int, used_bytes long, util_pct int, power_mw long")
+    (a4,) = tel.client_summary_of(b, hosts, samples).collect()
+    assert (a4.backend, a4.avg_ttft_sec, a4.avg_decode_tokens_per_sec, a4.peak_vram_gb, a4.avg_power_watts) == ("vLLM", 4.5, 0.375, 1.0, 1.0)
+
+
 def test_parse_fail_only_case(spark, sf):
     from tokenlake.operators import evaluate as ev
     from tokenlake.operators import invoices as inv

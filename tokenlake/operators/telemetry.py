@@ -46,12 +46,12 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("text"))
 
 
-def request_base(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
+def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-request base metrics of the B1 views of ``events``."""
-    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir), content)
+    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir))
 
 
-def request_metrics(ev: DataFrame, requests: DataFrame, content: bool = True) -> DataFrame:
+def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: start (prompt phase), first and second token time, end,
     row count and response characters -- two map-side-combined aggregates
     (the first-3 rows go through a WindowGroupLimit) joined on request_id.
@@ -67,8 +67,10 @@ def request_metrics(ev: DataFrame, requests: DataFrame, content: bool = True) ->
     request starts at ``requests.sent_ts`` (same type as ``ts``) where that
     column is given and not null, else with its first row.  ``ttft_us`` is
     the first chunk minus the prompt phase, ``ttft_any_us`` the first chunk
-    minus the start and, unless ``content`` is false (one more pass over the
-    texts), ``ttft_content_us`` the first chunk with text minus the start."""
+    minus the start, ``ttft_content_us`` the first chunk with text minus the
+    start.  ``n_content`` chunks have text, ``gap_us`` lies between the first
+    and the last of them.  A request is ``ok`` with status 200 and at least
+    one chunk with text (trap 2)."""
     heads = (first_k(ev, "request_id", [F.col("ts"), F.col("event_id")], 3)
              .groupBy("request_id")
              .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("prompt_ts"),
@@ -77,20 +79,23 @@ def request_metrics(ev: DataFrame, requests: DataFrame, content: bool = True) ->
                   F.max(F.when(F.col("rk") == 1, F.length("text"))).alias("prompt_chars")))
     totals = ev.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("end_ts"),
+        F.count(F.when(F.length("text") > 0, F.lit(1))).alias("n_texts"),
+        F.max(F.when(F.length("text") > 0, F.col("ts"))).alias("last_text_ts"),
         F.sum(F.length("text")).alias("all_chars"))
     b = (heads.join(totals.withColumnRenamed("request_id", "total_id"), F.col("request_id").eqNullSafe(F.col("total_id")))
          .join(requests.select(F.col("request_id").alias("attribute_id"), "backend", "concurrency", "http_status", "usage_tokens",
                                *(["sent_ts"] if "sent_ts" in requests.columns else [])),
                F.col("request_id").eqNullSafe(F.col("attribute_id")), "left"))
     b = b.withColumn("start_ts", F.coalesce("sent_ts", "prompt_ts") if "sent_ts" in requests.columns else F.col("prompt_ts"))
-    if content:
-        # the prompt row may be one of the first two rows with text
-        texts = (first_k(ev.where(F.length("text") > 0), "request_id", [F.col("ts"), F.col("event_id")], 2)
-                 .groupBy(F.col("request_id").alias("text_id"))
-                 .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("text1_ts"),
-                      F.min(F.when(F.col("rk") == 2, F.col("ts"))).alias("text2_ts")))
-        b = (b.join(texts, F.col("request_id").eqNullSafe(F.col("text_id")), "left")
-             .withColumn("content_ts", F.when(F.col("prompt_chars") > 0, F.col("text2_ts")).otherwise(F.col("text1_ts"))))
+    # the prompt row may be one of the first two rows with text
+    texts = (first_k(ev.where(F.length("text") > 0), "request_id", [F.col("ts"), F.col("event_id")], 2)
+             .groupBy(F.col("request_id").alias("text_id"))
+             .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("text1_ts"),
+                  F.min(F.when(F.col("rk") == 2, F.col("ts"))).alias("text2_ts")))
+    from_prompt = F.coalesce(F.col("prompt_chars") > 0, F.lit(False))
+    b = (b.join(texts, F.col("request_id").eqNullSafe(F.col("text_id")), "left")
+         .withColumn("content_ts", F.when(from_prompt, F.col("text2_ts")).otherwise(F.col("text1_ts")))
+         .withColumn("n_content", F.col("n_texts") - from_prompt.cast("bigint")))
     n_tokens = F.col("n_rows") - 1
     return b.select(
         "request_id", "backend", "concurrency", "http_status",
@@ -100,23 +105,25 @@ def request_metrics(ev: DataFrame, requests: DataFrame, content: bool = True) ->
         F.coalesce("usage_tokens", n_tokens).cast("bigint").alias("usage_tokens"),
         (micros("first_ts") - micros("prompt_ts")).alias("ttft_us"),
         (micros("first_ts") - micros("start_ts")).alias("ttft_any_us"),
-        *([(micros("content_ts") - micros("start_ts")).alias("ttft_content_us")] if content else []),
+        (micros("content_ts") - micros("start_ts")).alias("ttft_content_us"),
+        "n_content", F.when(F.col("n_content") > 0, micros("last_text_ts") - micros("content_ts")).alias("gap_us"),
         (micros("second_ts") - micros("first_ts")).alias("second_us"),
         (micros("end_ts") - micros("start_ts")).alias("total_us"),
         (micros("end_ts") - micros("first_ts")).alias("decode_us"),
-    ).withColumn("ok", (F.col("http_status") == 200) & (F.col("n_tokens") >= 1))
+    ).withColumn("ok", (F.col("http_status") == 200) & (F.col("n_content") >= 1))
 
 
 def request_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: every per-request metric variant of SURVEY 0.1.
-
-    The SQL of this query fixes ``ttft_any_chunk`` at 0; ``profile_of``
-    measures it."""
-    return profile_of(request_base(spark, sf_dir, content=True)).withColumn("ttft_any_chunk", F.lit(0.0))
+    """A1: every per-request metric variant of SURVEY 0.1."""
+    return profile_of(request_base(spark, sf_dir))
 
 
 def profile_of(b: DataFrame) -> DataFrame:
-    """A1 from a ``request_metrics`` table (with content)."""
+    """A1 from a ``request_metrics`` table."""
+    return b.select(*_profile())
+
+
+def _profile() -> list:
     ttft0 = F.coalesce(F.col("ttft_content_us"), F.lit(0))     # the clients' ttft
     client_div = F.col("total_us") - ttft0
     v_tokens = F.when(F.col("usage_tokens") == 0, F.lit(100)).otherwise(F.col("usage_tokens"))
@@ -125,7 +132,7 @@ def profile_of(b: DataFrame) -> DataFrame:
                       F.greatest(F.lit(1), F.floor(F.col("response_chars") / 4).cast("bigint")))
                 .otherwise(F.col("usage_tokens")))
     hf_tokens = F.col("n_tokens") - 1
-    return b.select(
+    return [
         "request_id", "backend", "concurrency", "http_status", "ok", "n_tokens", "usage_tokens",
         "ttft_us",
         (F.col("ttft_us") / F.lit(US)).alias("ttft_prompt_relative"),
@@ -139,7 +146,7 @@ def profile_of(b: DataFrame) -> DataFrame:
          .alias("decode_tps_usage_full"),
         _per_sec(F.col("n_tokens"), F.col("total_us")).alias("e2e_tps"),
         (F.col("total_us") / F.lit(US)).alias("total_s"),
-    )
+    ]
 
 
 def first_second_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +170,12 @@ def inter_token_gaps(spark: SparkSession, sf_dir: str, bucket_seconds: int = 360
 
 
 def concurrency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: per concurrency level avg TTFT, pooled inter-token gap,
-    failure rate and request count; NULL means are kept (trap 3).
+    """A5: per concurrency level avg content TTFT, pooled gap between chunks
+    with text, failure rate and request count; NULL means are kept (trap 3).
 
-    Gaps telescope: the sum of a request's consecutive gaps is
-    last - first token time and their count is n_tokens - 1, so the
-    pooled mean needs no per-row window at all.
+    Gaps telescope: the sum of a request's consecutive gaps is last - first
+    content time and their count is n_content - 1, so the pooled mean needs
+    no per-row window at all.
     """
     return concurrency_of(request_base(spark, sf_dir))
 
@@ -177,10 +184,10 @@ def concurrency_of(b: DataFrame) -> DataFrame:
     """A5 from a ``request_metrics`` table."""
     ok = F.col("ok")
     g = b.groupBy("concurrency").agg(
-        F.sum(F.when(ok, F.col("ttft_us"))).alias("ttft_sum"),
+        F.sum(F.when(ok, F.col("ttft_content_us"))).alias("ttft_sum"),
         F.count(F.when(ok, F.lit(1))).alias("n_ok"),
-        F.sum(F.when(ok, F.col("decode_us"))).alias("gap_sum"),
-        F.sum(F.when(ok, F.col("n_tokens") - 1)).alias("gap_n"),
+        F.sum(F.when(ok, F.col("gap_us"))).alias("gap_sum"),
+        F.sum(F.when(ok, F.col("n_content") - 1)).alias("gap_n"),
         F.count(F.lit(1)).alias("num_requests"))
     return g.select(
         "concurrency",
@@ -258,20 +265,25 @@ def hf_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: client report per backend: mean TTFT and mean of per-request
+    """A4: client report per backend: mean content TTFT and mean of per-request
     rates over successful requests (0 when none, trap 3); the rate formula
     is the backend's own (SURVEY 0.1).  GPU: all samples of GPU 0 of the
     backend's host, no time filter (trap 7)."""
-    p = request_profile(spark, sf_dir).filter(F.col("ok"))
+    s = fx.gpu_samples(spark, sf_dir)
+    return client_summary_of(request_base(spark, sf_dir), fx.backend_hosts(spark), s)
+
+
+def client_summary_of(b: DataFrame, hosts: DataFrame, samples: DataFrame) -> DataFrame:
+    """A4 from a ``request_metrics`` table, the host of every backend and GPU samples."""
+    p = b.select("ttft_content_us", *_profile()).filter(F.col("ok"))
     rate = (F.when(F.col("backend") == "SGLang", F.col("decode_tps_usage_full"))
             .when(F.col("backend") == "vLLM", F.col("decode_tps_usage_minus1"))
             .otherwise(F.col("decode_tps_excl_first")))
     req = p.groupBy("backend").agg(
-        F.coalesce(_div(F.sum("ttft_us"), F.count(F.lit(1)) * F.lit(US)), F.lit(0.0)).alias("avg_ttft_sec"),
+        F.coalesce(_div(F.sum("ttft_content_us"), F.count(F.lit(1)) * F.lit(US)), F.lit(0.0)).alias("avg_ttft_sec"),
         F.coalesce(F.round(F.avg(rate), 9), F.lit(0.0)).alias("avg_decode_tokens_per_sec"))
-    req = req.join(fx.backend_hosts(spark), "backend")
-    s = fx.gpu_samples(spark, sf_dir).filter(F.col("gpu_index") == 0)
-    gpu = s.groupBy("host").agg(
+    req = req.join(hosts, "backend")
+    gpu = samples.filter(F.col("gpu_index") == 0).groupBy("host").agg(
         F.max("used_bytes").alias("mx"), F.max("util_pct").alias("max_gpu_compute_percent"),
         F.sum("power_mw").alias("pw"), F.count(F.lit(1)).alias("n"))
     j = req.join(gpu, "host", "left")

@@ -23,6 +23,9 @@ b0 AS (SELECT request_id,
               min(CASE WHEN rk = 2 THEN ts END) AS first_ts,
               min(CASE WHEN rk = 3 THEN ts END) AS second_ts,
               max(ts) AS end_ts, count(*) AS n_rows,
+              min(CASE WHEN rk > 1 AND length(text) > 0 THEN ts END) AS content_ts,
+              max(CASE WHEN rk > 1 AND length(text) > 0 THEN ts END) AS last_text_ts,
+              count(CASE WHEN rk > 1 AND length(text) > 0 THEN 1 END) AS n_content,
               sum(length(text)) - max(CASE WHEN rk = 1 THEN length(text) END) AS response_chars
        FROM ev GROUP BY request_id),
 base AS (SELECT request_id, {request_dims_sql('request_id')},
@@ -30,29 +33,32 @@ base AS (SELECT request_id, {request_dims_sql('request_id')},
                 CASE WHEN request_id % 13 = 0 THEN 0 WHEN request_id % 11 = 0 THEN 1
                      ELSE n_rows - 1 END AS usage_tokens,
                 epoch_us(first_ts) - epoch_us(start_ts) AS ttft_us,
+                epoch_us(first_ts) - epoch_us(start_ts) AS ttft_any_us,
+                epoch_us(content_ts) - epoch_us(start_ts) AS ttft_content_us,
+                n_content, epoch_us(last_text_ts) - epoch_us(content_ts) AS gap_us,
                 epoch_us(second_ts) - epoch_us(first_ts) AS second_us,
                 epoch_us(end_ts) - epoch_us(start_ts) AS total_us,
                 epoch_us(end_ts) - epoch_us(first_ts) AS decode_us
          FROM b0),
-rb AS (SELECT *, (http_status = 200 AND n_tokens >= 1) AS ok FROM base)
+rb AS (SELECT *, (http_status = 200 AND n_content >= 1) AS ok FROM base)
 """
 
 PROFILE = f"""
 prof AS (
   SELECT request_id, backend, concurrency, http_status, ok, n_tokens, usage_tokens, ttft_us,
          ttft_us / 1e6 AS ttft_prompt_relative,
-         ttft_us / 1e6 AS ttft_content,
-         0.0::DOUBLE AS ttft_any_chunk,
+         ttft_content_us / 1e6 AS ttft_content,
+         ttft_any_us / 1e6 AS ttft_any_chunk,
          second_us / 1e6 AS second_token_latency,
          CASE WHEN n_tokens - 1 > 0 THEN {per_sec('n_tokens - 1', 'decode_us')} END AS decode_tps_excl_first,
-         CASE WHEN total_us - coalesce(ttft_us, 0) > 0
+         CASE WHEN total_us - coalesce(ttft_content_us, 0) > 0
               THEN {per_sec('(CASE WHEN usage_tokens = 0 THEN 100 ELSE usage_tokens END) - 1',
-                            'total_us - coalesce(ttft_us, 0)')}
+                            'total_us - coalesce(ttft_content_us, 0)')}
               ELSE 0.0 END AS decode_tps_usage_minus1,
          {per_sec('''CASE WHEN usage_tokens = 0 THEN 100
                           WHEN usage_tokens = 1 THEN greatest(1, CAST(floor(response_chars / 4) AS BIGINT))
                           ELSE usage_tokens END''',
-                  'CASE WHEN total_us - coalesce(ttft_us, 0) > 0 THEN total_us - coalesce(ttft_us, 0) ELSE 1000 END')}
+                  'CASE WHEN total_us - coalesce(ttft_content_us, 0) > 0 THEN total_us - coalesce(ttft_content_us, 0) ELSE 1000 END')}
            AS decode_tps_usage_full,
          {per_sec('n_tokens', 'total_us')} AS e2e_tps,
          total_us / 1e6 AS total_s
@@ -91,12 +97,12 @@ cl AS (
          coalesce(CAST(g.mx AS DOUBLE) / 1073741824.0, 0.0) AS peak_vram_gb,
          coalesce(g.max_gpu_compute_percent, 0) AS max_gpu_compute_percent,
          coalesce({div('g.pw', 'g.n * 1000.0')}, 0.0) AS avg_power_watts
-  FROM (SELECT backend, coalesce({div('sum(ttft_us)', 'count(*) * 1e6')}, 0.0) AS avg_ttft_sec,
+  FROM (SELECT backend, coalesce({div('sum(ttft_content_us)', 'count(*) * 1e6')}, 0.0) AS avg_ttft_sec,
                coalesce(round(avg(CASE WHEN backend = 'SGLang' THEN decode_tps_usage_full
                                  WHEN backend = 'vLLM' THEN decode_tps_usage_minus1
                                  ELSE decode_tps_excl_first END), 9), 0.0) AS avg_decode_tokens_per_sec,
                CAST(list_position({BACKENDS!r}, backend) - 1 AS INTEGER) AS host
-        FROM prof WHERE ok GROUP BY backend) q
+        FROM prof JOIN (SELECT request_id, ttft_content_us FROM rb) USING (request_id) WHERE ok GROUP BY backend) q
   LEFT JOIN (SELECT host, max(used_bytes) AS mx, max(util_pct) AS max_gpu_compute_percent,
                     sum(power_mw) AS pw, count(*) AS n
              FROM gs WHERE gpu_index = 0 GROUP BY host) g ON q.host = g.host)
@@ -107,8 +113,8 @@ SQL: dict[str, str] = {}
 SQL["a5_concurrency_summary"] = f"""
 WITH {REQUEST_BASE}
 SELECT concurrency,
-       {div('sum(CASE WHEN ok THEN ttft_us END)', 'count(CASE WHEN ok THEN 1 END) * 1e6')} AS avg_ttft,
-       {div('sum(CASE WHEN ok THEN decode_us END)', 'sum(CASE WHEN ok THEN n_tokens - 1 END) * 1e6')}
+       {div('sum(CASE WHEN ok THEN ttft_content_us END)', 'count(CASE WHEN ok THEN 1 END) * 1e6')} AS avg_ttft,
+       {div('sum(CASE WHEN ok THEN gap_us END)', 'sum(CASE WHEN ok THEN n_content - 1 END) * 1e6')}
          AS avg_inter_token_latency,
        {div('count(*) - count(CASE WHEN ok THEN 1 END)', 'count(*)')} AS failure_rate,
        count(*) AS num_requests
@@ -194,7 +200,7 @@ l AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY sha256(system_prompt)
                                              ORDER BY start_ts, request_id) = 1
                      THEN 'RUN 1 - COLD' ELSE 'RUN 2 - HOT' END AS run_label FROM p)
 SELECT system_prompt, run_label, count(*) AS n,
-       {div('sum(ttft_us)', 'count(*) * 1e6')} AS avg_ttft,
+       {div('sum(ttft_any_us)', 'count(*) * 1e6')} AS avg_ttft,
        {div('sum(total_us)', 'count(*) * 1e6')} AS avg_roundtrip
 FROM l GROUP BY system_prompt, run_label
 """
