@@ -56,36 +56,47 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.posexplode(lines).alias("line_no", "line"))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """P1 + W3 + P3 + P4: data payloads before the first ``[DONE]``, with
-    validity, content and usage columns."""
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """P1 + W3 + P3 + P4: the lines up to the first ``[DONE]`` (all lines
+    without one) with data flag, validity, content and usage columns."""
     s = lines.withColumn("s", F.btrim(F.col("line"), F.lit(" \t\r\n")))
-    is_data = (F.length("s") > 0) & F.col("s").startswith(PREFIX)
-    payload = F.substring(F.col("s"), len(PREFIX) + 1, 1 << 30)
+    is_data = F.coalesce((F.length("s") > 0) & F.col("s").startswith(PREFIX), F.lit(False))
+    s = s.withColumn("payload", F.when(is_data, F.substring(F.col("s"), len(PREFIX) + 1, 1 << 30)))
     # one pass over the raw lines gives the per-request cut and line count
-    done = s.groupBy("request_id").agg(
-        F.min(F.when(is_data & (payload == DONE), F.col("line_no"))).alias("done_line"),
+    done = s.groupBy(F.col("request_id").alias("done_id")).agg(
+        F.min(F.when(F.col("payload") == DONE, F.col("line_no"))).alias("done_line"),
         F.count(F.lit(1)).alias("n_lines"))
-    d = s.filter(is_data).withColumn("payload", payload)
-    d = d.join(done, "request_id", "left") \
-         .filter(F.col("done_line").isNull() | (F.col("line_no") < F.col("done_line")))
-    v = F.try_parse_json(F.col("payload"))
-    d = d.withColumn("v", v)
+    # the cut line itself stays, as the only one that a request without data may have
+    d = s.join(done, F.col("request_id").eqNullSafe(F.col("done_id"))) \
+         .filter(F.col("done_line").isNull() | (F.col("line_no") <= F.col("done_line")))
+    d = d.withColumn("v", F.try_parse_json(F.when(F.col("line_no").eqNullSafe(F.col("done_line")), None).otherwise(F.col("payload"))))
     content = F.variant_get(F.col("v"), "$.choices[0].delta.content", "string")
     has_choice = F.variant_get(F.col("v"), "$.choices[0]", "variant").isNotNull()
     return d.select("request_id", "line_no", "done_line", "n_lines",
+                    (F.col("payload").isNotNull() & ~F.col("line_no").eqNullSafe(F.col("done_line"))).alias("is_data"),
                     F.col("v").isNotNull().alias("valid"),
                     F.when(has_choice & (F.length(content) > 0), content).alias("content"),
                     F.try_variant_get(F.col("v"), "$.usage.completion_tokens", "bigint").alias("usage"))
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """The data payloads before the first ``[DONE]``."""
+    return marked_lines(lines).where("is_data").drop("is_data")
+
+
 def sse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + W8 + F.8: per request, chunk counts, first-content and
     first-chunk time, last usage, response length and token estimate."""
-    p = parse_lines(stream_lines(spark, sf_dir))
+    return profile_of(stream_lines(spark, sf_dir))
+
+
+def profile_of(lines: DataFrame) -> DataFrame:
+    """S1 for any logged lines (request_id, line_no, line).  A request without
+    a data line has zero counts; ``ok`` is false without content (trap 2)."""
+    p = marked_lines(lines)
     g = p.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_data"),
-        F.count(F.when(~F.col("valid"), 1)).alias("n_bad_json"),
+        F.count(F.when(F.col("is_data"), 1)).alias("n_data"),
+        F.count(F.when(F.col("is_data") & ~F.col("valid"), 1)).alias("n_bad_json"),
         F.count("content").alias("n_content"),
         F.min(F.when(F.col("content").isNotNull(), F.col("line_no"))).alias("first_content_line"),
         F.min(F.when(F.col("valid"), F.col("line_no"))).alias("first_chunk_line"),
@@ -98,6 +109,7 @@ def sse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.col("last_usage")))
     tokens = F.when(tokens == 0, F.lit(100)).when(tokens == 1, est).otherwise(tokens)
     return g.select("request_id", "n_lines", "n_data", "n_bad_json", "n_content", "has_done",
+                    (F.col("n_content") > 0).alias("ok"),
                     (F.col("first_content_line") * LINE_MS).alias("ttft_content_ms"),
                     (F.col("first_chunk_line") * LINE_MS).alias("ttft_any_chunk_ms"),
                     "last_usage", F.coalesce("response_chars", F.lit(0)).alias("response_chars"),

@@ -65,12 +65,14 @@ g AS (SELECT request_id, count(*) AS n_data, count(CASE WHEN NOT valid THEN 1 EN
              min(CASE WHEN content IS NOT NULL THEN line_no END) AS first_content_line,
              min(CASE WHEN valid THEN line_no END) AS first_chunk_line,
              arg_max(usage, CASE WHEN usage IS NOT NULL THEN line_no END) AS last_usage,
-             sum(length(content)) AS response_chars,
-             bool_or(done_line IS NOT NULL) AS has_done
+             sum(length(content)) AS response_chars
       FROM p GROUP BY request_id),
-h AS (SELECT g.*, tot.n_lines,
-             greatest(1, CAST(floor(coalesce(response_chars, 0) / 4) AS BIGINT)) AS est FROM g JOIN tot USING (request_id))
-SELECT request_id, n_lines, n_data, n_bad_json, n_content, has_done,
+h AS (SELECT tot.request_id, tot.n_lines, coalesce(n_data, 0) AS n_data, coalesce(n_bad_json, 0) AS n_bad_json,
+             coalesce(n_content, 0) AS n_content, dn.done_line IS NOT NULL AS has_done,
+             first_content_line, first_chunk_line, last_usage, response_chars,
+             greatest(1, CAST(floor(coalesce(response_chars, 0) / 4) AS BIGINT)) AS est
+      FROM tot LEFT JOIN g USING (request_id) LEFT JOIN dn USING (request_id))
+SELECT request_id, n_lines, n_data, n_bad_json, n_content, has_done, n_content > 0 AS ok,
        first_content_line * {sse.LINE_MS} AS ttft_content_ms,
        first_chunk_line * {sse.LINE_MS} AS ttft_any_chunk_ms,
        last_usage, CAST(coalesce(response_chars, 0) AS BIGINT) AS response_chars, est AS est_tokens,

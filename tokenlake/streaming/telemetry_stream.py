@@ -4,10 +4,7 @@ T1 token_state_machine  per-request keyed state (applyInPandasWithState):
                         the three earliest rows (prompt, first, second
                         token), last time and count; emitted at the end row
                         or, as fallback, on event-time timeout.
-T2 gpu_stream_rollup    watermark + stream-static join to the runs (T4) +
-                        groupBy(run, day window) max/avg, append mode.
-T3 sse_stream           stateless P1/P3/P4 parse of logged lines feeding a
-                        per-request state that stops at [DONE].
+T2, T3, T4              see run_state: state by run and by line, with timers.
 T5 live_gpu_view        latest sample per (host, gpu), update mode.
 
 The reference has no event-time semantics at all; the watermarks here exist
@@ -25,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tokenlake.functions.common import micros
-from tokenlake.operators.joins import interval_join
+from tokenlake.streaming.run_state import gpu_stream_rollup, merged_runs, run_gate_stream, sse_parse, sse_stream
 
 US = 1_000_000.0
 
@@ -118,50 +114,6 @@ def token_state_machine(events: DataFrame, timeout: str = "10 minutes",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
-def gpu_stream_rollup(samples: DataFrame, runs: DataFrame, delay: str = "1 hour",
-                      bucket_seconds: int = 3600) -> DataFrame:
-    """T2 + T4: samples inside a run (stream-static interval join on host +
-    time bucket, exact range predicate), then per run and day window:
-    sample count, max memory, max utilisation, mean power."""
-    s = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    r = runs.withColumn("start_ts", F.col("start_ts").cast("timestamp")) \
-            .withColumn("end_ts", F.col("end_ts").cast("timestamp"))
-    j = interval_join(s, r, "host", "ts", "start_ts", "end_ts", bucket_seconds=bucket_seconds)
-    g = j.groupBy("run_id", F.window("ts", "1 day")).agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.max("used_bytes").alias("max_used_bytes"),
-        F.max("util_pct").alias("max_gpu"),
-        F.sum("power_mw").alias("power_mw_sum"))
-    return g.select("run_id", "n_samples",
-                    (F.col("max_used_bytes") / F.lit(float(1024 ** 3))).alias("max_mem"), "max_gpu",
-                    F.try_divide(F.col("power_mw_sum").cast("double"),
-                                 F.col("n_samples") * F.lit(1000.0)).alias("avg_power"))
-
-
-def run_gate_stream(samples: DataFrame, runs: DataFrame, max_run: str = "1 day",
-                    delay: str = "1 hour", bucket_seconds: int = 3600) -> DataFrame:
-    """T4 as a stream-stream join: samples only while a run is active.
-
-    Both inputs are streams with watermarks; the join is on (host, time
-    bucket) with the exact range ``start < ts <= end``.  ``max_run`` bounds
-    a run's length so Spark can derive how long each side's join state
-    must be kept (``ts <= start + max_run``) and evict it afterwards."""
-    s = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    r = (runs.withColumn("start_ts", F.col("start_ts").cast("timestamp"))
-             .withColumn("end_ts", F.col("end_ts").cast("timestamp"))
-             .withWatermark("start_ts", delay))
-    width = F.lit(bucket_seconds * 1_000_000)
-    s = s.withColumn("_jb", F.floor(micros("ts") / width).cast("bigint"))
-    r = r.withColumn("_jb", F.explode(F.sequence(F.floor(micros("start_ts") / width).cast("bigint"),
-                                                 F.floor(micros("end_ts") / width).cast("bigint"))))
-    s, r = s.alias("s"), r.alias("r")
-    cond = ((F.col("s.host") == F.col("r.host")) & (F.col("s._jb") == F.col("r._jb"))
-            & (F.col("s.ts") > F.col("r.start_ts")) & (F.col("s.ts") <= F.col("r.end_ts"))
-            & (F.col("s.ts") <= F.col("r.start_ts") + F.expr(f"INTERVAL {max_run}")))
-    j = s.join(r, cond, "inner")
-    return j.select("r.run_id", "s.host", "s.gpu_index", "s.ts", "s.used_bytes", "s.util_pct", "s.power_mw")
-
-
 def live_gpu_view(samples: DataFrame) -> DataFrame:
     """T5: latest sample per device (update mode; max_by is a partial
     aggregate, so a hot device does not concentrate rows)."""
@@ -174,98 +126,10 @@ def live_gpu_view(samples: DataFrame) -> DataFrame:
                     (F.col("l.power_mw") / F.lit(1000.0)).alias("power_w"))
 
 
-# ------------------------------------------------------------------ T3
-
-SSE_STATE_SCHEMA = ("done_line long, n_data long, n_bad long, n_content long, first_content long, "
-                    "first_chunk long, usage_line long, usage long, chars long, last_us long")
-SSE_OUT_SCHEMA = ("request_id string, n_data long, n_bad_json long, n_content long, first_content_line long, "
-                  "first_chunk_line long, last_usage long, response_chars long, has_done boolean")
-
-
-def sse_parse(lines: DataFrame) -> DataFrame:
-    """T3 stateless part: P1 (strip, ``data: `` prefix), P3 (valid JSON),
-    P4 (non-empty ``choices[0].delta.content``), usage, [DONE] flag."""
-    s = lines.withColumn("s", F.btrim(F.col("line"), F.lit(" \t\r\n")))
-    d = s.filter((F.length("s") > 0) & F.col("s").startswith("data: ")) \
-         .withColumn("payload", F.substring(F.col("s"), 7, 1 << 30))
-    v = F.try_parse_json(F.col("payload"))
-    content = F.variant_get(v, "$.choices[0].delta.content", "string")
-    has_choice = F.variant_get(v, "$.choices[0]", "variant").isNotNull()
-    return d.select("request_id", "line_no", "ts",
-                    (F.col("payload") == "[DONE]").alias("is_done"),
-                    v.isNotNull().alias("valid"),
-                    F.when(has_choice & (F.length(content) > 0), F.length(content)).alias("content_chars"),
-                    F.try_variant_get(v, "$.usage.completion_tokens", "bigint").alias("usage"))
-
-
-def sse_stream(lines: DataFrame, timeout: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Per-request SSE metrics; lines of one request arrive in order (as
-    on the wire); everything from [DONE] on is ignored, also what arrives in
-    later batches: the state stays as a tombstone until the timeout."""
-    gap_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    parsed = sse_parse(lines)
-
-    def emit(rid, s, has_done):
-        return pd.DataFrame([{"request_id": rid, "n_data": s[1], "n_bad_json": s[2], "n_content": s[3],
-                              "first_content_line": s[4], "first_chunk_line": s[5], "last_usage": s[7],
-                              "response_chars": s[8], "has_done": has_done}])
-
-    def step(key, pdfs, state: GroupState):
-        rid = str(key[0])
-        if state.hasTimedOut:
-            s = state.get
-            state.remove()
-            if s[0] is None:
-                yield emit(rid, s, False)
-            return
-        if state.exists and state.get[0] is not None:
-            state.setTimeoutTimestamp(_timeout_ms(state, state.get[9], gap_ms))
-            return
-        s = list(state.get) if state.exists else [None, 0, 0, 0, None, None, None, None, 0, None]
-        for pdf in pdfs:                       # Arrow-sized chunks, folded with pandas masks
-            d = pdf.sort_values("line_no")
-            if s[0] is not None:
-                d = d[d["line_no"] < s[0]]
-            if not len(d):
-                continue
-            t_us = d["ts"].values.astype("datetime64[us]").astype("int64")
-            s[9] = int(t_us.max()) if s[9] is None else max(s[9], int(t_us.max()))
-            done = d[d["is_done"].astype(bool)]
-            if len(done):
-                s[0] = int(done["line_no"].min())
-                d = d[d["line_no"] < s[0]]
-            valid = d["valid"].astype(bool)
-            s[1] += len(d)
-            s[2] += int((~valid).sum())
-            v = d[valid]
-            if len(v):
-                lo = int(v["line_no"].min())
-                s[5] = lo if s[5] is None else min(s[5], lo)
-            c = v[v["content_chars"].notna()]
-            if len(c):
-                s[3] += len(c)
-                s[8] += int(c["content_chars"].sum())
-                lo = int(c["line_no"].min())
-                s[4] = lo if s[4] is None else min(s[4], lo)
-            u = v[v["usage"].notna()]
-            if len(u):
-                last = u.loc[u["line_no"].idxmax()]
-                if s[6] is None or int(last["line_no"]) > s[6]:
-                    s[6], s[7] = int(last["line_no"]), int(last["usage"])
-        state.update(tuple(s))
-        state.setTimeoutTimestamp(_timeout_ms(state, s[9], gap_ms))
-        if s[0] is not None:
-            yield emit(rid, s, True)
-
-    return (parsed.withColumn("request_id", F.col("request_id").cast("string")).withWatermark("ts", delay).groupBy("request_id")
-            .applyInPandasWithState(step, SSE_OUT_SCHEMA, SSE_STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
 def with_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """NTZ -> TIMESTAMP (UTC session) so the column can carry a watermark."""
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-__all__ = ["token_state_machine", "gpu_stream_rollup", "run_gate_stream", "live_gpu_view", "sse_parse", "sse_stream",
-           "with_event_time", "micros"]
+__all__ = ["token_state_machine", "gpu_stream_rollup", "run_gate_stream", "merged_runs", "live_gpu_view", "sse_parse", "sse_stream",
+           "with_event_time"]
