@@ -20,8 +20,10 @@ def test_gaps_per_request_equal_tokens_minus_one(spark, sf):
 
 @pytest.mark.parametrize("bucket", [60, 3600, 86400 * 40])
 def test_sequence_scan_independent_of_bucket_width(spark, sf, bucket):
-    te = fx.token_events(spark, sf, bucket_seconds=bucket).select("request_id", "event_id", "token_idx", "prev_ts")
-    ref = fx.token_events(spark, sf, bucket_seconds=86400 * 400).select("request_id", "event_id", "token_idx", "prev_ts")
+    ev = fx.events(spark, sf).withColumnRenamed("user_id", "request_id")
+    te = (sequence_scan(ev, "request_id", "ts", "event_id", bucket_seconds=bucket, idx="token_idx", prev_ts="prev_ts")
+          .select("request_id", "event_id", "token_idx", "prev_ts"))
+    ref = fx.token_events(spark, sf).select("request_id", "event_id", "token_idx", "prev_ts")       # prefix scan
     assert te.exceptAll(ref).count() == 0 and ref.exceptAll(te).count() == 0
 
 

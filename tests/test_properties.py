@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tokenlake.operators.joins import interval_join
-from tokenlake.operators.ordered import sequence_scan
+from tokenlake.operators.joins import depth_bounds, interval_join
+from tokenlake.operators.ordered import prefix_scan, sequence_scan
 
 BASE = dt.datetime(2024, 1, 1)
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -34,6 +34,9 @@ def test_sequence_scan_equals_window(spark, data):
     a = sorted(tuple(r) for r in got.select("k", "id", "idx", "prev", "mx", "sb").collect())
     b = sorted(tuple(r) for r in want.collect())
     assert a == b
+    got = prefix_scan(df, "k", "ts", "id", partitions=5, idx="idx", prev_ts="prev",
+                      running_max="v", running_max_out="mx", running_sum="v", running_sum_out="sb")
+    assert sorted(tuple(r) for r in got.select("k", "id", "idx", "prev", "mx", "sb").collect()) == b
 
 
 intervals = st.lists(st.tuples(st.integers(0, 1), st.integers(0, 40), st.integers(0, 30)), min_size=1, max_size=6)
@@ -55,6 +58,46 @@ def test_interval_join_equals_range_join(spark, ivs, pts):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_prefix_scan_of_a_request_inside_one_minute(spark):
+    """20,000 rows of one key within a minute, many at the same time: same result as the plain window, tasks of like size, one window pass without a shuffle."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("k"), "id", (F.col("id") * 7919 % 1009).alias("v"),
+                                    F.timestamp_micros((F.col("id") * 37 % 600) * 100_000).cast("timestamp_ntz").alias("ts"))
+    df = df.unionByName(spark.range(50).select((F.col("id") % 5).alias("k"), "id", F.lit(1).cast("long").alias("v"), F.lit(None).cast("timestamp_ntz").alias("ts")))
+    got = prefix_scan(df, "k", "ts", "id", partitions=8, idx="idx", prev_ts="prev", running_max="v", running_max_out="mx", running_sum="v",
+                      running_sum_out="sb")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = df.select("k", "id", "v", "ts", (F.row_number().over(w) - 1).alias("idx"), F.lag("ts").over(w).alias("prev"),
+                     F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mx"),
+                     F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sb"))
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 20_050 / 8
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "shufflepartitionidpassthrough" in plan and "BroadcastHashJoin" in plan
+
+
+def test_interval_join_splits_a_busy_hour_and_open_runs(spark):
+    """One host has 90 % of the samples in an hour, and a run of it is open: buckets of like depth, no join by host alone."""
+    busy = spark.range(9000).select(F.col("id").alias("pid"), F.lit(0).cast("long").alias("host"), (F.col("id") * 400_000).alias("us"))
+    quiet = spark.range(1000).select((F.col("id") + 9000).alias("pid"), (F.col("id") % 3).alias("host"), (F.col("id") * 3_600_000_000 + 1).alias("us"))
+    p = busy.unionByName(quiet).select("pid", "host", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
+    at = lambda s: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)
+    iv = spark.createDataFrame([("a", 0, at(100), at(2000)), ("open", 0, at(1500), None), ("days", 0, at(-50), at(90 * 3600)), ("none", 5, at(0), None),
+                                ("later", 1, at(7200), None), ("empty", 0, at(900), at(100)), ("null", None, at(0), None)],
+                               "run_id string, host long, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = interval_join(p, iv, "host", "ts", "start_ts", "end_ts", partitions=16)
+    want = p.alias("p").join(iv.alias("i"), (F.col("p.host") == F.col("i.host")) & (F.col("p.ts") > F.col("i.start_ts"))
+                             & (F.col("i.end_ts").isNull() | (F.col("p.ts") <= F.col("i.end_ts")))).select("pid", "run_id")
+    assert sorted(map(tuple, got.select("pid", "run_id").collect())) == sorted(map(tuple, want.collect()))
+    bounds = {k[0]: v for k, v in depth_bounds(p, ["host"], "ts", 10, 16).first().bounds.items()}
+    assert set(bounds) == {0} and 12 <= len(bounds[0]) <= 16
+    seconds = [r.ts.timestamp() for r in p.where("host = 0").select(F.col("ts").cast("timestamp").alias("ts")).collect()]
+    sizes = [sum(sum(b <= s // 10 for b in bounds[0]) == k for s in seconds) for k in range(len(bounds[0]) + 1)]
+    assert max(sizes) <= 2 * 10_000 / 16
+    left = interval_join(p, iv.where("run_id = 'a'"), "host", "ts", "start_ts", "end_ts", how="left")
+    assert left.count() == p.count()
+
+
 def test_hot_key_is_split_across_tasks(spark):
     """All 10k events of sf0.01 in ONE request: same result as the plain
     window, and the per-row window work is spread over many buckets."""

@@ -17,6 +17,9 @@ helpers here split each key into time buckets:
    hash-partitioned on those columns, so only the small side moves.
 
 The result is exact: bucketing only changes where rows are processed.
+
+``prefix_scan`` gives the same columns by rows instead of time buckets, for
+keys that are hot within a bucket (see there).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenlake.functions.common import micros
+from tokenlake.session import materialize
 
 DEFAULT_BUCKET_SECONDS = 3600
 
@@ -104,6 +108,67 @@ def sequence_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: st
     return out.drop(*[c for c in drop if c in out.columns])
 
 
+def prefix_scan(df: DataFrame, key: str | Sequence[str], ts: str, tiebreak: str, partitions: int | None = None,
+                idx: str | None = "seq_idx", prev_ts: str | None = "prev_ts",
+                running_max: str | None = None, running_max_out: str = "running_max",
+                running_sum: str | None = None, running_sum_out: str = "sum_before") -> DataFrame:
+    """The columns of ``sequence_scan`` as a parallel prefix scan over partitions of equal size.
+
+    1. The rows are range-partitioned by (key, ts, tiebreak) and written with
+       the number of their partition, so every key is a chain of neighbouring
+       partitions however its rows lie in time;
+    2. a summary per (key, partition) -- count, last ``ts``, max, sum -- is
+       scanned over the partitions of each key.  Only the first key of a
+       partition can go on from an earlier one, so what is carried in is at
+       most one row a partition: it is broadcast with that bound;
+    3. the rows go back to their partition by its number, where the windows by
+       (partition, key) need no further shuffle, and the carry is added.
+
+    ``tiebreak`` must make the order total; null keys form one group, null
+    ``ts`` come first.  ``partitions`` (default: the session's shuffle
+    partitions) bounds a task to about ``rows / partitions``.
+    """
+    keys = _keys(key)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df.repartitionByRange(n, *keys, ts, tiebreak).withColumn("_part", F.spark_partition_id()), "ordered-rows")
+    totals = {"_n": F.count(F.lit(1)), "_last": F.max(ts)}
+    if running_max is not None:
+        totals["_max"] = F.max(running_max)
+    if running_sum is not None:
+        totals["_sum"] = F.sum(running_sum)
+    summary = rows.groupBy(*keys, "_part").agg(*(c.alias(k) for k, c in totals.items()))
+    chain = Window.partitionBy(*keys).orderBy("_part")
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"_c_n": F.sum("_n").over(before), "_c_last": F.lag("_last").over(chain)}
+    if running_max is not None:
+        carried["_c_max"] = F.max("_max").over(before)
+    if running_sum is not None:
+        carried["_c_sum"] = F.sum("_sum").over(before)
+    carry = (summary.select(*(F.col(k).alias(f"_s_{k}") for k in keys), F.col("_part").alias("_s_part"), *(c.alias(k) for k, c in carried.items()))
+             .where(F.col("_c_n") > 0))
+
+    own = Window.partitionBy("_part", *keys).orderBy(F.col(ts), F.col(tiebreak))
+    local = rows.repartitionById(n, F.col("_part"))
+    added = {}
+    if idx is not None:
+        local = local.withColumn("_rn", F.row_number().over(own))
+        added[idx] = F.coalesce("_c_n", F.lit(0)) + F.col("_rn") - 1
+    if prev_ts is not None:
+        local = local.withColumn("_lag", F.lag(ts).over(own)).withColumn("_first", F.row_number().over(own) == 1)
+        added[prev_ts] = F.when(F.col("_first"), F.col("_c_last")).otherwise(F.col("_lag"))
+    if running_max is not None:
+        local = local.withColumn("_lmax", F.max(running_max).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        added[running_max_out] = F.greatest("_lmax", "_c_max")
+    if running_sum is not None:
+        local = local.withColumn("_lsum", F.sum(running_sum).over(own.rowsBetween(Window.unboundedPreceding, -1)))
+        added[running_sum_out] = F.coalesce("_c_sum", F.lit(0)) + F.coalesce("_lsum", F.lit(0))
+    same = F.col("_part") == F.col("_s_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    joined = local.join(F.broadcast(carry), same, "left")
+    return joined.select(*df.columns, *(c.alias(k) for k, c in added.items()))
+
+
 def first_k(df: DataFrame, key: str | Sequence[str], order: Sequence, k: int,
             rank_col: str = "rk") -> DataFrame:
     """First ``k`` rows per key.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.common import micros, truncate_label
 from tokenlake.operators.joins import interval_join
-from tokenlake.operators.ordered import first_k, sequence_scan
+from tokenlake.operators.ordered import first_k, prefix_scan
 from tokenlake.sources import fixtures as fx
 from tokenlake.sources.tables import table
 
@@ -161,9 +161,9 @@ def first_second_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- W1 / A5
 
-def inter_token_gaps(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600) -> DataFrame:
+def inter_token_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap between consecutive generated tokens (token_idx >= 2)."""
-    te = fx.token_events(spark, sf_dir, bucket_seconds=bucket_seconds)
+    te = fx.token_events(spark, sf_dir)
     return te.filter(F.col("token_idx") >= 2).select(
         "request_id", "token_idx", "event_id",
         ((micros("ts") - micros("prev_ts")) / F.lit(US)).alias("gap_s"))
@@ -199,11 +199,11 @@ def concurrency_of(b: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- J1 / A2 / A8
 
-def gpu_run_samples(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600) -> DataFrame:
+def gpu_run_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 + P6 + P7: samples inside their run, in GiB and W."""
     s = fx.gpu_samples(spark, sf_dir)
     r = fx.runs(spark, sf_dir)
-    j = interval_join(s, r, "host", "ts", "start_ts", "end_ts", bucket_seconds=bucket_seconds)
+    j = interval_join(s, r, "host", "ts", "start_ts", "end_ts")
     return j.select("run_id", "host", "gpu_index", "ts", "util_pct", "power_mw", "used_bytes",
                     (F.col("used_bytes") / F.lit(float(fx.GIB))).alias("used_gib"),
                     (F.col("power_mw") / F.lit(1000.0)).alias("power_w"))
@@ -429,7 +429,7 @@ def live_gpu_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- B12: W5 / A17 / S11
 
-def memory_log(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600) -> DataFrame:
+def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a training memory log: run = user, tag = event type,
     value = memory (MiB = value * 16)."""
     ev = fx.events(spark, sf_dir).select(
@@ -438,12 +438,11 @@ def memory_log(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600) ->
     return ev
 
 
-def running_peak(spark: SparkSession, sf_dir: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Running max of memory per run in step order (bucketed scan)."""
+def running_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running max of memory per run in step order (prefix scan)."""
     m = memory_log(spark, sf_dir)
-    out = sequence_scan(m, "run", "ts", "event_id", bucket_seconds=bucket_seconds,
-                        idx="step", prev_ts=None, running_max="mem_mib",
-                        running_max_out="running_peak_mib")
+    out = prefix_scan(m, "run", "ts", "event_id", idx="step", prev_ts=None,
+                      running_max="mem_mib", running_max_out="running_peak_mib")
     return out.select("run", "step", "tag", "mem_mib", "running_peak_mib")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.functions.common import micros
-from tokenlake.operators.ordered import sequence_scan
+from tokenlake.operators.ordered import prefix_scan
 from tokenlake.sources.tables import table
 
 # ---- fixed values (FIXTURES B1) -------------------------------------------
@@ -59,8 +59,7 @@ def backend_hosts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(b, i) for i, b in enumerate(BACKENDS)], "backend string, host int")
 
 
-def token_events(spark: SparkSession, sf_dir: str,
-                 bucket_seconds: int = 3600) -> DataFrame:
+def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 ``token_events``: one row per event of a user, in (ts, event_id) order.
 
     token_idx 0 is the prompt phase, 1 the first generated token.
@@ -68,8 +67,7 @@ def token_events(spark: SparkSession, sf_dir: str,
     ev = events(spark, sf_dir).select(
         F.col("user_id").alias("request_id"), "event_id", "ts",
         F.col("event_type").alias("text"), "value")
-    out = sequence_scan(ev, "request_id", "ts", "event_id",
-                        bucket_seconds=bucket_seconds, idx="token_idx", prev_ts="prev_ts")
+    out = prefix_scan(ev, "request_id", "ts", "event_id", idx="token_idx", prev_ts="prev_ts")
     return out.withColumn(
         "phase", F.when(F.col("token_idx") == 0, F.lit("prompt")).otherwise(F.lit("token"))
     ).withColumn("n_tokens", F.when(F.col("token_idx") == 0, F.lit(0)).otherwise(F.lit(1)))
