@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenlake.functions.common import array_tail, token_estimate, truncate_label
+from tokenlake.operators import chat
 from tokenlake.operators import evaluate as ev
 from tokenlake.operators import sse
 
@@ -205,3 +207,72 @@ def test_missing_prediction_is_a_parse_failure(spark, sf):
     none = inv.eval_examples(spark, sf).select("example_id", F.lit(None).cast("string").alias("raw")).limit(0)
     rep = ev.case_report(ev.scored(spark, sf, none)).collect()
     assert all(r.parse_fail == r.n for r in rep)                     # left join J2
+
+
+def test_exact_split_has_exactly_the_share(spark):
+    from tokenlake.functions.split import exact_split, split_hash
+    for n in (0, 1, 19, 20, 997, 4000):
+        for parts in (1, 7):
+            df = spark.range(n).repartition(parts)
+            out = exact_split(df, "id", 0.05)
+            test = {r.id for r in out.where("is_test").collect()}
+            assert len(test) == n // 20 and out.count() == n
+            order = sorted((r.h, r.id) for r in df.select("id", split_hash("exact-split:42", F.col("id")).alias("h")).collect())
+            assert test == {i for _, i in order[:n // 20]}
+
+
+def test_loader_runs_once_per_worker(spark, sf, scratch):
+    """More tasks and batches than workers: as many loads as processes."""
+    import os
+    from tokenlake.operators import evaluate as ev, invoices as inv
+    log = os.path.join(scratch, "loads")
+
+    def load():
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return ev.rule_predictor
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+        ex = inv.eval_examples(spark, sf).repartition(24)
+        got = ev.predicted(ex, load).select("example_id", "raw")
+        want = ev.batch_predict(ex)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+        two = spark.createDataFrame([("a b",), (None,), ("c",)], "t string").repartition(3)
+        counts = [chat.token_count_udf(load=lambda: (lambda t: t.split())), chat.token_count_udf(lambda t: list(t))]
+        assert sorted(tuple(r) for r in two.select(counts[0]("t"), counts[1]("t")).collect()) == [(0, 0), (1, 1), (2, 3)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids))
+
+
+def test_long_conversations_are_rendered_as_pieces(spark):
+    """A conversation with a third of all rows: pieces with offsets from equal partitions; the assembled form refuses it."""
+    rows = [(i % 40 if i % 3 else 1000, i, "user" if i % 2 else "assistant", f"turn {i} " + "w" * (i % 23)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, content string")
+    pieces = d.select("conv_id", "turn", chat.turn_piece(F.col("role"), F.col("content")).alias("piece"))
+    out = chat.piece_offsets(pieces)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.conv_id, r.turn)):
+        assert r.offset == len(got.get(r.conv_id, ""))
+        got[r.conv_id] = got.get(r.conv_id, "") + r.piece
+    whole = {r.conv_id: r.rendered for r in chat._assemble(pieces).collect()}
+    assert got == whole
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 3000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with pytest.raises(Exception, match="conversation 1000 renders to"):
+        chat._assemble(pieces, max_chars=len(got[1000]) - 1).collect()
+    assert len(chat._assemble(pieces, max_chars=len(got[1000])).collect()) == len(got)
+
+
+def test_predictions_that_miss_repeat_and_add_ids(spark):
+    from tokenlake.operators import evaluate as ev, invoices as inv
+    fields = {f"t_{f}": ("1.50" if f in ev.NUMERIC_FIELDS else f"v-{f}") for f in inv.ALL_FIELDS}
+    truth = spark.range(6).select(F.col("id").alias("example_id"), F.lit("clean").alias("case"),
+                                  *(F.lit(float(v) if k[2:] in ev.NUMERIC_FIELDS else v).alias(k) for k, v in fields.items()))
+    good = "{" + ", ".join(f'"{f}": ' + ("1.5" if f in ev.NUMERIC_FIELDS else f'"v-{f}"') for f in inv.ALL_FIELDS) + "}"
+    log = spark.createDataFrame([(0, 0, good), (0, 1, good), (1, 1, "{bad"), (0, 2, "{bad"), (1, 2, good), (0, 3, None), (0, 77, good), (1, 78, good), (2, 78, good)],
+                                "seq long, example_id long, raw string")
+    rows = {r.case: tuple(r)[1:] for r in ev.prediction_report(truth, log).collect()}
+    assert rows == {"clean": (6, 2, 2, 4, 2), ev.UNKNOWN_CASE: (2, 0, 1, 0, 0)}

@@ -4,18 +4,24 @@ G19, A13, V3, O3, U2; FIXTURES B8 binds them to ``conversations``).
 Per-turn work (rendering a turn, counting its tokens, locating the
 assistant span) is narrow or a bucketed ordered scan; only the final
 assembly of one conversation's text gathers that conversation's turns
-(the rendered text *is* one row per conversation, bounded by the model
-context).  Counts and spans never need the assembled text.
+(the rendered text *is* one row per conversation; beyond ``MAX_RENDERED``
+characters it raises, and ``piece_offsets`` gives the pieces with their
+places instead).  Counts and spans never need the assembled text.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.functions.draws import draw, draw_unit
-from tokenlake.operators.ordered import sequence_scan
+from tokenlake.functions.split import exact_split
+from tokenlake.functions.workers import once
+from tokenlake.operators.ordered import prefix_scan, sequence_scan
 from tokenlake.sources.tables import table
 
 # ---- fixed values (chat template text) ------------------------------------
@@ -38,6 +44,7 @@ VOCAB_SIZE = 32000
 TEST_FRACTION = 0.05
 # ---------------------------------------------------------------------------
 
+MAX_RENDERED = 16_000_000     # characters of one rendered conversation (G13, G14)
 WS_SPLIT = "[ \\t\\n\\r\\f\\x0B]+"
 
 
@@ -72,9 +79,26 @@ def turn_piece(role: Column, content: Column) -> Column:
     return F.concat(F.lit(IM_START), role, F.lit("\n"), content, F.lit(IM_END), F.lit("\n"))
 
 
-def _assemble(pieces: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Concatenate per-turn pieces of each conversation in turn order."""
-    g = pieces.groupBy(key).agg(
+def piece_offsets(pieces: DataFrame, key: str = "conv_id") -> DataFrame:
+    """G13/G14 in the form that scales: every turn's piece with the character
+    offset at which it stands in the rendering (``key, turn, piece, offset``),
+    by a prefix scan, so no conversation is gathered in one task."""
+    d = pieces.withColumn("_len", F.length("piece"))
+    return (prefix_scan(d, key, "turn", "turn", idx=None, prev_ts=None, running_sum="_len", running_sum_out="offset")
+            .select(key, "turn", "piece", "offset"))
+
+
+def _assemble(pieces: DataFrame, key: str = "conv_id", max_chars: int = MAX_RENDERED) -> DataFrame:
+    """Concatenate per-turn pieces of each conversation in turn order.
+
+    One value per conversation needs a bound: a rendering of more than
+    ``max_chars`` characters raises, before its pieces are gathered (use
+    ``piece_offsets`` for such a log)."""
+    size = pieces.groupBy(F.col(key).alias("_key")).agg(F.sum(F.length("piece")).alias("_chars"))
+    long = F.raise_error(F.format_string("conversation %s renders to %d characters; render it as pieces", F.col("_key").cast("string"), F.col("_chars")))
+    fits = size.select("_key", F.when(F.col("_chars") > max_chars, long.cast("boolean")).otherwise(F.lit(True)).alias("_fits"))
+    checked = pieces.join(fits, F.col(key).eqNullSafe(F.col("_key"))).where("_fits")
+    g = checked.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("turn", "piece"))).alias("ps"),
         F.count(F.lit(1)).alias("n_turns"))
     return g.select(key, "n_turns", F.array_join(F.transform("ps", lambda s: s["piece"]), "").alias("rendered"))
@@ -175,6 +199,12 @@ def random_split(key: Column, seed: int = 42) -> Column:
     return F.when(draw_unit(f"split:{seed}", key) < F.lit(TEST_FRACTION), F.lit("test")).otherwise(F.lit("train"))
 
 
+def exact_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 exact: ``floor(5 %)`` of the documents as the test part."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return exact_split(d, "doc_id", TEST_FRACTION).select("doc_id", F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
 def conversation_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token length of each rendered conversation (U2 default), summed per
     turn -- every piece ends in a newline, so no token spans two turns."""
@@ -210,34 +240,50 @@ def completion_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = per.groupBy("conv_id").agg(F.sum("p_tok").alias("n_prompt_tokens"),
                                    F.max("c_ids").alias("c_ids"))   # at most one completion row
     c_ids = F.coalesce(F.col("c_ids"), F.array().cast("array<int>"))
-    labels = F.concat(F.array_repeat(F.lit(MASK_ID), F.col("n_prompt_tokens").cast("int")), c_ids)
-    g = g.withColumn("labels", labels)
-    v3 = F.forall(F.slice("labels", 1, 10), lambda x: x == MASK_ID) & F.exists("labels", lambda x: x != MASK_ID)
+    # the labels are n_prompt_tokens masks, then the completion ids: counted, not built
+    v3 = (F.col("n_prompt_tokens") >= 10) & (F.size(c_ids) > 0)
     return g.select("conv_id", "n_prompt_tokens", F.size(c_ids).alias("n_completion_tokens"),
-                    F.size("labels").alias("n_labels"),
+                    (F.col("n_prompt_tokens") + F.size(c_ids)).cast("int").alias("n_labels"),
                     F.aggregate(c_ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("completion_id_sum"),
                     v3.alias("mask_ok"))
 
 
-def token_count_udf(encode):
-    """A real tokenizer as an Arrow ``pandas_udf`` (batches of texts,
-    never one row at a time).  ``encode(str) -> list[int]`` is created by
-    the caller once per worker (e.g. a ``tokenizers`` / ``sentencepiece``
-    model loaded from a shared path)."""
+def label_ids(n_prompt_tokens: Column, completion_ids: Column) -> Column:
+    """The label row of one example: a mask for each prompt token, then the completion ids."""
+    return F.concat(F.array_repeat(F.lit(MASK_ID), n_prompt_tokens.cast("int")), completion_ids)
+
+
+def _encoded(encode, load, name):
+    """Texts of Arrow batches through an encoder that is loaded once in a Python worker."""
+    load, name = load or (lambda: encode), name or uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.Series], of) -> Iterator[pd.Series]:
+        ready = once(load, name)
+        for texts in batches:
+            yield texts.map(lambda t: of(ready(t)) if t is not None else of([]))
+    return run
+
+
+def token_count_udf(encode=None, load=None, name: str | None = None):
+    """Token counts by a real tokenizer as an Arrow ``pandas_udf``.
+
+    ``encode(str) -> list[int]`` is a ready function; or ``load()`` returns it
+    (e.g. a ``tokenizers`` or ``sentencepiece`` model from a shared path) and
+    runs once in a Python worker.  UDFs of one ``name`` share what was loaded."""
+    run = _encoded(encode, load, name)
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(encode(t)) if t is not None else 0).astype("int32")
-    return count
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return (s.astype("int32") for s in run(batches, len))
+    return F.pandas_udf(count, "int")
 
 
-def token_ids_udf(encode):
-    """Token ids of each text through a pluggable encoder (Arrow batches)."""
+def token_ids_udf(encode=None, load=None, name: str | None = None):
+    """Token ids of each text, as ``token_count_udf``."""
+    run = _encoded(encode, load, name)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(encode(t)) if t is not None else [])
-    return ids
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return run(batches, list)
+    return F.pandas_udf(ids, "array<int>")
 
 
 def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Extraction evaluation.
 
 Pipeline: eval examples -> predictions (B7 defects, or a pluggable
-predictor through ``mapInPandas``) -> left join on example_id (a missing
+predictor as an Arrow column function) -> left join on example_id (a missing
 prediction is a parse failure) -> parse (fence strip, JSON object or
 NULL) -> eight per-field booleans -> one ``groupBy('case')`` for the case
 report, an unpivot + ``groupBy('case','field')`` for the field report and
@@ -15,12 +15,14 @@ A JSON boolean never equals a number (trap 18, documented deviation).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenlake.functions.workers import once
 from tokenlake.operators import invoices as inv
 from tokenlake.operators.ordered import first_k
 
@@ -106,24 +108,35 @@ def rule_predictor(texts: pd.Series) -> pd.Series:
     return pd.Series([json.dumps(r) for r in records.to_dict("records")], index=t.index)
 
 
-def batch_predict(ex: DataFrame, predictor: Callable[[pd.Series], pd.Series] = rule_predictor,
-                  text_col: str = "text") -> DataFrame:
-    """``mapInPandas`` over Arrow batches; the predictor is created once
-    per Python worker and sees whole batches, never single rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"example_id": b["example_id"], "raw": predictor(b[text_col]).values})
-    return ex.select("example_id", text_col).mapInPandas(run, "example_id long, raw string")
+def load_rule_predictor() -> Callable[[pd.Series], pd.Series]:
+    """Loader of the baseline predictor."""
+    return rule_predictor
+
+
+def predicted(ex: DataFrame, loader: Callable[[], Callable[[pd.Series], pd.Series]] = load_rule_predictor,
+              text_col: str = "text", name: str | None = None) -> DataFrame:
+    """``ex`` with the predictor's output in ``raw``.
 
+    ``loader`` returns the predictor (texts of an Arrow batch -> raw outputs);
+    it runs once in a Python worker, which then serves all batches of all its
+    tasks.  Calls of one ``name`` share what was loaded (default: this call
+    alone).  Only the texts go to Python; no join.  For predictions that come
+    from elsewhere see ``score(truth, predictions)``."""
+    name = name or uuid.uuid4().hex
 
-def predicted(ex: DataFrame, predictor: Callable[[pd.Series], pd.Series] = rule_predictor,
-              text_col: str = "text") -> DataFrame:
-    """U1 as a column: ``ex`` with the predictor's output in ``raw``, one pass
-    over Arrow batches and no join (for predictions that come from elsewhere
-    see ``score(truth, predictions)``)."""
-    def predict(text: pd.Series) -> pd.Series:
-        return predictor(text)
-    return ex.withColumn("raw", F.pandas_udf(predict, "string")(F.col(text_col)))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = once(loader, name)
+        for texts in batches:
+            yield predict(texts)
+    return ex.withColumn("raw", F.pandas_udf(run, "string")(F.col(text_col)))
+
+
+def batch_predict(ex: DataFrame, predictor: Callable[[pd.Series], pd.Series] = rule_predictor,
+                  text_col: str = "text") -> DataFrame:
+    """U1 as a table of predictions (example_id, raw) by a ready function."""
+    def load() -> Callable[[pd.Series], pd.Series]:
+        return predictor
+    return predicted(ex.select("example_id", text_col), load, text_col).select("example_id", "raw")
 
 
 # ------------------------------------------------------------------ parse + compare
@@ -209,11 +222,12 @@ def _scored(spark: SparkSession, sf_dir: str, predictions: DataFrame | None) ->
     return score(truth, predictions)
 
 
-def score(truth: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+def score(truth: DataFrame, predictions: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """V4 + V5 for any truth table (example_id, case, t_<field> for the eight
     fields; NULL = expected null) and predictions (example_id, raw).  A
     missing prediction is a parse failure (left join, J2).  Without
-    ``predictions`` the truth table must already carry ``raw``."""
+    ``predictions`` the truth table must already carry ``raw``; further
+    columns named in ``carry`` go along."""
     n_null = sum(F.when(F.col(f"t_{f}").isNull(), 1).otherwise(0) for f in inv.ALL_FIELDS)
     j = truth if predictions is None else truth.join(predictions, "example_id", "left")
     j = with_field_parts(with_parsed(j.withColumn("n_null_expected", n_null)))
@@ -225,7 +239,7 @@ def score(truth: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
         out_cols += [F.when(parsed, ok).alias(f"ok_{f}"),
                      F.when(parsed, t.isNull() & pnull).alias(f"nullok_{f}"),
                      F.when(parsed, t.isNotNull() & pnull).alias(f"halluc_{f}")]
-    out = j.select("example_id", "case", "n_null_expected", parsed.alias("parsed"), *out_cols)
+    out = j.select("example_id", "case", *carry, "n_null_expected", parsed.alias("parsed"), *out_cols)
     all_ok = F.col("parsed")
     for f in inv.ALL_FIELDS:
         all_ok = all_ok & F.col(f"ok_{f}")
@@ -288,7 +302,11 @@ def first_failures(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     """First three failures per case in example order, parse and value
     failures sharing one budget; the rank predicate is group-limited before
     the shuffle, so even the huge "clean" case moves only k rows per task."""
-    sc = scored(spark, sf_dir)
+    return failure_rows(scored(spark, sf_dir), k)
+
+
+def failure_rows(sc: DataFrame, k: int = 3) -> DataFrame:
+    """W6 from a ``scored`` table."""
     sc = sc.withColumn("reason", F.when(F.col("parsed"), F.lit("value")).otherwise(F.lit("parse")))
     wrong = F.filter(F.array(*[F.when(~F.col(f"ok_{f}"), F.lit(f)) for f in inv.ALL_FIELDS]),
                      lambda x: x.isNotNull())
@@ -300,6 +318,81 @@ def first_failures(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
                       F.array_join(wrong, ",").alias("wrong_fields"))
 
 
+def failure_details(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """W6 + F.18: the first failures of each case with the raw output, the
+    text, and (field, got, want) of every wrong field."""
+    ex = inv.eval_examples(spark, sf_dir)
+    top = first_failures(spark, sf_dir, k).select(F.col("example_id").alias("failed_id"), "reason", "rank")
+    return failures_of(ex.select("example_id", "case", "text", *[f"t_{f}" for f in inv.ALL_FIELDS], defect_raw().alias("raw")), top)
+
+
+def failures_of(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """F.18 for the rows (example_id, case, text, raw, t_<field>) named in
+    ``top (failed_id, reason, rank)``: k rows a case, few enough by that bound
+    to go to the examples instead of the examples to them."""
+    j = rows.join(F.broadcast(top), F.col("example_id") == F.col("failed_id"))
+    j = with_field_parts(with_parsed(j))
+    parts = []
+    for f in inv.ALL_FIELDS:
+        pv, ptype, truth = F.col(f"pv_{f}"), F.col(f"pt_{f}"), F.col(f"t_{f}")
+        ok, _ = field_checks_cols(f, truth)
+        number = F.try_variant_get(pv, "$", "double").cast("decimal(24,7)").cast("string")
+        got = (F.when(pv.isNull(), F.lit("missing")).when(F.col(f"pn_{f}"), F.lit("null"))
+               .when(ptype == "STRING", F.variant_get(pv, "$", "string")).otherwise(number))
+        want = F.coalesce(truth.cast("decimal(24,7)").cast("string") if f in NUMERIC_FIELDS else truth, F.lit("null"))
+        parts.append(F.when(F.col("_v").isNotNull() & ~ok, F.concat(F.lit(f"{f}: ("), got, F.lit(", "), want, F.lit(")"))))
+    wrong = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return j.select("case", "example_id", "rank", "reason", "raw", "text", F.array_join(wrong, "; ").alias("wrong"))
+
+
+# ------------------------------------------------------------------ J2
+
+UNKNOWN_CASE = "(unknown)"
+
+
+def logged_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictions log (seq, example_id, raw) as a batch run leaves it: ids
+    divisible by 7 are missing, those divisible by 11 were first answered with
+    broken output and then again, and for those divisible by 13 there is one
+    more answer under an id that no example has."""
+    p = defect_predictions(inv.eval_examples(spark, sf_dir)).where(F.pmod("example_id", F.lit(7)) != 0)
+    one = F.struct(F.lit(1).cast("bigint").alias("seq"), F.col("example_id").alias("id"), F.col("raw").alias("answer"))
+    first = F.struct(F.lit(0).cast("bigint").alias("seq"), F.col("example_id").alias("id"), F.lit("{broken").alias("answer"))
+    other = F.struct(F.lit(1).cast("bigint").alias("seq"), (-1 - F.col("example_id")).alias("id"), F.col("raw").alias("answer"))
+    rows = F.filter(F.array(one, F.when(F.pmod("example_id", F.lit(11)) == 0, first), F.when(F.pmod("example_id", F.lit(13)) == 0, other)),
+                    lambda x: x.isNotNull())
+    return p.select(F.explode(rows).alias("r")).select("r.seq", F.col("r.id").alias("example_id"), F.col("r.answer").alias("raw"))
+
+
+def last_predictions(log: DataFrame) -> DataFrame:
+    """One prediction per example, the one of the highest ``seq`` (ties:
+    the greatest text), with the number of answers -- a partial aggregate."""
+    return log.groupBy("example_id").agg(F.max_by("raw", F.struct("seq", "raw")).alias("raw"), F.count(F.lit(1)).alias("n_answers"))
+
+
+def prediction_join_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 registered: the log scored against the truth; per case the examples
+    without an answer (parse failures), those answered more than once, and the
+    answers that belong to no example in a row of their own."""
+    ex = inv.eval_examples(spark, sf_dir)
+    return prediction_report(ex.select("example_id", "case", *[f"t_{f}" for f in inv.ALL_FIELDS]), logged_predictions(spark, sf_dir))
+
+
+def prediction_report(truth: DataFrame, log: DataFrame) -> DataFrame:
+    last = last_predictions(log)
+    answered = truth.join(last, "example_id", "left")
+    sc = score(answered, carry=("n_answers",))
+    known = sc.groupBy("case").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n_answers").isNull(), 1)).alias("n_missing"),
+        F.count(F.when(F.col("n_answers") > 1, 1)).alias("n_repeated"), F.count(F.when(~F.col("parsed"), 1)).alias("parse_fail"),
+        F.count(F.when(F.col("all_ok"), 1)).alias("all_fields_correct"))
+    zero = F.lit(0).cast("bigint")
+    unknown = (last.join(truth.select("example_id"), "example_id", "left_anti")
+               .agg(F.lit(UNKNOWN_CASE).alias("case"), F.count(F.lit(1)).alias("n"), zero.alias("n_missing"),
+                    F.count(F.when(F.col("n_answers") > 1, 1)).alias("n_repeated"), zero.alias("parse_fail"), zero.alias("all_fields_correct")))
+    return known.unionByName(unknown)
+
+
 def json_exact_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 + V6 + Z3 + F.18: per case, valid JSON and strictly correct
     outputs (key set equal to the eight fields and every value equal, no

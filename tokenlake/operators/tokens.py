@@ -8,11 +8,16 @@ vocabulary (U2 default tokenizer), padded to a multiple of 64 with the pad id 0.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.functions.common import array_tail
 from tokenlake.operators.chat import VOCAB_SIZE, token_ids, word_ids, words
+from tokenlake.session import checkpoint_dir, materialize
+from tokenlake.sources import files
 from tokenlake.sources.tables import table
 
 PAD_ID = 0
@@ -125,6 +130,23 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.try_element_at(gen, F.lit(1)).alias("first_generated"))
 
 
+def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 + S8 + S9 + J3 over files: input ids and output ids written as CSV
+    lines to two files, read back as ragged rows, paired by global line number
+    (the order of doc_id) and the input stripped from the output."""
+    d = doc_ids(spark, sf_dir).select("doc_id", F.slice("ids", 1, F.pmod(F.col("doc_id"), F.lit(8)).cast("int")).alias("inp"), F.col("ids").alias("out"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = materialize(d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()), "id-rows")
+    folder = os.path.join(checkpoint_dir(spark), f"id-lines-{uuid.uuid4().hex}")
+    for side in ("inp", "out"):
+        files.token_csv_sink(ordered.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id"), f"{folder}/{side}", side)
+    j = files.zip_lines(spark, f"{folder}/inp", f"{folder}/out", "\n")
+    j = j.select("line_id", parse_id_line(F.col("left")).alias("inp"), parse_id_line(F.col("right")).alias("out"))
+    gen = F.when(F.size("out") > F.size("inp"), F.slice("out", F.size("inp") + 1, F.greatest(F.size("out") - F.size("inp"), F.lit(1)))) \
+           .otherwise(F.array().cast("array<int>"))
+    return j.select("line_id", F.size("inp").alias("n_input"), F.size(gen).alias("n_generated"), F.try_element_at(gen, F.lit(1)).alias("first_generated"))
+
+
 def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that are not blank."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -61,6 +61,8 @@ QUERIES: dict[str, QueryFn] = {
     "a10_eval_case_report": evl.eval_case_report,
     "a11_eval_field_report": evl.eval_field_report,
     "w6_first_failures": evl.first_failures,
+    "w6_failure_details": evl.failure_details,
+    "j2_prediction_join": evl.prediction_join_report,
     "a12_json_exact_rate": evl.json_exact_rate,
     "u1_rule_predictor": evl.rule_predictor_report,
     # chat formatting on dialogs
@@ -68,6 +70,7 @@ QUERIES: dict[str, QueryFn] = {
     "g14_chatml_template": chat.chatml_template,
     "g16_assistant_spans": chat.assistant_spans,
     "a13_length_stats": chat.length_stats,
+    "o3_exact_split": chat.exact_test_split,
     "g17_completion_labels": chat.completion_labels,
     "g12_tool_pairs": chat.tool_pairs,
     # stream lines and token arrays
@@ -78,6 +81,7 @@ QUERIES: dict[str, QueryFn] = {
     "g22_g23_request_ids": tokens.request_ids,
     "g20_generation_flatten": tokens.generation_flatten,
     "j3_positional_zip": tokens.positional_zip,
+    "j3_line_pairs": tokens.line_pairs,
     "p8_nonblank_lines": tokens.nonblank_lines,
     "w7_stop_cut": tokens.stop_cut,
 }

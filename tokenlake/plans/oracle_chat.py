@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tokenlake.functions.draws import duck_draw
+from tokenlake.functions.split import duck_split_hash
 from tokenlake.operators import chat
 
 WS = "[ \\t\\n\\r\\f\\x0B]+"
@@ -100,3 +101,9 @@ SELECT u.conv_id, u.turn,
 FROM d u JOIN d a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'
 """
+
+SQL["o3_exact_split"] = f"""
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {duck_split_hash("exact-split:42", "doc_id")}, doc_id) <= floor({chat.TEST_FRACTION} * count(*) OVER ())
+                    THEN 'test' ELSE 'train' END AS split
+FROM documents
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tokenlake.functions.draws import duck_draw, duck_draw_mod
 from tokenlake.operators import invoices as inv
-from tokenlake.operators.evaluate import NUMERIC_FIELDS, TOLERANCE
+from tokenlake.operators.evaluate import NUMERIC_FIELDS, TOLERANCE, UNKNOWN_CASE
 
 
 def lst(values) -> str:
@@ -204,7 +204,7 @@ ev AS (SELECT * REPLACE (
 
 
 def cents_text(c: str) -> str:
-    return f"(CAST({c} // 100 AS VARCHAR) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0'))"
+    return f"(CAST(({c}) // 100 AS VARCHAR) || '.' || lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0'))"
 
 
 def defect_raw() -> str:
@@ -401,6 +401,41 @@ SELECT * FROM f WHERE rank <= 3
 """
 
 
+def _got(f: str, js: str = "js") -> str:
+    path = f"'$.{f}'"
+    jt = f"json_type({js}, {path})"
+    return (f"CASE WHEN {jt} IS NULL THEN 'missing' WHEN {jt} = 'NULL' THEN 'null' WHEN {jt} = 'VARCHAR' THEN json_extract_string({js}, {path}) "
+            f"ELSE CAST(CAST(CAST(json_extract({js}, {path}) AS DOUBLE) AS DECIMAL(24, 7)) AS VARCHAR) END")
+
+
+def _want(f: str) -> str:
+    value = f"CAST(CAST(pj.t_{f} AS DECIMAL(24, 7)) AS VARCHAR)" if f in NUMERIC_FIELDS else f"pj.t_{f}"
+    return f"coalesce({value}, 'null')"
+
+
+_pairs = ("CASE WHEN parsed THEN array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN NOT ok_{f} THEN '{f}: (' || {_got(f)} || ', ' || {_want(f)} || ')' END" for f in inv.ALL_FIELDS)
+    + "], lambda x: x IS NOT NULL), '; ') ELSE '' END")
+SQL["w6_failure_details"] = f"""
+WITH {INVOICES}, {PLAN}, {EVAL}, {SCORED},
+f AS (SELECT *, CASE WHEN parsed THEN 'value' ELSE 'parse' END AS reason,
+             CAST(row_number() OVER (PARTITION BY "case" ORDER BY example_id) AS INTEGER) AS rank
+      FROM sc2 WHERE NOT all_ok)
+SELECT f."case", example_id, f.rank, f.reason, pj.raw, ev.text, {_pairs} AS wrong
+FROM f JOIN pj USING (example_id) JOIN ev USING (example_id) WHERE rank <= 3
+"""
+
+SQL["j2_prediction_join"] = f"""
+WITH {INVOICES}, {PLAN}, {EVAL}, {SCORED},
+a AS (SELECT *, example_id % 7 = 0 AS missing, example_id % 7 <> 0 AND example_id % 11 = 0 AS repeated FROM sc2)
+SELECT "case", count(*) AS n, count(CASE WHEN missing THEN 1 END) AS n_missing, count(CASE WHEN repeated THEN 1 END) AS n_repeated,
+       count(CASE WHEN missing OR NOT parsed THEN 1 END) AS parse_fail, count(CASE WHEN all_ok AND NOT missing THEN 1 END) AS all_fields_correct
+FROM a GROUP BY "case"
+UNION ALL
+SELECT '{UNKNOWN_CASE}', count(*), 0, 0, 0, 0 FROM sc2 WHERE example_id % 7 <> 0 AND example_id % 13 = 0
+"""
+
+
 def strict_eq(f: str, js: str = "s") -> str:
     path = f"'$.{f}'"
     jt = f"json_type({js}, {path})"

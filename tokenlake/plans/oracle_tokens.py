@@ -149,6 +149,10 @@ SELECT seq_id, CAST(len(inp) AS INTEGER) AS n_input, CAST(len(gen) AS INTEGER) A
        gen[1] AS first_generated FROM j
 """
 
+SQL["j3_line_pairs"] = f"""
+SELECT row_number() OVER (ORDER BY seq_id) - 1 AS line_id, n_input, n_generated, first_generated FROM ({SQL["j3_positional_zip"]}) pairs
+"""
+
 SQL["p8_nonblank_lines"] = r"""
 SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
        CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\r\f\x0B]'))) AS INTEGER) AS n_nonblank

@@ -19,30 +19,10 @@ def run_evaluation(spark: SparkSession, sf_dir: str, out_dir: str, predictions=N
     case report (A10), the field report (A11) and the first failures (W6)
     from the same compared rows."""
     sc = materialize(ev.scored(spark, sf_dir, predictions), "eval_scored")
-    outs = {}
-    p = F.col("parsed")
-    null_ok = sum(F.when(F.col(f"nullok_{f}"), 1).otherwise(0) for f in inv.ALL_FIELDS)
-    halluc = sum(F.when(F.col(f"halluc_{f}"), 1).otherwise(0) for f in inv.ALL_FIELDS)
-    case = sc.groupBy("case").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(~p, 1)).alias("parse_fail"),
-        F.count(F.when(F.col("all_ok"), 1)).alias("all_fields_correct"),
-        F.sum(F.when(p, F.col("n_null_expected")).otherwise(0)).alias("null_expected"),
-        F.sum(F.when(p, null_ok).otherwise(0)).alias("null_correct"),
-        F.sum(F.when(p, F.lit(len(inv.ALL_FIELDS)) - F.col("n_null_expected")).otherwise(0)).alias("value_expected"),
-        F.sum(F.when(p, halluc).otherwise(0)).alias("hallucinated_null"))
-    outs["case_report"] = os.path.join(out_dir, "case_report")
-    case.write.mode("overwrite").parquet(outs["case_report"])
-    long = sc.select("case", "parsed", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.col(f"ok_{f}").alias("ok")) for f in inv.ALL_FIELDS])).alias("fo"))
-    fields = long.groupBy("case", F.col("fo.field").alias("field")).agg(
-        F.count(F.when(F.col("parsed"), 1)).alias("n_ok"), F.count(F.when(F.col("fo.ok"), 1)).alias("correct"))
-    outs["field_report"] = os.path.join(out_dir, "field_report")
-    fields.write.mode("overwrite").parquet(outs["field_report"])
-    from tokenlake.operators.ordered import first_k
-    fail = first_k(sc.withColumn("reason", F.when(p, F.lit("value")).otherwise(F.lit("parse"))),
-                   "case", [F.col("all_ok"), F.col("example_id")], 3).filter(~F.col("all_ok"))
-    outs["failures"] = os.path.join(out_dir, "failures")
-    fail.select("case", "example_id", "reason", "rk").write.mode("overwrite").parquet(outs["failures"])
+    outs = {name: os.path.join(out_dir, name) for name in ("case_report", "field_report", "failures")}
+    ev.case_report(sc).write.mode("overwrite").parquet(outs["case_report"])
+    ev.field_report(sc).write.mode("overwrite").parquet(outs["field_report"])
+    ev.failure_rows(sc).write.mode("overwrite").parquet(outs["failures"])
     return outs
 
 

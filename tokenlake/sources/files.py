@@ -8,8 +8,9 @@ to one file, because they are one row.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +84,11 @@ def report_scan(spark: SparkSession, reports: dict[str, str]) -> DataFrame:
 
 
 def report_sink(df: DataFrame, path: str) -> None:
-    """One summary row as indented JSON with nulls kept.  The report is
-    a single row, so it is written as a single file."""
+    """One summary row as indented JSON with nulls kept, in a single file.
+
+    A report is one row; anything longer is refused before it is written."""
+    if df.limit(2).count() > 1:
+        raise ValueError("a report has one row; use a distributed writer for more")
     txt = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
                     .alias("value"))
     txt.coalesce(1).write.mode("overwrite").text(path)
@@ -123,12 +127,41 @@ def jsonl_scan(spark: SparkSession, path: str, schema: T.StructType = CHAT_SCHEM
 
 # ------------------------------------------------------------------ S6-S10
 
-def prompt_lines_scan(spark: SparkSession, path: str) -> DataFrame:
-    """One prompt per text line (invalid UTF-8 decodes to U+FFFD).  The
-    line id is stable for a given input split layout; pair prompts with
-    outputs through it, never by generating ids on both sides."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"),
-                                        F.col("value").alias("prompt"))
+def numbered_lines(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
+    """Text lines with their global number: ``line_id`` over all files in the order
+    of their paths, ``file`` and ``line_no`` within it, ``value``.
+
+    Spark reads a file in blocks.  Lines are counted by (file, block start), the
+    counts are summed up along the files -- one short row a block -- and a line's
+    place in its block comes from the order in which a task meets them.  So the
+    numbers depend on neither the block size nor the number of partitions.
+    """
+    read = spark.read.option("lineSep", line_sep) if line_sep else spark.read
+    raw = read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                 F.monotonically_increasing_id().alias("at"))
+    # a task reads its blocks one after the other, so a block's lines are consecutive from its smallest id
+    blocks = raw.groupBy(F.col("file").alias("of"), F.col("block").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    inside = Window.partitionBy("of").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy(F.col("of").alias("name")).agg(F.sum("n").alias("lines"))
+    files = files.select("name", F.coalesce(F.sum("lines").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    blocks = (blocks.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(files, F.col("of") == F.col("name"))
+              .select("of", "start", "first", "skip", "before"))
+    j = raw.join(blocks, (F.col("file") == F.col("of")) & (F.col("block") == F.col("start")))
+    line = F.col("skip") + F.col("at") - F.col("first")
+    return j.select((F.col("before") + line).alias("line_id"), "file", line.alias("line_no"), "value")
+
+
+def prompt_lines_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One prompt per text line (invalid UTF-8 decodes to U+FFFD) with its global line number."""
+    return numbered_lines(spark, path).select("line_id", F.col("value").alias("prompt"))
+
+
+def zip_lines(spark: SparkSession, left: str | list[str], right: str | list[str], line_sep: str | None = None) -> DataFrame:
+    """J3 over files: the i-th line of one input with the i-th line of the other (``line_id, left, right``);
+    lines without a partner keep null."""
+    a = numbered_lines(spark, left, line_sep).select("line_id", F.col("value").alias("left"))
+    b = numbered_lines(spark, right, line_sep).select("line_id", F.col("value").alias("right"))
+    return a.join(b, "line_id", "full_outer")
 
 
 def token_csv_sink(df: DataFrame, path: str, ids: str = "ids") -> None:
@@ -155,9 +188,49 @@ def token_matrix_scan(df: DataFrame, pad_id: int, max_input_length: int | None =
     return out
 
 
-def tensor_sink(df: DataFrame, path: str) -> None:
-    """Ids / logits / log-probs as Parquet ARRAY columns."""
-    df.write.mode("overwrite").parquet(path)
+TENSOR_CHUNK = 4096           # values of a row
+
+
+def tensor_chunks(df: DataFrame, key: str, tensors: list[str], chunk: int = TENSOR_CHUNK) -> DataFrame:
+    """Array columns (rank 1, or 2 with rows of one length) as
+    ``tensor, key, chunk, shape, values``: at most ``chunk`` values in row-major order a row."""
+    parts = []
+    for name in tensors:
+        nested = dict(df.dtypes)[name].startswith("array<array")
+        flat = F.flatten(name) if nested else F.col(name)
+        shape = F.array(F.size(name), F.coalesce(F.size(F.try_element_at(name, F.lit(1))), F.lit(0))) if nested else F.array(F.size(name))
+        rows = df.where(F.col(name).isNotNull()).select(F.lit(name).alias("tensor"), F.col(key).alias("key"), shape.alias("shape"),
+                                                        flat.cast("array<double>").alias("flat"))
+        last = F.greatest(F.lit(0), F.floor((F.size("flat") - 1) / chunk)).cast("int")
+        parts.append(rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+                     .select("tensor", "key", "chunk", "shape", F.slice("flat", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("values")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tensor_chunks_of_values(values: DataFrame, shapes: DataFrame, chunk: int = TENSOR_CHUNK) -> DataFrame:
+    """S10 for tensors too long for one row: ``values (tensor, key, pos, value)`` and ``shapes (tensor, key, shape)``;
+    a group is one chunk."""
+    g = (values.groupBy("tensor", "key", F.floor(F.col("pos") / chunk).cast("int").alias("chunk"))
+         .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"].cast("double")).alias("values")))
+    return g.join(shapes, ["tensor", "key"]).select("tensor", "key", "chunk", "shape", "values")
+
+
+def tensor_sink(chunks: DataFrame, path: str) -> None:
+    """Chunk rows as Parquet, one folder a tensor name."""
+    chunks.write.mode("overwrite").partitionBy("tensor").parquet(path)
+
+
+def tensor_slice(spark: SparkSession, path: str, tensor: str, start: int = 0, stop: int | None = None, chunk: int = TENSOR_CHUNK) -> DataFrame:
+    """S10 reader: ``key, shape, values`` of the positions ``start .. stop - 1`` of every tensor of that name;
+    only the chunks that overlap are read."""
+    rows = spark.read.parquet(path).where((F.col("tensor") == tensor) & (F.col("chunk") >= start // chunk))
+    if stop is not None:
+        rows = rows.where(F.col("chunk") <= max(start, stop - 1) // chunk)
+    g = rows.groupBy("key").agg(F.first("shape").alias("shape"), F.min("chunk").alias("low"), F.sort_array(F.collect_list(F.struct("chunk", "values"))).alias("c"))
+    flat = F.flatten(F.transform("c", lambda x: x["values"]))
+    skip = F.greatest(F.lit(start) - F.col("low") * chunk, F.lit(0)).cast("int")
+    size = F.size(flat) if stop is None else F.greatest(F.lit(0), F.lit(stop) - F.greatest(F.lit(start), F.col("low") * chunk)).cast("int")
+    return g.select("key", "shape", F.slice(flat, skip + 1, size).alias("values"))
 
 
 # ------------------------------------------------------------------ S11 / S12 / S13
