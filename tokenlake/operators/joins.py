@@ -61,7 +61,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str | Sequence[s
 
     def bucket(first_slots: Column, when: Column) -> Column:
         at = _slot(when, bucket_seconds)
-        return F.coalesce(F.size(F.filter(first_slots, lambda b: b <= at)), F.lit(0))
+        return F.coalesce(F.size(F.filter(first_slots, lambda b: b <= at)), F.lit(0)).cast("bigint")
 
     def own(df: DataFrame) -> DataFrame:
         return (df.withColumn("_bounds", bounds.scalar())
@@ -69,7 +69,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str | Sequence[s
     p = own(points).withColumn("_jb", bucket(F.col("_own"), F.col(ts))).drop("_own")
     iv = own(intervals)
     first = bucket(F.col("_own"), F.col(start))
-    last = F.when(F.col(end).isNull(), F.size("_own")).otherwise(bucket(F.col("_own"), F.col(end)))
+    last = F.when(F.col(end).isNull(), F.size("_own").cast("bigint")).otherwise(bucket(F.col("_own"), F.col(end)))
     iv = iv.withColumn("_jb", F.explode(F.sequence(first, F.greatest(first, last)))).drop("_own")
     cond = [p[k] == iv[k] for k in keys] + [p["_jb"] == iv["_jb"]]
     lower = (p[ts] >= iv[start]) if start_inclusive else (p[ts] > iv[start])

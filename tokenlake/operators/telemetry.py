@@ -46,12 +46,12 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("text"))
 
 
-def request_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_base(spark: SparkSession, sf_dir: str, content: bool = True) -> DataFrame:
     """Per-request base metrics of the B1 views of ``events``."""
-    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir))
+    return request_metrics(request_events(spark, sf_dir), fx.requests(spark, sf_dir), content)
 
 
-def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
+def request_metrics(ev: DataFrame, requests: DataFrame, content: bool = True) -> DataFrame:
     """Per request: start (prompt phase), first and second token time, end,
     row count and response characters -- two map-side-combined aggregates
     (the first-3 rows go through a WindowGroupLimit) joined on request_id.
@@ -70,7 +70,8 @@ def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
     minus the start, ``ttft_content_us`` the first chunk with text minus the
     start.  ``n_content`` chunks have text, ``gap_us`` lies between the first
     and the last of them.  A request is ``ok`` with status 200 and at least
-    one chunk with text (trap 2)."""
+    one chunk with text (trap 2).  Reports that need neither of these four
+    columns set ``content`` to false, which leaves the texts unread."""
     heads = (first_k(ev, "request_id", [F.col("ts"), F.col("event_id")], 3)
              .groupBy("request_id")
              .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("prompt_ts"),
@@ -87,15 +88,8 @@ def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
                                *(["sent_ts"] if "sent_ts" in requests.columns else [])),
                F.col("request_id").eqNullSafe(F.col("attribute_id")), "left"))
     b = b.withColumn("start_ts", F.coalesce("sent_ts", "prompt_ts") if "sent_ts" in requests.columns else F.col("prompt_ts"))
-    # the prompt row may be one of the first two rows with text
-    texts = (first_k(ev.where(F.length("text") > 0), "request_id", [F.col("ts"), F.col("event_id")], 2)
-             .groupBy(F.col("request_id").alias("text_id"))
-             .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("text1_ts"),
-                  F.min(F.when(F.col("rk") == 2, F.col("ts"))).alias("text2_ts")))
-    from_prompt = F.coalesce(F.col("prompt_chars") > 0, F.lit(False))
-    b = (b.join(texts, F.col("request_id").eqNullSafe(F.col("text_id")), "left")
-         .withColumn("content_ts", F.when(from_prompt, F.col("text2_ts")).otherwise(F.col("text1_ts")))
-         .withColumn("n_content", F.col("n_texts") - from_prompt.cast("bigint")))
+    if content:
+        b = _with_content(b, ev)
     n_tokens = F.col("n_rows") - 1
     return b.select(
         "request_id", "backend", "concurrency", "http_status",
@@ -105,12 +99,25 @@ def request_metrics(ev: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce("usage_tokens", n_tokens).cast("bigint").alias("usage_tokens"),
         (micros("first_ts") - micros("prompt_ts")).alias("ttft_us"),
         (micros("first_ts") - micros("start_ts")).alias("ttft_any_us"),
-        (micros("content_ts") - micros("start_ts")).alias("ttft_content_us"),
-        "n_content", F.when(F.col("n_content") > 0, micros("last_text_ts") - micros("content_ts")).alias("gap_us"),
         (micros("second_ts") - micros("first_ts")).alias("second_us"),
         (micros("end_ts") - micros("start_ts")).alias("total_us"),
         (micros("end_ts") - micros("first_ts")).alias("decode_us"),
-    ).withColumn("ok", (F.col("http_status") == 200) & (F.col("n_content") >= 1))
+        *([(micros("content_ts") - micros("start_ts")).alias("ttft_content_us"), "n_content",
+           F.when(F.col("n_content") > 0, micros("last_text_ts") - micros("content_ts")).alias("gap_us"),
+           ((F.col("http_status") == 200) & (F.col("n_content") >= 1)).alias("ok")] if content else []))
+
+
+def _with_content(b: DataFrame, ev: DataFrame) -> DataFrame:
+    """First chunk with text and the number of such chunks, the prompt row left out."""
+    # the prompt row may be one of the first two rows with text
+    texts = (first_k(ev.where(F.length("text") > 0), "request_id", [F.col("ts"), F.col("event_id")], 2)
+             .groupBy(F.col("request_id").alias("text_id"))
+             .agg(F.min(F.when(F.col("rk") == 1, F.col("ts"))).alias("text1_ts"),
+                  F.min(F.when(F.col("rk") == 2, F.col("ts"))).alias("text2_ts")))
+    from_prompt = F.coalesce(F.col("prompt_chars") > 0, F.lit(False))
+    return (b.join(texts, F.col("request_id").eqNullSafe(F.col("text_id")), "left")
+            .withColumn("content_ts", F.when(from_prompt, F.col("text2_ts")).otherwise(F.col("text1_ts")))
+            .withColumn("n_content", F.col("n_texts") - from_prompt.cast("bigint")))
 
 
 def request_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +348,7 @@ def client_prompt_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per backend batch: total reported (usage) tokens, batch duration, mean request
     latency and aggregate tokens/s."""
-    b = request_base(spark, sf_dir)
+    b = request_base(spark, sf_dir, content=False)
     g = b.groupBy("backend").agg(
         F.sum("usage_tokens").alias("total_tokens"),
         F.min("start_ts").alias("b0"), F.max("end_ts").alias("b1"),
@@ -355,7 +362,7 @@ def batch_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wall_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per concurrency batch, wall time and per-client latency."""
-    b = request_base(spark, sf_dir)
+    b = request_base(spark, sf_dir, content=False)
     g = b.groupBy("concurrency").agg(
         F.min("start_ts").alias("b0"), F.max("end_ts").alias("b1"),
         F.count(F.lit(1)).alias("n_clients"), F.max("total_us").alias("max_us"),
@@ -370,7 +377,7 @@ def runner_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq_len / dt and (seq_len - input_len) / dt per request, where
     the sequence is every row of the request and the input is the prompt
     row."""
-    b = request_base(spark, sf_dir)
+    b = request_base(spark, sf_dir, content=False)
     seq = F.col("n_tokens") + 1
     return b.select("request_id", seq.alias("seq_len"), F.lit(1).alias("input_len"),
                     _per_sec(seq, F.col("total_us")).alias("runner_total_tps"),
@@ -388,7 +395,7 @@ def prefix_cold_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``min_by`` on (start, id), totals for all): HOT = totals minus COLD.
     No window over a prompt's requests, which may be a third of the data.
     """
-    b = request_base(spark, sf_dir)
+    b = request_base(spark, sf_dir, content=False)
     b = b.withColumn("system_prompt", F.concat(F.lit("token system prompt prefix #"),
                                                F.pmod(F.col("request_id"), F.lit(7)).cast("string")))
     return cold_hot_of(b)

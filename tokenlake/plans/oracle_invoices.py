@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tokenlake.functions.draws import duck_draw, duck_draw_mod
 from tokenlake.operators import invoices as inv
 from tokenlake.operators.evaluate import NUMERIC_FIELDS, TOLERANCE, UNKNOWN_CASE
@@ -378,6 +380,45 @@ SELECT "case", CAST(list_position({lst(inv.EVAL_CASES)}, "case") AS INTEGER) AS
 FROM g ORDER BY case_pos
 """
 
+
+
+def _label_value(f: str) -> str:
+    """Text after the first line label of a field (canonical or alias), NULL if there is none."""
+    labels = "|".join(re.sub(r"([.-])", r"\\\1", x) for x in [inv.LABELS[f], *inv.ALIASES[f]])
+    return f"NULLIF(regexp_extract(text, '(?m)^[ \\t]*(?:{labels})[ \\t]*:[ \\t]*(.*?)[ \\t]*$', 1), '')"
+
+
+_numbers = [f for f in inv.LABELS if f in NUMERIC_FIELDS]
+_symbol = lambda v: "CASE substr(" + v + ", 1, 1) " + " ".join(f"WHEN '{x}' THEN '{c}'" for c, x in inv.SYMBOLS.items()) + " END"
+_read = [f"{_label_value(f)} AS v_{f}" for f in inv.LABELS]
+_read += [r"regexp_extract(text, '^\s*([^\n]*)', 1) AS first_line"]
+_pred = {f: f"v_{f}" for f in inv.LABELS if f not in NUMERIC_FIELDS}
+_pred |= {f: f"TRY_CAST(NULLIF(regexp_replace(v_{f}, '[^0-9.]', '', 'g'), '') AS DOUBLE)" for f in _numbers}
+_pred["vendor_name"] = "CASE WHEN first_line <> '' AND NOT contains(first_line, ':') THEN first_line END"
+_pred["currency"] = "coalesce(" + ", ".join(_symbol(f"v_{f}") for f in _numbers) + ")"
+_same = lambda f: f"abs(p_{f} - t_{f}) < {TOLERANCE}" if f in NUMERIC_FIELDS else f"p_{f} = t_{f}"
+SQL["u1_rule_predictor"] = f"""
+WITH {INVOICES}, {PLAN}, {EVAL},
+rd AS (SELECT "case", {', '.join('t_' + f for f in inv.ALL_FIELDS)}, {', '.join(_read)} FROM ev),
+pd AS (SELECT *, {', '.join(f'{_pred[f]} AS p_{f}' for f in inv.ALL_FIELDS)} FROM rd),
+ok AS (SELECT "case",
+              {' AND '.join(f'CASE WHEN t_{f} IS NULL THEN p_{f} IS NULL ELSE coalesce({_same(f)}, false) END' for f in inv.ALL_FIELDS)} AS all_ok,
+              {' + '.join(f'CASE WHEN t_{f} IS NULL THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} AS n_null,
+              {' + '.join(f'CASE WHEN t_{f} IS NULL AND p_{f} IS NULL THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} AS n_null_ok,
+              {' + '.join(f'CASE WHEN t_{f} IS NOT NULL AND p_{f} IS NULL THEN 1 ELSE 0 END' for f in inv.ALL_FIELDS)} AS n_halluc
+       FROM pd),
+g AS (SELECT "case", count(*) AS n, CAST(0 AS BIGINT) AS parse_fail, count(CASE WHEN all_ok THEN 1 END) AS all_fields_correct,
+             CAST(sum(n_null) AS BIGINT) AS null_expected, CAST(sum(n_null_ok) AS BIGINT) AS null_correct,
+             CAST(sum({len(inv.ALL_FIELDS)} - n_null) AS BIGINT) AS value_expected, CAST(sum(n_halluc) AS BIGINT) AS hallucinated_null
+      FROM ok GROUP BY "case")
+SELECT "case", CAST(list_position({lst(inv.EVAL_CASES)}, "case") AS INTEGER) AS case_pos,
+       n, parse_fail, all_fields_correct, null_expected, null_correct, value_expected, hallucinated_null,
+       CAST(all_fields_correct AS DOUBLE) / NULLIF(CAST(n AS DOUBLE), 0) AS exact,
+       CAST(null_correct AS DOUBLE) / NULLIF(CAST(null_expected AS DOUBLE), 0) AS null_recall,
+       CAST(hallucinated_null AS DOUBLE) / NULLIF(CAST(value_expected AS DOUBLE), 0) AS halluc_null_rate
+FROM g ORDER BY case_pos
+"""
+
 _long = " UNION ALL ".join(
     f"SELECT \"case\", parsed, '{f}' AS field, ok_{f} AS ok FROM sc2" for f in inv.ALL_FIELDS)
 SQL["a11_eval_field_report"] = f"""
