@@ -25,9 +25,6 @@ and null texts fail the base rules with all counts 0.
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +45,11 @@ COMMON_WORDS = ("the of and to in a is that it on for was be with as this at fro
 CHAR_CLASSES = ("lower", "upper", "digit", "mark", "symbol", "sentence")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _repeat_words(words: Column) -> Column:
     """Words covered by three-word windows that occur twice or more.
 
@@ -55,13 +57,10 @@ def _repeat_words(words: Column) -> Column:
     the places of repeated windows, and consecutive places add at most three
     words each: n log n in the length of the text.
     """
-    def let(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
-
     def covered(grams: Column) -> Column:
         # (hash, place) pairs in order; a pair is repeated if a neighbour has its hash
         pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-        return let(pairs, lambda p: let(
+        return _let(pairs, lambda p: _let(
             F.sort_array(F.transform(F.filter(
                 F.zip_with(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.struct(a.alias("a"), b["g"].alias("next"))),
                            F.concat(F.array(F.lit(None).cast("struct<g:bigint,i:int>")), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))),
@@ -73,7 +72,7 @@ def _repeat_words(words: Column) -> Column:
 
     grams = F.transform(F.slice(words, 1, F.size(words) - 2),
                         lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    many = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
+    many = _let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(many)
 
 
@@ -95,69 +94,73 @@ def features(docs: DataFrame) -> DataFrame:
             .withColumn("t6", _without("t5", r"[#*$%&|<>]+")))
     n = {k: F.length(k).cast("long") for k in ("t", "t1", "t2", "t3", "t4", "t5", "t6")}
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hits = F.filter("words", lambda w: F.array_contains(F.array(*map(F.lit, COMMON_WORDS)), w))
-    counted = (left.withColumn("lines", lines).withColumn("hits", F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")))
+    known = F.array(*map(F.lit, COMMON_WORDS))
+    common = _let(F.filter("words", lambda w: F.array_contains(known, w)),
+                  lambda hits: F.transform(known, lambda w: (F.size(hits) - F.size(F.array_remove(hits, w))).cast("long")))
+    counted = (left.withColumn("lines", lines)
                .select("doc_id", "lang", F.size("words").cast("long").alias("n_words"),
                        (n["t"] - n["t1"] + n["t2"]).alias("word_chars"), (n["t5"] - n["t6"]).alias("n_symbols"),
                        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
                        F.array(n["t"] - n["t1"], n["t2"] - n["t3"], n["t3"] - n["t4"], n["t6"], n["t5"] - n["t6"], n["t4"] - n["t5"]).alias("chars"),
-                       F.array(*((F.length("hits") - F.length(F.replace("hits", F.lit(f" {w} ")))).cast("long") / F.lit(len(w) + 2)
-                                 for w in COMMON_WORDS)).cast("array<bigint>").alias("common")))
+                       common.alias("common")))
     rest = F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x)
     return (counted.withColumn("common", F.concat("common", F.array(rest)))
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))))
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """One row per language: summed histograms of its documents that pass the base rules."""
+    """One row: ``refs``, an array with the shares of every language, summed over its documents that pass the base rules."""
     def summed(c: str, n: int) -> list[Column]:
         return [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(n)]
+
+    def shares(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
     sizes = {"chars": len(CHAR_CLASSES), "common": len(COMMON_WORDS) + 1}
     total = rows.where(~F.col("base_failed")).groupBy("lang").agg(*(s for c, n in sizes.items() for s in summed(c, n)))
-    return total.select("lang", *(F.array(*(f"{c}{i}" for i in range(n))).alias(f"ref_{c}") for c, n in sizes.items()))
-
+    each = total.select("lang", *(shares(F.array(*(f"{c}{i}" for i in range(n)))).alias(c) for c, n in sizes.items()))
+    return each.agg(F.sort_array(F.collect_list(F.struct("lang", "chars", "common"))).alias("refs"))
 
-def js_distance(shares: str, reference: list[int]) -> Column:
-    """Jensen-Shannon distance (base 2) of the array of shares in column ``shares`` to a reference of counts.
 
-    Written out class by class: plain arithmetic, which Spark compiles.
-    """
-    total = sum(reference) or 1
-    terms = []
-    for i, n in enumerate(reference):
-        p, q = F.get(shares, F.lit(i)), n / total
-        terms.append(F.when(p > 0, p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q))).otherwise(F.lit(q)) if q else p)
-    return F.sqrt(F.greatest(F.lit(0.0), reduce(operator.add, terms) / 2))
+def js_distance(shares: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of two arrays of shares; null without a reference."""
+    terms = F.zip_with(shares, reference, lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0))
+                       .otherwise(q))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def _nearest(rows: DataFrame, refs: list) -> DataFrame:
+def _nearest(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """``rows`` with ``near``: distances to the reference of the nearest language by common words (null without references).
 
-    Written to the shared folder, as filters and several columns use it.
+    ``refs`` is one row (a scalar subquery: it reaches the executors as a value,
+    not as text of the plan).  Written to the shared folder, as filters and
+    several columns use it.
     """
-    shares = rows.withColumn("p_common", F.transform("common", lambda x: x / F.greatest("n_words", F.lit(1)))).withColumn(
-        "p_chars", F.transform("chars", lambda x: x / F.greatest("word_chars", F.lit(1))))
-    if not refs:
-        return rows.withColumn("near", F.lit(None).cast("struct<common_distance:double,char_distance:double,nearest:string>"))
-    near = F.array_min(F.array(*(F.struct(F.coalesce(js_distance("p_common", r["ref_common"]), F.lit(1.0)).alias("common_distance"),
-                                          F.coalesce(js_distance("p_chars", r["ref_chars"]), F.lit(1.0)).alias("char_distance"),
-                                          F.lit(r["lang"]).cast("string").alias("nearest")) for r in refs)))
-    return saved(shares.select(*rows.columns, near.alias("near")), "rule-distances")
+    def share(counts: str, total: str) -> Column:
+        return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
+
+    def distance(shares: Column, reference: Column) -> Column:
+        return F.coalesce(js_distance(shares, reference), F.lit(1.0))
+    near = _let(share("common", "n_words"), lambda common: _let(share("chars", "word_chars"), lambda chars: F.array_min(F.transform(
+        "refs", lambda r: F.struct(distance(common, r["common"]).alias("common_distance"), distance(chars, r["chars"]).alias("char_distance"),
+                                   r["lang"].alias("nearest"))))))
+    return saved(rows.withColumn("refs", refs.scalar()).withColumn("near", near).drop("refs"), "rule-distances")
 
 
 def quality_rules(docs: DataFrame, max_char: float = MAX_CHAR, max_char_short: float = MAX_CHAR_SHORT,
                   max_common: float = MAX_COMMON) -> DataFrame:
     """One row per document: the counts, ``char_distance``, ``common_distance``, ``nearest``, ``kept``."""
     rows = saved(features(docs), "rule-features")
-    # references are sums over all documents; the driver sees one short row per language
-    first = references(rows).orderBy("lang").collect()
+    # references are sums over all documents: one short row per language
+    first = saved(references(rows), "rule-references")
     close = ((F.col("near.char_distance") <= TRIM_CHAR)
              & (F.col("near.common_distance") <= TRIM_COMMON + TRIM_NOISE / F.sqrt("n_words")))
-    refs = references(_nearest(rows, first).where(close)).orderBy("lang").collect() if first else []
+    refs = references(_nearest(rows, first).where(close))
+    refs = saved(refs.select(F.when(F.size("refs") > 0, F.col("refs")).otherwise(first.scalar()).alias("refs")), "rule-references")
     far = ((F.col("near.char_distance") > F.when(F.col("n_words") < MIN_CHAR, max_char_short).otherwise(max_char))
            | ((F.col("n_words") >= MIN_COMMON) & (F.col("near.common_distance") > max_common)))
-    return (_nearest(rows, refs or first)
+    return (_nearest(rows, refs)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "near.char_distance", "near.common_distance", "near.nearest",
                     (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept")))
