@@ -28,11 +28,11 @@ from tokenlake.operators.ordered import first_k
 
 NUMERIC_FIELDS = ("subtotal", "tax", "total")
 TOLERANCE = 1e-6
-WS = "[ \\t\\n\\r\\f\\x0B]"
+WS = " \t\n\r\f\x0b"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS))
 
 
 # ------------------------------------------------------------------ predictions
