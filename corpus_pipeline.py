@@ -5,6 +5,14 @@ lang, source, n_chars) and returns what it keeps, the last one the pieces of
 the packed sequences.  ``run`` writes each stage's rows as Parquet under the
 folder of spark.checkpoint.dir and reads them again, so a lost executor
 costs no earlier stage.
+
+Odd rows, at every stage: a null text counts as empty and fails the quality
+rules, like an empty one; columns but the five are dropped; an empty table
+stays empty through all stages; very long texts are worked off whole.  A
+doc_id names a document: where it repeats, all of its rows go if one is
+rejected by the quality rules or is a later copy of another document, while
+the toxicity stage judges row by row; rows without a doc_id are judged for
+toxicity only and stay.  Ties: of equal documents the smallest doc_id stays.
 """
 
 from __future__ import annotations
