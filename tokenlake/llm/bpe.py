@@ -13,8 +13,9 @@ next, and tokens of which the vocabulary has such a pair are merged one
 position a word at a time.
 
 Decoding concatenates the bytes of the ids.  Null and empty texts have no
-ids; repeated rows encode alike; texts are whole; memory holds a block of
-texts (or one longer text).
+ids; repeated rows encode alike; pairs of one rank merge from the left; an
+empty table gives no rows; further columns are ignored; texts are whole;
+memory holds a block of texts (or one longer text).
 """
 
 from __future__ import annotations

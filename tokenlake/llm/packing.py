@@ -19,7 +19,8 @@ remains at the end of a partition is padded, or cut into powers of two
 Every partition works alone: no shuffle, and a retried task gives the same
 rows; ``sequence_id`` is the partition number times 2**33 plus a counter.
 Null and empty texts are their id 1 alone; repeated rows are packed as often
-as they occur; an empty table gives no rows.
+as they occur; of cuts of equal cost the earliest start of a sequence counts;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,8 +20,11 @@ vectors is a distance of sqrt(2 - 2c), so a threshold is an epsilon.
    never the pairs.
 5. Counts are summed (weighted by copies) and components found on the edges.
 
-Repeated rows are copies; an empty table gives an empty result; vec_id must
-be unique and not null.
+Repeated rows are copies; a tie for the smallest id of a class or component
+can't occur but between rows of one id; an empty table gives an empty result;
+further columns are ignored.  A row with null vec_id links with nothing and is
+kept, its component null.  Rows that share a vec_id are separate vectors that
+are reported under that id: different ones share its links and component.
 """
 
 from __future__ import annotations
@@ -215,7 +218,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     epsilon = math.sqrt(2 - 2 * threshold) + 1e-6
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = (F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True))
+    usable = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True))
               & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                         F.col("embedding").cast("array<double>").alias("embedding"))
@@ -232,4 +235,4 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                .select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
     joined = member.join(counted, "id").select("vec_id", "n_links", F.col("component").alias("component_id"))
     lone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.unionByName(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return joined.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
