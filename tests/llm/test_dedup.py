@@ -8,9 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tokenlake.llm import minhash, substring, vectors
-from tokenlake.llm.common import components, documents
+from tokenlake.llm.common import components, documents, saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -166,6 +167,23 @@ def test_op8_split_anchor(spark, monkeypatch):
     assert got == _without_repeats(rows)
 
 
+def test_op8_common_passage_costs_in_proportion(spark, monkeypatch):
+    """A passage of 60 words between other words in every document, some documents whole copies: one short row a window, few words in the shards."""
+    monkeypatch.setattr(substring, "ANCHOR_PIECES", 50)
+    dealt = []
+    real = substring._piece_texts
+    monkeypatch.setattr(substring, "_piece_texts", lambda rows, shards: dealt.append(saved(real(rows, shards), "dealt")) or dealt[0])
+    rng = random.Random(4)
+    own = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(own(60) + passage + own(60))) for i in range(600)]
+    rows += [(1000 + i, rows[i * 7][1]) for i in range(40)] + [(2000, " ".join(passage * 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.without_repeats(docs).collect()}
+    assert got == _without_repeats(rows)
+    assert dealt[0].agg(F.coalesce(F.sum(F.size(F.split("words", " "))), F.lit(0))).first()[0] < 3 * sum(len(t.split()) for _, t in rows) / 4
+
+
 def test_op8_backward_search():
     rng = np.random.default_rng(3)
     text = np.concatenate((rng.integers(2, 6, 300), [1], rng.integers(2, 6, 200), [1, 0]))
@@ -219,6 +237,14 @@ def test_op10_equals_brute_force(spark, monkeypatch, block):
     assert vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def test_op10_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0], 1, "x"), (None, None, 1, "x"), (1, [1.0, 0.0], 1, "x"), (2, [1.0, 0.001], 1, "x"), (3, [0.0, 1.0], 1, "x"), (3, [0.0, 1.0], 1, "x"),
+            (4, [-1.0, 0.0], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")
+    got = sorted((tuple(r) for r in vectors.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(None, 0, None, True), (None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True)], key=repr)
+
+
 def test_op10_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = df.collect()

@@ -10,8 +10,10 @@ over it also starts in a document with a smaller id.
 2. Anchors seen in one document only cannot matter and are dropped; of equal
    pieces only the one of the smallest document is read again.
 3. Pieces are dealt to shards by anchor, so equal windows meet in one shard.
-   An anchor with very many different pieces (an edited passage in many
-   documents) is split further by window hash, which equal windows share.
+   An anchor with very many different pieces (a common line, each time between
+   other words) would fill a shard: its windows are compared as 64-bit hashes
+   in an aggregation instead, one short row a window (``_common_windows``), so
+   the work stays in proportion to the text that holds it.
 4. Every shard builds a compressed FM-index of its pieces: the Burrows-Wheeler
    transform in 64-word order, held as a wavelet matrix of packed bits with
    block ranks.  The pieces stream through it from right to left in
@@ -23,8 +25,8 @@ over it also starts in a document with a smaller id.
 
 Null and empty texts have no words and come back empty; shorter documents
 than a window lose nothing; repeated rows lose all their words but those of
-the smallest id; an empty table gives an empty result.  doc_id must be
-unique; rows with null doc_id are kept whole.
+the smallest id; an empty table gives an empty result; further columns are
+ignored.  doc_id must be unique; rows with null doc_id are kept whole.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from tokenlake.llm.words import gather, mix, powers, range_hashes, text_buffer,
 WINDOW = 50
 GRAM = 10
 SHARD_WORDS = 400_000        # words of a shard, about
-ANCHOR_PIECES = 2_000        # different pieces of an anchor per shard part
+ANCHOR_PIECES = 2_000        # different pieces of an anchor that go to a shard
 _POSITION = np.uint64((1 << 20) - 1)
 _STEP = 1 << 19
 
@@ -102,36 +104,56 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 def _piece_texts(rows: DataFrame, shards: int) -> DataFrame:
-    """Words of the wanted pieces, dealt to shards; ``base`` is the first window's place in its piece."""
+    """Words of the wanted pieces, dealt to shards by anchor."""
     def run(batches):
         for batch in batches:
             wanted = batch.column(2)
             ids = batch.column(0).to_pylist()
-            out = {k: [] for k in ("shard", "anchor", "piece", "owner", "base", "words")}
+            out = {k: [] for k in ("shard", "anchor", "piece", "owner", "words")}
             for a, b, block in word_blocks(batch.column(1)):
                 for i in range(a, b):
                     at = int(block.first[i - a])
                     for w in wanted[i].as_py():
-                        lo, n, parts = at + w["start"], w["windows"], w["parts"]
-                        cuts, part = [0, n], [0]
-                        if parts > 1:
-                            s = np.arange(lo, lo + n)
-                            route = range_hashes(block.hashes[lo:lo + n + WINDOW - 1], s - lo, s - lo + WINDOW) % np.uint64(parts)
-                            cuts = [0, *(np.flatnonzero(route[1:] != route[:-1]) + 1).tolist(), n]
-                            part = [int(route[c]) for c in cuts[:-1]]
-                        for p, c, d in zip(part, cuts[:-1], cuts[1:]):
-                            x, y = lo + c, lo + d + WINDOW - 1
-                            key = mix(np.array([w["anchor"]], np.int64).view(np.uint64) + np.uint64(p))
-                            out["shard"].append(int(key[0] % np.uint64(shards)))
-                            out["anchor"].append(w["anchor"])
-                            out["piece"].append(w["piece"])
-                            out["owner"].append(ids[i])
-                            out["base"].append(c)
-                            out["words"].append(b" ".join(block.data[block.starts[x]:block.ends[y - 1]].tobytes().split()).decode())
+                        x = at + w["start"]
+                        y = x + w["windows"] + WINDOW - 1
+                        key = mix(np.array([w["anchor"]], np.int64).view(np.uint64))
+                        out["shard"].append(int(key[0] % np.uint64(shards)))
+                        out["anchor"].append(w["anchor"])
+                        out["piece"].append(w["piece"])
+                        out["owner"].append(ids[i])
+                        out["words"].append(b" ".join(block.data[block.starts[x]:block.ends[y - 1]].tobytes().split()).decode())
             yield pa.record_batch([pa.array(out["shard"], pa.int32()), pa.array(out["anchor"], pa.int64()), pa.array(out["piece"], pa.int64()),
-                                   pa.array(out["owner"], pa.int64()), pa.array(out["base"], pa.int32()), pa.array(out["words"], pa.string())],
-                                  names=list(out))
-    return rows.mapInArrow(run, "shard int, anchor long, piece long, owner long, base int, words string")
+                                   pa.array(out["owner"], pa.int64()), pa.array(out["words"], pa.string())], names=list(out))
+    return rows.mapInArrow(run, "shard int, anchor long, piece long, owner long, words string")
+
+
+def _window_hashes(rows: DataFrame) -> DataFrame:
+    """``(anchor, piece, owner, last, first, hash)``: every window of the wanted pieces."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, block in word_blocks(batch.column(1)):
+                flat = [(i - a, w) for i in range(a, b) for w in batch.column(2)[i].as_py()]
+                if not flat:
+                    continue
+                doc = np.array([i for i, _ in flat], np.int64)
+                start, windows, anchor, piece, last = (np.array([w[k] for _, w in flat], np.int64) for k in ("start", "windows", "anchor", "piece", "last"))
+                row = np.repeat(np.arange(len(flat)), windows)
+                at = gather(block.first[doc] + start, windows)
+                hashes = range_hashes(block.hashes, at, at + WINDOW)
+                yield pa.record_batch([pa.array(anchor[row]), pa.array(piece[row]), pa.array(ids[a + doc][row]), pa.array(last[row]),
+                                       pa.array((at - (block.first[doc] + start)[row]).astype(np.int32)), pa.array(hashes.view(np.int64))],
+                                      names=["anchor", "piece", "owner", "last", "first", "hash"])
+    return rows.mapInArrow(run, "anchor long, piece long, owner long, last long, first int, hash long")
+
+
+def _common_windows(rows: DataFrame) -> DataFrame:
+    """``(anchor, piece, first, n, owner)`` for pieces of anchors with very many pieces: windows that two documents hold, by hash."""
+    windows = saved(_window_hashes(rows), "common-windows")
+    # written, so that the join can be split at a window that very many documents hold
+    shared = saved(windows.groupBy("hash").agg(F.min("owner").alias("lowest"), F.max("last").alias("hi")).where("lowest < hi").select("hash", "lowest"),
+                   "shared-windows")
+    return windows.join(shared, "hash").select("anchor", "piece", "first", F.lit(1).alias("n"), F.col("lowest").alias("owner"))
 
 
 class FMIndex:
@@ -248,7 +270,7 @@ def _owners(texts: DataFrame) -> DataFrame:
         count = np.diff(np.append(new, len(owners)))
         begin = np.cumsum(windows) - windows
         at = row[new]
-        offset = new - begin[at] + table.column("base").to_numpy()[at]
+        offset = new - begin[at]
         return pa.table({"anchor": table.column("anchor").take(pa.array(at)), "piece": table.column("piece").take(pa.array(at)),
                          "first": pa.array(offset.astype(np.int32)), "n": pa.array(count.astype(np.int32)), "owner": pa.array(owners[new])})
     return texts.groupBy("shard").applyInArrow(run, "anchor long, piece long, first int, n int, owner long")
@@ -257,19 +279,22 @@ def _owners(texts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, spans)``: word intervals ``[from, to)`` to remove, one per run of windows; may overlap."""
     found = saved(pieces(docs), "pieces")
-    shared = (found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("anchor"))
+    # aggregates are written before they are joined, so that a join can be split at a very common key
+    shared = saved(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                   .where("lo < hi").select("anchor"), "shared-anchors")
     found = saved(found.join(shared, "anchor"), "shared-pieces")
-    first = (found.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "windows")).alias("f"))
-             .select("anchor", "piece", "f.*"))
+    first = (found.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "start", "windows")).alias("f"), F.max("doc_id").alias("last"))
+             .select("anchor", "piece", "f.*", "last"))
     first = saved(first, "first-pieces")
-    # only anchors of very many pieces; written, so that the join's partitions can be split for them
-    parts = saved(first.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / ANCHOR_PIECES).cast("int").alias("parts")).where("parts > 1"), "parts")
-    first = first.join(parts, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    words = first.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0] or 0
-    wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "start", "windows", "parts")).alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id")
-    owners = _owners(_piece_texts(rows, 1 + words // SHARD_WORDS))
+    common = saved(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ANCHOR_PIECES).select("anchor"), "common-anchors")
+
+    def texts(own: DataFrame, *columns: str) -> DataFrame:
+        wanted = own.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "piece", "start", "windows", *columns)).alias("wanted"))
+        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id")
+    own = first.join(common, "anchor", "left_anti")
+    words = own.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0] or 0
+    owners = (_owners(_piece_texts(texts(own), 1 + words // SHARD_WORDS))
+              .unionByName(_common_windows(texts(first.join(common, "anchor", "left_semi"), "last"))))
     return (found.join(owners, ["anchor", "piece"]).where("owner < doc_id")
             .groupBy("doc_id").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("from"),
                                                            (F.col("start") + F.col("first") + F.col("n") + WINDOW - 1).alias("to"))).alias("spans")))
