@@ -13,12 +13,13 @@ a text's values are scaled to length 1, so that long texts do not weigh more.
 A linear hinge-loss model is fitted on them by dual coordinate descent (with
 a bias and per-class costs), and a logistic curve on documents held back
 turns margins into probabilities.  At most ``MAX_DOCS`` labelled documents
-(of either label those of smallest id hash) are used, which bounds the driver's work; every
+(of either label those of smallest id hash) are used, in a task of their own; every
 text is scored whole.
 
 Null, empty and space-only texts have no indicator and score by the bias;
 repeated rows score alike; with no or one class in training every text scores
-that class's share (0.5 without rows); further columns are ignored.
+that class's share (0.5 without rows); a document whose label rows disagree
+is not used for training; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenlake.llm.words import Words, gather, mix, word_blocks
 
 FEATURES = 1 << 18
-MAX_DOCS = 6_000          # half of them of either label
+MAX_DOCS = 8_000          # half of them of either label
 HELD_BACK = 4             # every fourth document of the sample fits the logistic curve
 COST, ROUNDS = 1.0, 12
 SMOOTH = 1.0
@@ -55,7 +56,7 @@ def _shapes(block: Words) -> np.ndarray:
     edge = np.concatenate(([0], np.cumsum(size)))
     place = np.cumsum(new)
     place = place - place[edge[:-1]][word]               # of a class in its word's shape
-    term = mix(data * np.uint64(4096) + np.minimum(place, 4095).astype(np.uint64)) * new
+    term = mix(mix(place.astype(np.uint64)) + data) * new
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)))
     shape = mix(total[edge[1:]] - total[edge[:-1]])
     same = np.zeros(len(shape), bool)

@@ -32,14 +32,14 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learnt from labelled rows of ``docs`` that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
-    return toxicity.fit(*toxicity.training_sample(docs, labels, "toxic", toxicity.MAX_DOCS))
+    return toxicity.trained(toxicity.training_sample(docs, labels, "toxic", toxicity.MAX_DOCS), toxicity.fit)
 
 
 def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document: doc_id, held_out, score, predicted; learnt from the rows not held out."""
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
-    model = quality.fit(*toxicity.training_sample(docs, labels, "quality", quality.MAX_DOCS))
+    model = toxicity.trained(toxicity.training_sample(docs, labels, "quality", quality.MAX_DOCS), quality.fit)
     return (quality.score(spark, docs, model)
             .select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted"))
 

@@ -10,8 +10,8 @@ filled up with zero vectors), a linear softmax gives its toxic probability,
 and the text scores as its most toxic window (so length does not dilute it).
 
 ``fit`` trains embeddings and softmax jointly in numpy with Adam on at most
-``MAX_DOCS`` labelled documents (of either label those of smallest id hash),
-which keeps the driver's work and memory bounded; a document's gradient goes through its most toxic
+``MAX_DOCS`` labelled documents (of either label those of smallest id hash)
+in a task of its own (``trained``); a document's gradient goes through its most toxic
 window (at first by the n-grams' log odds, then by the model itself).
 N-grams in under ``MIN_DOCS`` documents of the sample stay zero: they could
 only be learnt by heart.  Since the model is linear in the n-grams, scoring needs one number
@@ -20,12 +20,14 @@ once, then the windows are means of numbers.
 
 Null, empty and space-only texts score ``P(toxic)`` of an empty window (the
 bias alone); repeated rows and ties get equal scores; an empty training set
-gives a model that scores every text 0 (nothing is known to be toxic); further columns
+gives a model that scores every text 0 (nothing is known to be toxic); a
+document whose label rows disagree is not used for training; further columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 
 import numpy as np
@@ -34,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenlake.llm.common import saved
 from tokenlake.llm.words import LOWER, Words, gather, mix, word_blocks
 
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 5, 6, 8)
 WINDOW = 8
-MAX_DOCS = 6_000             # half of them of either label
+MAX_DOCS = 16_000            # half of them of either label
 HELD_BACK = 5                # every fifth document of the sample sets the bias
 MIN_DOCS = 3
 EPOCHS = 12
@@ -53,19 +56,15 @@ _EDGE[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 def _trimmed(block: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word bounds without ASCII punctuation at the ends (a word of nothing else keeps its bounds)."""
-    starts, ends = block.starts.copy(), block.ends.copy()
-    for _ in range(64):
-        cut = (ends - starts > 1) & _EDGE[block.data[ends - 1]] if len(ends) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        ends[cut] -= 1
-    for _ in range(64):
-        cut = (ends - starts > 1) & _EDGE[block.data[starts]] if len(ends) else np.zeros(0, bool)
-        if not cut.any():
-            break
-        starts[cut] += 1
-    return starts, ends
+    """Word bounds without ASCII punctuation at the ends (a word of nothing else keeps its first character)."""
+    if not len(block.starts):
+        return block.starts, block.ends
+    place = np.arange(len(block.data))
+    inner = ~_EDGE[block.data]
+    last = np.maximum.accumulate(np.where(inner, place, -1))[block.ends - 1]
+    first = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][block.starts]
+    some = last >= block.starts
+    return np.where(some, first, block.starts), np.where(some, last + 1, block.starts + 1)
 
 
 def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,19 +258,29 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), bias[1] - bias[0])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts of at most ``most`` labelled documents, of either label half of them, those of smallest id hash.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """``(doc_id, text, y)`` of at most ``most`` labelled documents, of either label half of them, those of smallest id hash.
 
-    The bound keeps the driver's part fixed, and the chosen ids small enough
-    to broadcast, so the texts are not shuffled.
+    Documents whose label rows disagree are not used.  The bound keeps the
+    chosen ids small enough to broadcast, so the texts are not shuffled.
     """
-    marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
+    marked = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
+              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other"))
     chosen = reduce(DataFrame.unionByName, (marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for y in (0, 1)))
-    rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-            .join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id"))
-    text = rows.column("text").combine_chunks()
-    text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-    return text, rows.column("y").to_numpy().astype(np.int64)
+    return (docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+            .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("long")))
+
+
+def trained(sample: DataFrame, fit):
+    """``fit(texts, labels)`` of a bounded sample, in one task of its own; only the model comes to the driver."""
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches), schema).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        text = pa.concat_arrays(rows.column("text").chunks) if len(rows) else pa.array([], pa.string())
+        yield pa.record_batch([pa.array([pickle.dumps(fit(text, rows.column("y").to_numpy().astype(np.int64)))], pa.binary())], names=["model"])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int64())])
+    rows = saved(sample.select(F.col("doc_id").cast("long"), "text", "y"), "training-sample").repartition(1)
+    made = rows.mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
