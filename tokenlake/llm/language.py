@@ -1,12 +1,16 @@
 """Language identification by compression (operator 3).
 
-A language is known by its training texts, held whole as a raw-content
-zstandard dictionary.  A text is reduced to lower-case letters
+A language is known by its training texts, held as a raw-content zstandard
+dictionary.  A text is reduced to lower-case letters
 with single spaces and cut into pieces of ``PIECE`` bytes; every piece is
 compressed with every language's dictionary, and the language of the smallest
-total wins.  The dictionary sample is bounded by rows only (at most
-``SAMPLE_DOCS`` different texts a language, those of smallest id hash; equal
-texts count once): every byte of every sampled text is in the dictionary.
+total wins.  The dictionaries are a bounded sample: at most ``SAMPLE_DOCS``
+different texts a language (those of smallest id hash; equal texts count once)
+and ``DICT_BYTES`` bytes, so that no language gains by longer texts; where the
+texts hold more, every text gives its share in pieces of ``SPAN`` bytes spread
+evenly over its whole length.  A dictionary is built in a task of its own; the
+driver gets ``DICT_BYTES`` a language, of ``MAX_LANGUAGES`` at most (more
+values in ``lang`` raise, as a sign of a dirty column).
 
 ``score`` is a softmax of the sizes (``SCALE`` bytes a step, at most for
 ``SCALE_BYTES`` of text); a relative margin to the runner-up under
@@ -27,10 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenlake.llm.common import saved
+
 SAMPLE_DOCS = 40
+DICT_BYTES, SPAN = 1 << 16, 256
+MAX_LANGUAGES = 1000
+SALTS = 16                        # the first rank is taken within so many parts of a language
 PIECE = 2048
 LEVEL = 6
-SHORT, SHORT_LEVEL = 400, 19      # bytes; short texts are worth the stronger search
+SHORT, SHORT_LEVEL = 400, 19      # bytes; short texts are worth the stronger search (sizes of all languages change level together)
 SCALE, SCALE_BYTES = 2.0, 2000
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -90,21 +99,41 @@ class Model:
         return list(self.samples)[best], score, margin < MARGIN, margin
 
 
+def dictionary(texts: list[bytes], size: int = DICT_BYTES, span: int = SPAN) -> bytes:
+    """At most ``size`` bytes of the texts, each giving its share from all of its parts."""
+    whole = b" ".join(texts)
+    if len(whole) <= size:
+        return whole
+    share, out = size / len(whole), []
+    for t in texts:
+        pieces = max(1, int(len(t) * share / (span + 1)))
+        at = np.linspace(0, max(0, len(t) - span), pieces).astype(int)
+        out += [t[i:i + span] for i in at.tolist()] if len(t) * share < len(t) - span else [t]
+    return b" ".join(out)[:size]
+
+
 def fit(docs: DataFrame) -> Model:
     """Dictionaries from ``docs (doc_id, text, lang)``; rows with null lang or text are not used."""
-    known = docs.where("lang is not null and text is not null")
+    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
     place = F.struct(F.xxhash64("doc_id").alias("spread"), "doc_id")
     different = known.groupBy("lang", F.xxhash64("text").alias("digest"), F.length("text").alias("n")).agg(F.min(place).alias("first"))
-    order = Window.partitionBy("lang").orderBy("first")
-    chosen = (different.select("lang", F.col("first.doc_id").alias("doc_id"), F.row_number().over(order).alias("place"))
-              .where(F.col("place") <= SAMPLE_DOCS))
-    # SAMPLE_DOCS ids a language: small by that bound
-    rows = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "place", "text").collect()
-    samples: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
-        samples.setdefault(r["lang"], []).append(letters(r["text"]))
-    made = {lang: b" ".join(own) for lang, own in samples.items()}
-    return Model(dict(sorted(made.items(), key=lambda x: (-len(samples[x[0]]), x[0]))))
+    chosen = different.select("lang", "first", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).alias("salt"))
+    for keys in (("lang", "salt"), ("lang",)):          # a hot language is ranked in parts first
+        chosen = (chosen.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first")))
+                  .where(F.col("place") <= SAMPLE_DOCS))
+    chosen = saved(chosen.select("lang", F.col("first.doc_id").alias("doc_id"), "place"), "language-sample")
+    languages = chosen.select("lang").distinct().count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"{languages} different values of lang; at most {MAX_LANGUAGES} are fitted")
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("place").to_pylist(), table.column("text").to_pylist()))
+        return pa.table({"lang": table.column("lang").slice(0, 1), "n": pa.array([len(rows)], pa.int32()),
+                         "sample": pa.array([dictionary([letters(t) for _, t in rows])], pa.binary())})
+    # SAMPLE_DOCS ids of MAX_LANGUAGES languages at most: small by that bound
+    rows = known.join(F.broadcast(chosen.withColumnRenamed("lang", "of")), "doc_id").where("lang = of").select("lang", "place", "text")
+    made = rows.groupBy("lang").applyInArrow(build, "lang string, n int, sample binary").collect()
+    return Model({r["lang"]: bytes(r["sample"]) for r in sorted(made, key=lambda r: (-r["n"], r["lang"]))})
 
 
 def identified(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
