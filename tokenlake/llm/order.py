@@ -87,7 +87,7 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     def run(batches):
         enc, part, place = encoder(path), TaskContext.get().partitionId(), 0
         kind = id_type(len(enc.ends_word))
-        held, small = np.zeros(0, kind), zstandard.ZstdCompressor(level=1)
+        held, small = np.zeros(0, kind), zstandard.ZstdCompressor(level=3)
 
         def made(rows: np.ndarray, n_ids: list[int]):
             return pa.record_batch([pa.array([part] * len(rows), pa.int32()), pa.array(np.arange(place, place + len(rows))),
