@@ -43,7 +43,7 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 5, 6, 8)
 WINDOW = 8
-MAX_DOCS = 16_000            # half of them of either label
+MAX_DOCS = 10_000            # half of them of either label
 HELD_BACK = 5                # every fifth document of the sample sets the bias
 MIN_DOCS = 3
 EPOCHS = 12
@@ -182,20 +182,26 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
         return Model(np.zeros(BUCKETS, np.float32), 40.0 if labels[0] else -40.0)
     rng = np.random.default_rng(seed)
     # the sample as word numbers, the words as n-gram buckets
-    vocabulary: dict[int, int] = {}
+    seen, number_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)      # hashes of the words so far, sorted, and their numbers
     grams, counts, places, lens = [], [], [], []
     for _, _, block in word_blocks(texts, lower=True):
         starts, ends, keys, place, left = _distinct(block)
-        known = len(vocabulary)
-        number = np.array([vocabulary.setdefault(k, len(vocabulary)) for k in keys.tolist()], np.int64)
-        new = number >= known                          # numbered in this order
-        g, c = word_grams(block.data, starts[new], ends[new])
-        grams.append(g.astype(np.int32))
-        counts.append(c.astype(np.int32))
-        places.append(number[place].astype(np.int32))
+        new = ~np.isin(keys, seen, assume_unique=True)
+        for i in range(0, int(new.sum()), 65536):
+            own = np.flatnonzero(new)[i:i + 65536]
+            g, c = word_grams(block.data, starts[own], ends[own])
+            grams.append(g.astype(np.int32))
+            counts.append(c.astype(np.int32))
+        fresh = np.arange(len(seen), len(seen) + int(new.sum()), dtype=np.int32)
+        seen, number_of = np.concatenate((seen, keys[new])), np.concatenate((number_of, fresh))
+        order = np.argsort(seen)
+        seen, number_of = seen[order], number_of[order]
+        places.append(number_of[np.searchsorted(seen, keys)][place])
         lens.append(left)
-    del vocabulary
-    grams, count, words, lens = map(np.concatenate, (grams, counts, places, lens))
+    del seen, number_of
+    grams = np.concatenate(grams)
+    count, words, lens = map(np.concatenate, (counts, places, lens))
+    del counts, places
     count = count.astype(np.int64)
     begin = np.cumsum(count) - count
     lo, hi, doc = _windows(lens)
@@ -220,7 +226,11 @@ def _train(texts: pa.Array, labels: np.ndarray, epochs: int, dim: int, seed: int
     for epoch in range(epochs):
         # logits of all windows under the present model: the most toxic window of each document is trained
         weight = emb @ (out[:, 1] - out[:, 0]) if epoch else odds * known
-        value = np.add.reduceat(weight[grams], begin) / count
+        value = np.empty(len(begin))
+        for i in range(0, len(begin), 65536):               # some words at a time
+            part = slice(begin[i], begin[i + 65536] if i + 65536 < len(begin) else len(grams))
+            value[i:i + 65536] = np.add.reduceat(weight[grams[part]], begin[i:i + 65536] - begin[i])
+        value /= count
         total = np.concatenate(([0.0], np.cumsum(value[words], dtype=np.float64)))
         z = total[hi] - total[lo]
         top = np.lexsort((-z, doc))
@@ -274,11 +284,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 def trained(sample: DataFrame, fit):
     """``fit(texts, labels)`` of a bounded sample, in one task of its own; only the model comes to the driver."""
     def run(batches):
-        rows = pa.Table.from_batches(list(batches), schema).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        text = pa.concat_arrays(rows.column("text").chunks) if len(rows) else pa.array([], pa.string())
-        yield pa.record_batch([pa.array([pickle.dumps(fit(text, rows.column("y").to_numpy().astype(np.int64)))], pa.binary())], names=["model"])
+        rows = pa.Table.from_batches(list(batches), schema)          # sorted by the query
+        text, y = rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(np.int64)
+        text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) and text.num_chunks else text if len(rows) else pa.array([], pa.string())
+        del rows
+        yield pa.record_batch([pa.array([pickle.dumps(fit(text, y))], pa.binary())], names=["model"])
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int64())])
-    rows = saved(sample.select(F.col("doc_id").cast("long"), "text", "y"), "training-sample").repartition(1)
+    rows = saved(sample.select(F.col("doc_id").cast("long"), "text", "y"), "training-sample").repartition(1).sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(run, "model binary").first()
     return pickle.loads(made["model"]) if made else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
 
