@@ -44,9 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)`` as rows ``(id, component)``, component the smallest id.
 
     Alternating large-star and small-star steps on the edge table: every
-    step is an aggregation and a join on the node, so a node with very many
-    neighbours is pre-aggregated map-side and its join partition can be
-    split.  Every round is written to the shared folder.  Ends when a round
+    step is an aggregation and a join on the node.  A node with very many
+    neighbours is pre-aggregated map-side; the aggregate is written before it
+    is joined, so that the join's partition of such a node can be split.
+    Every round is written to the shared folder.  Ends when a round
     changes nothing; the number of rounds grows with the logarithm of the
     longest chain.
     """
@@ -55,10 +56,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lowest")
         large = (both.where("v > u").join(low, F.col("u") == F.col("k"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        large = saved(large, "large-star")
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "lowest")
         small = (large.join(low, F.col("u") == F.col("k"))
                  .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                            F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))

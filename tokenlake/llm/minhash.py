@@ -312,11 +312,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sk = saved(sketches(docs), "sketches")
     filled = sk.where("n_shingles > 0")
     digest = ["n_shingles", "digest1", "digest2"]
-    classes = filled.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    # aggregates are written before they are joined, so that a join can be split at a very common key
+    classes = saved(filled.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     member = saved(sk.join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = filled.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     bands = band_rows(reps)
-    centre = (bands.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    centre = saved(bands.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "centres")
     buckets = saved(bands.join(centre, ["band", "value"]), "buckets")
     candidates = buckets.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     best = (_estimated(candidates, reps).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")))
