@@ -32,6 +32,22 @@ def draw(salt, *cols) -> Column:
     return F.conv(F.substring(F.md5(_key(salt, cols)), 1, 8), 16, 10).cast("bigint")
 
 
+def stem(salt, *cols) -> Column:
+    """The key of a draw without its last column: ``draw_at(stem(salt, a), b)``
+    is ``draw(salt, a, b)``, with the common part built once for many ``b``."""
+    return _key(salt, cols)
+
+
+def hex_at(stem: Column, last: Column) -> Column:
+    """Eight hex digits that sort as ``draw_at`` does."""
+    return F.substring(F.md5(F.concat(stem, F.lit(":"), last.cast("string"))), 1, 8)
+
+
+def draw_at(stem: Column, last: Column) -> Column:
+    """``draw`` with the last key column given apart (not null)."""
+    return F.conv(hex_at(stem, last), 16, 10).cast("bigint")
+
+
 def draw_mod(n, salt, *cols) -> Column:
     """Uniform integer in [0, n)."""
     return F.pmod(draw(salt, *cols), F.lit(n)).cast("int")

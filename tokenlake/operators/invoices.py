@@ -2,8 +2,10 @@
 O6, W4, A9, P9, P11, V1, V2, Z2).
 
 The corpus is a narrow projection: every "random" choice is an md5 draw of
-(salt, row key), so generation needs no shuffle, is identical under any
-partitioning and is recomputed exactly after a lost task.  An example
+(salt, row key), so it is identical under any partitioning and is recomputed
+exactly after a lost task.  A row costs far more to build than to read, so
+``examples`` deals the four columns read evenly over the shuffle partitions
+first: the files' row groups would else bound the number of busy cores.  An example
 carries at most one affected field, so the reference's one-element
 ``missing / unlabeled / labels / hidden`` lists become four nullable
 columns (``miss_field``, ``unlabeled_field``, ``label_field`` +
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenlake.functions.draws import draw, draw_mod, draw_unit
+from tokenlake.functions.draws import draw, draw_at, draw_mod, draw_unit, hex_at, stem
 from tokenlake.operators.ordered import sequence_scan
 from tokenlake.sources.tables import table
 
@@ -109,9 +111,12 @@ def cents_text(cents: Column) -> Column:
 
 # ------------------------------------------------------------------ truth
 
-def invoices_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One invoice per order (truth derived from the order row)."""
+def invoices_from_orders(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """One invoice per order (truth derived from the order row);
+    ``spread`` deals the rows evenly over the shuffle partitions."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    if spread:
+        o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     pct = F.lit(5) + F.pmod(k, F.lit(16))
@@ -167,12 +172,12 @@ def corrupt_label(label: Column, k: Column, key: Column, salt: Column) -> Column
     """G4 + O6 + J8: replace ``k`` distinct positions by a *different*
     alphanumeric, retried until the result is not a valid label.
 
-    The attempts are an array of CORRUPT_ATTEMPTS candidates (the attempt
-    number salts the draws) and the first one outside the vocabulary wins.
-    If none is, the next attempt (``coalesce`` evaluates it lazily) draws its
-    last replaced character only among those of the whole pool that give an
-    accepted result; as the vocabulary is smaller than the pool there always
-    is one, so the draw ends and never leaves the pool.
+    There are CORRUPT_ATTEMPTS candidates (the attempt number salts the draws)
+    and the first one outside the vocabulary wins; ``coalesce`` makes the next
+    one only if those before it are valid labels.  If all are, one more
+    attempt draws its last replaced character only among those of the whole
+    pool that give an accepted result; as the vocabulary is smaller than the
+    pool there always is one, so the draw ends and never leaves the pool.
     """
     n = F.length(label)
     vocab = _arr(label_vocab_lower())
@@ -180,36 +185,39 @@ def corrupt_label(label: Column, k: Column, key: Column, salt: Column) -> Column
     idx = F.sequence(F.lit(0), n - 1)
 
     def positions(a):
-        ranked = F.array_sort(F.transform(idx, lambda i: F.struct(
-            draw("corrupt:pos", key, salt, a, i).alias("h"), i.alias("i"))))
+        ranked = let(stem("corrupt:pos", key, salt, a), lambda at: F.sort_array(F.transform(idx, lambda i: F.struct(
+            hex_at(at, i).alias("h"), i.alias("i")))))
         return F.transform(F.slice(ranked, 1, F.least(k, n)), lambda s: s["i"])
 
-    def repl(a, i):
-        ch = F.substring(label, i + 1, 1)
-        ci = F.instr(pool, ch) - 1                      # -1 when not alphanumeric
-        size = F.when(ci >= 0, F.lit(61)).otherwise(F.lit(62))
-        j = F.pmod(draw("corrupt:chr", key, salt, a, i), size)
-        j = F.when((ci >= 0) & (j >= ci), j + 1).otherwise(j)
-        return F.substring(pool, (j + 1).cast("int"), 1)
+    def repl(at, i):
+        def other_than(ci):                             # -1 when not alphanumeric
+            size = F.when(ci >= 0, F.lit(61)).otherwise(F.lit(62))
+            return let(F.pmod(draw_at(at, i), size), lambda j: F.substring(
+                pool, (F.when((ci >= 0) & (j >= ci), j + 1).otherwise(j) + 1).cast("int"), 1))
+        return let(F.instr(pool, F.substring(label, i + 1, 1)) - 1, other_than)
+
+    def chars(a):
+        return stem("corrupt:chr", key, salt, a)
 
     def candidate(a):
-        return let(positions(a), lambda pos: F.array_join(F.transform(idx, lambda i: F.when(
-            F.array_contains(pos, i), repl(a, i)).otherwise(F.substring(label, i + 1, 1))), ""))
+        return let(chars(a), lambda at: F.aggregate(
+            positions(a), label, lambda made, i: F.overlay(made, repl(at, i), i + 1, F.lit(1))))
 
     def accepted_last(a):
         def over_pool(pos):
             last = F.element_at(pos, -1)
             made = F.transform(F.sequence(F.lit(1), F.length(pool)), lambda c: F.array_join(F.transform(idx, lambda i: F.when(
-                i == last, F.substring(pool, c, 1)).when(F.array_contains(pos, i), repl(a, i))
+                i == last, F.substring(pool, c, 1)).when(F.array_contains(pos, i), repl(chars(a), i))
                 .otherwise(F.substring(label, i + 1, 1))), ""))
             return F.filter(made, lambda c: (F.substring(c, last + 1, 1) != F.substring(label, last + 1, 1))
                             & ~F.array_contains(vocab, F.lower(c)))
         return let(let(positions(a), over_pool), lambda made: F.element_at(
             made, (F.pmod(draw("corrupt:last", key, salt), F.size(made)) + 1).cast("int")))
 
-    attempts = F.transform(F.sequence(F.lit(1), F.lit(CORRUPT_ATTEMPTS)), lambda a: candidate(a))
-    accepted = F.filter(attempts, lambda c: ~F.array_contains(vocab, F.lower(c)))
-    return F.coalesce(F.try_element_at(accepted, F.lit(1)), accepted_last(F.lit(CORRUPT_ATTEMPTS + 1)))
+    def tried(a):
+        return let(candidate(a), lambda c: F.when(~F.array_contains(vocab, F.lower(c)), c))
+
+    return F.coalesce(*[tried(F.lit(a)) for a in range(1, CORRUPT_ATTEMPTS + 1)], accepted_last(F.lit(CORRUPT_ATTEMPTS + 1)))
 
 
 def case_jitter(label: Column, key: Column, salt: str = "jitter") -> Column:
@@ -297,9 +305,9 @@ def render_text(date_format: str = DATE_FORMAT) -> Column:
         return F.when(F.col("miss_field").eqNullSafe(F.lit(f)), F.lit("")).otherwise(F.coalesce(v, F.lit("NA")))
 
     def line(f):
-        lab = F.when(F.col("label_field").eqNullSafe(F.lit(f)), F.col("label_text")).otherwise(F.lit(LABELS[f]))
-        return F.when(F.col("unlabeled_field").eqNullSafe(F.lit(f)), F.concat(F.lit(": "), value(f))) \
-                .otherwise(F.concat(lab, F.lit(": "), value(f)))
+        lab = (F.when(F.col("unlabeled_field").eqNullSafe(F.lit(f)), F.lit(""))
+               .when(F.col("label_field").eqNullSafe(F.lit(f)), F.col("label_text")).otherwise(F.lit(LABELS[f])))
+        return F.concat(lab, F.lit(": "), value(f))
 
     header = F.when(F.col("miss_field").eqNullSafe(F.lit("vendor_name")), F.lit("")) \
               .otherwise(F.concat(F.col("vendor_name"), F.lit("\n\n")))
@@ -323,9 +331,11 @@ def target_cols(date_format: str = DATE_FORMAT) -> list[Column]:
 
 
 def _json_str(c: Column) -> Column:
-    """JSON text of a string value (``null`` for NULL)."""
-    quoted = let(F.to_json(F.array(c)), lambda j: j.substr(F.lit(2), F.length(j) - 2))   # '["x"]' -> '"x"'
-    return F.when(c.isNull(), F.lit("null")).otherwise(quoted)
+    """JSON text of a string value (``null`` for NULL); only a value with a
+    character that JSON escapes goes through the JSON writer."""
+    escaped = let(F.to_json(F.array(c)), lambda j: j.substr(F.lit(2), F.length(j) - 2))   # '["x"]' -> '"x"'
+    return (F.when(c.isNull(), F.lit("null")).when(c.rlike(r'["\\\x00-\x1f]'), escaped)
+            .otherwise(F.concat(F.lit('"'), c, F.lit('"'))))
 
 
 def target_json(indent: bool = True) -> Column:
@@ -345,18 +355,24 @@ def target_json(indent: bool = True) -> Column:
 def shuffle_lines(text: Column, key: Column, salt: str = "lines") -> Column:
     """Shuffle the non-blank lines of a text, one trailing newline."""
     lines = F.filter(F.split(text, "\n"), lambda l: F.length(F.btrim(l, F.lit(" \t\n\r\f\x0b"))) > 0)
-    keyed = F.transform(lines, lambda l, i: F.struct(draw(salt, key, i).alias("h"), i.alias("i"), l.alias("l")))
-    return F.concat(F.array_join(F.transform(F.array_sort(keyed), lambda s: s["l"]), "\n"), F.lit("\n"))
+    keyed = F.transform(lines, lambda l, i: F.struct(hex_at(stem(salt, key), i).alias("h"), i.alias("i"), l.alias("l")))
+    return F.concat(F.array_join(F.transform(F.sort_array(keyed), lambda s: s["l"]), "\n"), F.lit("\n"))
 
 
 def examples(spark: SparkSession, sf_dir: str, date_format: str = DATE_FORMAT) -> DataFrame:
     """One example per order with case, text and target columns."""
-    inv = invoices_from_orders(spark, sf_dir)
+    inv = invoices_from_orders(spark, sf_dir, spread=True)
     planned = plan_cases(inv, case_of_key(F.col("invoice_id")))
     return planned.select(F.col("invoice_id").alias("example_id"), "*",
                           render_text(date_format).alias("text"), *target_cols(date_format))
 
 
+def example_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example_id, case) of ``examples``, straight from the scan: too cheap
+    to be worth a shuffle."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), case_of_key(F.col("o_orderkey")).alias("case"))
+
+
 def split_cuts(ex: DataFrame, bucket_width: int = 100_000) -> DataFrame:
     """One row per case: its size, and the id of its last training example.
 
@@ -380,11 +396,12 @@ def split_cuts(ex: DataFrame, bucket_width: int = 100_000) -> DataFrame:
     return cut.select("case", "case_n").join(inside, "case", "left")
 
 
-def with_split(ex: DataFrame, bucket_width: int = 100_000) -> DataFrame:
+def with_split(ex: DataFrame, bucket_width: int = 100_000, keys: DataFrame | None = None) -> DataFrame:
     """First ``int(0.9 * n)`` examples of each case (in example_id
     order) -> train, the rest -> validation: a comparison with the case's cut
-    id (one row per case), so the examples themselves are not shuffled."""
-    cuts = F.broadcast(split_cuts(ex, bucket_width))          # one row per case
+    id (one row per case), so the examples themselves are not shuffled.
+    ``keys`` is a cheaper source of the (example_id, case) of all of ``ex``."""
+    cuts = F.broadcast(split_cuts(ex if keys is None else keys, bucket_width))          # one row per case
     return ex.join(cuts, "case").withColumn("split", F.when(
         F.col("example_id") <= F.col("cut_id"), F.lit("train")).otherwise(F.lit("validation"))).drop("cut_id")
 
@@ -431,7 +448,7 @@ def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + W4: count per split and case against the declared mixture: a
     case's share of all examples, 90 % of it for training.  ``matches`` allows
     ``COUNT_TOLERANCE`` of the expected count, at least one example."""
-    ex = with_split(examples(spark, sf_dir).select("example_id", "case"))
+    ex = with_split(example_keys(spark, sf_dir))
     g = ex.groupBy("split", "case").agg(F.count(F.lit(1)).alias("n"))
     share = F.create_map(*[x for name, n in CASE_MIXTURE for x in (F.lit(name), F.lit(n))])[F.col("case")]
     case_n = F.expr("(total * share + {0} div 2) div {0}".format(sum(n for _, n in CASE_MIXTURE)))
@@ -445,7 +462,7 @@ def case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G10 + G11: prompt (system, user) and completion (assistant JSON)."""
-    ex = with_split(examples(spark, sf_dir))
+    ex = with_split(examples(spark, sf_dir), keys=example_keys(spark, sf_dir))
     msg = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return ex.select(
         "example_id", "split", "case",
@@ -468,7 +485,7 @@ def sft_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = F.concat("prompt", "completion")
     keys = F.json_object_keys(F.col("completion")[0]["content"])
     ok = ((F.size(msgs) == 3) & F.col("prompt")[1]["content"].isNotNull()
-          & F.coalesce(F.array_sort(keys) == F.array_sort(_arr(ALL_FIELDS)), F.lit(False)))
+          & F.coalesce(F.sort_array(keys) == F.sort_array(_arr(ALL_FIELDS)), F.lit(False)))
     return c.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.count(F.when(~ok, F.lit(1))).alias("n_violations"))
 
@@ -484,7 +501,7 @@ def arith_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_shuffle(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
     """O1: reproducible shuffle of each split (sort by a hash of seed and id;
     the sort is range-partitioned, no single-partition step)."""
-    ex = with_split(examples(spark, sf_dir).select("example_id", "case"))
+    ex = with_split(example_keys(spark, sf_dir))
     return ex.select("split", "example_id", "case",
                      draw(f"shuffle:{seed}", F.col("example_id")).alias("shuffle_key")) \
              .orderBy("split", "shuffle_key", "example_id")
