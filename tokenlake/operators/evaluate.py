@@ -113,8 +113,10 @@ def rule_predictor(texts: pd.Series) -> pd.Series:
             num = pd.to_numeric(pd.Series([(v and NOT_IN_NUMBER.sub("", v)) or None for v in val], dtype=object), errors="coerce")
             val = num.astype(object).where(num.notna(), None).tolist()
         out[f] = val
-    records = zip(*[out[f] for f in inv.ALL_FIELDS])
-    return pd.Series([json.dumps(dict(zip(inv.ALL_FIELDS, r))) for r in records], index=texts.index, dtype=object)
+    values = [json.dumps(out[f])[1:-1].split(", ") if f in NUMERIC_FIELDS else ["null" if v is None else json.dumps(v) for v in out[f]]
+              for f in inv.ALL_FIELDS]                 # the texts json.dumps gives the records, a column at a time
+    form = "{" + ", ".join(f'"{f}": %s' for f in inv.ALL_FIELDS) + "}"
+    return pd.Series([form % r for r in zip(*values)][:len(t)], index=texts.index, dtype=object)
 
 
 def load_rule_predictor() -> Callable[[pd.Series], pd.Series]:

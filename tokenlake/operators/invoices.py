@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.draws import draw, draw_at, draw_mod, draw_unit, hex_at, stem
 from tokenlake.operators.ordered import sequence_scan
+from tokenlake.session import bound_methods
 from tokenlake.sources.tables import table
 
 # ---- fixed values (must equal the reference's for equal results) ----------
@@ -361,6 +362,7 @@ def shuffle_lines(text: Column, key: Column, salt: str = "lines") -> Column:
 
 def examples(spark: SparkSession, sf_dir: str, date_format: str = DATE_FORMAT) -> DataFrame:
     """One example per order with case, text and target columns."""
+    bound_methods(spark)
     inv = invoices_from_orders(spark, sf_dir, spread=True)
     planned = plan_cases(inv, case_of_key(F.col("invoice_id")))
     return planned.select(F.col("invoice_id").alias("example_id"), "*",
