@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tokenlake.llm import bpe, order, packing, tokenize
@@ -58,6 +60,32 @@ def test_op4_odd_rows(odd_docs, no_docs):
     assert bpe.decoded(bpe.encoded(no_docs)).collect() == []
 
 
+def test_op4_memory_of_a_block_without_its_matches():
+    enc = bpe.Encoder(bpe.default_path(), public_tokenizers.PATTERN)
+    texts = ["it is as it was and so it goes on " * 2000] * 20
+    enc.encode(texts)
+    tracemalloc.start()
+    ids, sizes = enc.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.sum() == len(ids) and ids.dtype.itemsize == 4
+    assert peak < 26 * sum(map(len, texts)), peak
+
+
+def test_op4_decodes_in_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED_BYTES", 5000)
+    enc = bpe.Encoder(bpe.default_path(), public_tokenizers.PATTERN)
+    texts = ["", "a" * 9000, *("one two " * i for i in range(60)), ""]
+    ids, sizes = enc.encode(texts)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(sizes), pa.array([ids[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
+                            names=["doc_id", "n_tokens", "ids"])
+    blocks = list(bpe._with_bytes(enc.ranks, batch))
+    assert len(blocks) > 2 and all(sum(map(len, b.column(3).to_pylist()[:-1])) < 5000 for b in blocks)
+    assert [(i, v.decode()) for b in blocks for i, v in zip(b.column(0).to_pylist(), b.column(3).to_pylist())] == list(enumerate(texts))
+    assert list(bpe._with_bytes(enc.ranks, batch.slice(0, 0))) == []
+
+
 def _library():
     from tokenizers import Tokenizer
     return Tokenizer.from_file(tokenize.default_path())

@@ -15,13 +15,16 @@ position a word at a time.
 Decoding concatenates the bytes of the ids.  Null and empty texts have no
 ids; repeated rows encode alike; pairs of one rank merge from the left; an
 empty table gives no rows; further columns are ignored; texts are whole;
-memory holds a block of texts (or one longer text).
+memory holds the texts of a block (or one longer text), its different words
+and a number for every match; decoded texts are handed on in blocks too.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from tokenlake.llm.words import gather
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
+DECODED_BYTES = 1 << 23
 _NONE = np.iinfo(np.int64).max
 
 
@@ -165,18 +169,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, text after text, and the number of ids of each."""
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
+        number = defaultdict(count().__next__)           # a different word's number; the matches themselves aren't kept
+        places = []
+        for t in texts:
             own = self.split.findall(t)
-            counts[i] = len(own)
-            words += own
-        coded = pa.array(words, pa.large_string()).dictionary_encode()
-        place = coded.indices.to_numpy()
-        ids, lens = replay(self.ranks, coded.dictionary.cast(pa.large_binary()).to_pylist())
+            places.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+        counts = np.fromiter(map(len, places), np.int64, len(places))
+        place = np.concatenate([np.zeros(0, np.int32), *places])
+        ids, lens = replay(self.ranks, [w.encode() for w in number])
         first = np.cumsum(lens) - lens
         total = np.concatenate(([0], np.cumsum(lens[place])))
         edge = np.cumsum(counts)
-        return ids[gather(first[place], lens[place])], total[edge] - total[edge - counts]
+        return ids.astype("<u4")[gather(first[place], lens[place])], total[edge] - total[edge - counts]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -207,7 +211,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             for a, b, texts in _blocks(batch.column(1)):
                 ids, sizes = enc.encode(texts)
                 edges = np.concatenate(([0], np.cumsum(sizes)))
-                data = pa.py_buffer(ids.astype("<u4").tobytes())
+                data = pa.py_buffer(ids)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(sizes),
                                        pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(edges * 4), data]).cast(pa.binary())],
                                       names=["doc_id", "n_tokens", "ids"])
@@ -215,6 +219,17 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
             .mapInArrow(run, "doc_id long, n_tokens long, ids binary"))
 
 
+def _with_bytes(ranks: Ranks, batch: pa.RecordBatch):
+    """The rows with what their ids stand for, in batches of about ``DECODED_BYTES`` or one longer text."""
+    a, held, out = 0, 0, []
+    for i, v in enumerate(batch.column(2)):
+        out.append(ranks.decode(np.frombuffer(v.as_buffer(), "<u4").astype(np.int64)))
+        held += len(out[-1])
+        if held >= DECODED_BYTES or i == len(batch) - 1:
+            yield pa.record_batch([*batch.slice(a, len(out)).columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "bytes"])
+            a, held, out = i + 1, 0, []
+
+
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """The rows ``(doc_id, n_tokens, ids)`` with ``bytes``, what the ids stand for (UTF-8 of the text)."""
     path = path or default_path()
@@ -222,6 +237,5 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         enc = encoder(path, default_pattern())
         for batch in batches:
-            out = [enc.ranks.decode(np.frombuffer(v.as_py(), "<u4").astype(np.int64)) for v in batch.column(2)]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "bytes"])
+            yield from _with_bytes(enc.ranks, batch)
     return rows.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, bytes binary")
