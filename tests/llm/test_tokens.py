@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import tracemalloc
 import zlib
 
@@ -108,6 +109,41 @@ def test_literals_of_added_tokens_are_the_library_s():
     assert want[0] == [3306, 49407, 1002]
 
 
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+
+
+def test_words_are_the_pattern_s():
+    rng = random.Random(5)
+    pieces = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "l", "r", "st", "é", "ß", " ", "\n", "\r\t", "5", "42", ".", "!?", "_", ""]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(9))) for _ in range(4000)] + ["'", "s", "a'", "ll", ""]
+    for some in (texts, texts[-5:], [""], []):
+        words, counts = tokenize.words_of(pa.array(some, pa.large_string()))
+        want = [_WORD.findall(t) for t in some]
+        assert counts.tolist() == list(map(len, want))
+        assert words.to_pylist() == [w for own in want for w in own]
+
+
+def test_different_words_of_a_batch_are_looked_up_once(monkeypatch):
+    """Whatever stands beside them: 1000 pairs of a word and a mark are 70 words."""
+    enc, seen = tokenize.WordEncoder(tokenize.default_path()), []
+    places = enc._places
+    monkeypatch.setattr(enc, "_places", lambda words: seen.append(len(words)) or places(words))
+    marks = ["." * i + "," * j for i in range(1, 5) for j in range(1, 6)]
+    texts = [f"{'ab' * k}x{m} " for k in range(50) for m in marks]
+    ids, sizes = enc.encode(texts)
+    assert seen == [50 + len(marks)]
+    library = _library()
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_a_vocabulary_of_another_alphabet_is_refused():
+    enc = tokenize.WordEncoder(tokenize.default_path())
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+    enc.library.pre_tokenizer = WhitespaceSplit()
+    with pytest.raises(ValueError):
+        enc.encode(["café isn't"])
+
+
 def _check_packed(rows, texts):
     library = _library()
     want = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts.items()}

@@ -1,13 +1,13 @@
 """Token ids of whole texts by a public tokenizers vocabulary, word by word.
 
 The vocabulary drops white space, splits the rest by a pattern without
-look-around and encodes every word on its own.  So each different word is
-encoded once by the tokenizers library and remembered, and within a batch
-each different chunk between white spaces ("word", "word," or "it's") is
-split once.  This holds for texts of the characters in ``_PLAIN`` (where
-lower-casing and NFC are one-to-one) without the literal of an added token
-such as ``<|endoftext|>``; any other text goes through the library whole, as
-a ``Tokenizer`` with its default settings encodes it.
+look-around and encodes every word on its own.  So a batch is cut into words
+all at once, where the class of the bytes changes, and each different word is
+encoded once by the model of the tokenizers library and remembered.  This
+holds for texts of the characters in ``_PLAIN`` (where lower-casing and NFC
+are one-to-one) without the literal of an added token such as
+``<|endoftext|>``; any other text goes through the library whole, as a
+``Tokenizer`` with its default settings encodes it.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tokenlake.llm.words import gather
+from tokenlake.llm.words import gather, text_buffer
 
 VOCABULARY = "word_bpe_49k.json"
 MOST_WORDS = 500_000          # remembered words; then the memory starts anew
@@ -29,7 +29,44 @@ BATCH_CHARS = 1 << 21
 
 _LETTERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "L" and c != "İ")
 _PLAIN = f"[^\t\n\r\x20-\x7e{_LETTERS}]"          # a character that is not plain
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+# classes of a lower-cased plain text's bytes; those beyond ASCII all belong to letters
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _LETTER, np.uint8)
+_KIND[:128] = _OTHER
+_KIND[list(b"\t\n\r ")] = _SPACE
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
+_ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")     # one word with the apostrophe before
+# the byte-level alphabet: printable characters stand for themselves, the other bytes for U+0100 and on
+_SHOWN = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+_BYTES = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_SHOWN))) if b != 0x0a}
+_PROBES = 16                  # new words of a batch that go through the whole library too
+
+
+def words_of(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of lower-cased plain texts, text after text, and the number of words of each:
+    a run of letters, a digit, a run of other characters, or an apostrophe with an ending."""
+    data, offsets = text_buffer(low)
+    n = len(data)
+    data = np.concatenate((data, np.zeros(3, np.uint8)))
+    kind = _KIND[data]
+    begins = np.zeros(n + 3, bool)                   # first byte of a text, or behind the last
+    begins[offsets] = True
+    begins[n:] = True
+    cut = begins.copy()
+    cut[1:n] |= (kind[1:n] != kind[:n][:-1]) | (kind[1:n] == _DIGIT)
+    quote = np.flatnonzero(data[:n] == ord("'"))
+    quote = quote[cut[quote] & ~begins[quote + 1]]
+    for ending in _ENDINGS:
+        at = quote
+        for i, c in enumerate(ending):
+            at = at[(data[at + 1 + i] == c) & ~begins[at + 1 + i]]
+        cut[at + 1] = False
+        cut[at + 1 + len(ending)] = True
+    starts = np.flatnonzero(cut[:n])
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, n)), pa.py_buffer(data))
+    word = kind[starts] != _SPACE
+    return pieces.filter(pa.array(word)), np.diff(np.searchsorted(starts[word], offsets))
 
 
 def default_path() -> str:
@@ -57,36 +94,31 @@ class WordEncoder:
         self._flat = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words, many in one call: spaces keep them apart, and a word's last id is one that ends words."""
-        flat, first, lens = self._flat
-        parts, sizes = [flat], [lens]
-        for i in range(0, len(words), 4096):
-            some = words[i:i + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(self.ends_word[ids])
-            if len(ends) != len(some):
-                raise ValueError("the vocabulary doesn't mark the ends of words")
-            parts.append(ids)
-            sizes.append(np.diff(ends, prepend=-1))
-        lens = np.concatenate(sizes)
-        self._flat = (np.concatenate(parts), np.cumsum(lens) - lens, lens)
+        """Encodes new words by the library's model, in the byte-level alphabet."""
+        shown = "\n".join(words).encode().decode("latin-1").translate(_BYTES).split("\n")
+        ids, lens, tokens = [], np.zeros(len(words), np.int64), self.library.model.tokenize
+        for i, w in enumerate(shown):
+            own = [t.id for t in tokens(w)]
+            lens[i] = len(own)
+            ids += own
+        probe = min(len(words), _PROBES)
+        if self.library.encode(" ".join(words[:probe]), add_special_tokens=False).ids != ids[:lens[:probe].sum()]:
+            raise ValueError("the vocabulary doesn't encode word by word")
+        flat, _, before = self._flat
+        lens = np.concatenate((before, lens))
+        self._flat = (np.concatenate((flat, np.array(ids, np.int32))), np.cumsum(lens) - lens, lens)
         self.places.update(zip(words, range(len(self.places), len(self.places) + len(words))))
 
-    def _words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks, chunk after chunk, and the number of ids of each."""
-        own = list(map(_SPLIT.findall, chunks))
-        words = list(chain.from_iterable(own))
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Places of different words among those remembered."""
         if len(self.places) > MOST_WORDS:
             self._forget()
-        place = list(map(self.places.get, words))
-        if None in place:
-            self._learn(list(dict.fromkeys(w for w, p in zip(words, place) if p is None)))
-            place = list(map(self.places.__getitem__, words))
-        flat, first, lens = self._flat
-        place = np.array(place, np.int64)
-        total = np.concatenate(([0], np.cumsum(lens[place])))
-        edge = np.concatenate(([0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))))
-        return flat[gather(first[place], lens[place])], np.diff(total[edge])
+        place = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(len(self.places), len(self.places) + len(new))
+            self._learn([words[i] for i in new.tolist()])
+        return place
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none), text after text, and the number of ids of each."""
@@ -96,14 +128,14 @@ class WordEncoder:
         for literal in self.added:
             odd = pc.or_(odd, pc.match_substring(low, literal))
         whole = {i: self.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
-        split = pc.ascii_split_whitespace(pc.if_else(odd, "", low))
-        chunks, edge = split.flatten(), split.offsets.to_numpy().astype(np.int64)
-        coded = chunks.dictionary_encode()
-        flat, lens = self._words(coded.dictionary.to_pylist())
-        place = coded.indices.to_numpy()
-        ids = flat[gather((np.cumsum(lens) - lens)[place], lens[place])]
-        total = np.concatenate(([0], np.cumsum(lens[place])))
-        sizes = np.diff(total[edge - edge[0]])
+        words, counts = words_of(pc.if_else(odd, "", low))
+        coded = words.dictionary_encode()
+        place = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        flat, first, lens = self._flat
+        lens = lens[place]
+        ids = flat[gather(first[place], lens)]
+        total = np.concatenate(([0], np.cumsum(lens)))
+        sizes = np.diff(total[np.concatenate(([0], np.cumsum(counts)))])
         if whole:
             parts, at = [], 0
             for i in range(len(texts)):
