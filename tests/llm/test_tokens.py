@@ -178,6 +178,18 @@ def test_op5_query_digest(spark, sf):
     assert got == ids
 
 
+def test_op5_words_are_looked_up_once_a_batch(spark, monkeypatch):
+    """The ids of a batch come from its different words, whatever marks stand beside them."""
+    texts = [f"don't {w}{m} {w}'s {m}{w}" for w in ("alpha", "béta", "x", "7") for m in (".", "!?", "(", "'", "''")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    _check_packed(packing.packed(docs).collect(), dict(enumerate(texts)))
+    enc, seen = tokenize.WordEncoder(tokenize.default_path()), []
+    places = enc._places
+    monkeypatch.setattr(enc, "_places", lambda words: seen.append(sorted(words)) or places(words))
+    enc.encode(texts)
+    assert seen == [sorted({w for t in texts for w in _WORD.findall(t)})]
+
+
 def test_op5_cuts_are_optimal():
     rng = random.Random(1)
     for _ in range(300):
